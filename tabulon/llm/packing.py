@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one size that are ranked in one task at most; a more frequent size is split by a hash of its ids.
 GROUP_ROWS = 200_000
@@ -117,7 +118,7 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
         first += n
     starts = {s: (np.array([a for a, _ in r]), np.array([b for _, b in r])) for s, r in ranges.items()}
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def container(size: pd.Series, rank: pd.Series) -> pd.Series:
         out = np.zeros(len(size), np.int64)
         size, rank = size.to_numpy(), rank.to_numpy()
