@@ -314,10 +314,11 @@ def clean_cell(cell: str | None) -> tuple[bool, str | None]:
     """(whether a cell holds markup, the clean cell). A cell is a text of its own, of one or more lines."""
     if not cell or not _SIGN.search(cell):
         return False, cell
-    lexer = Lexer(cell)
-    out = [lexer._markup(line) if _SIGN.search(line) else (False, line) for line in cell.split("\n")]
-    holds = any(h for h, _ in out)
-    return holds, "\n".join(line.strip() for _, line in out if line is not None) if holds else cell
+    holds, text = Lexer(cell)._markup(cell.replace("\n", "\x01"))
+    if not holds:
+        return False, cell
+    text = re.sub(r"\$([^$\\^_={}]*)\$", r"\1", text or "")
+    return True, "\n".join(part.strip() for part in text.split("\x01"))
 
 
 LINE_SCHEMA = T.StructType([T.StructField("record_key", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("col_no", T.LongType())])
