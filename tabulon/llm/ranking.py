@@ -96,7 +96,7 @@ def fused(df: DataFrame, group: str, item: str, scores: dict[str, tuple[Column,
     z = [inverse_normal(F.col(f"p_{n}")).alias(f"z_{n}") for n in names]
     total = sum(w for _, w in scores.values())
     mean = sum((F.col(f"z_{n}") * F.lit(w / total) for n, (_, w) in scores.items()), F.lit(0.0))
-    return ranked.select(group, item, *z).withColumn("combined", F.round(mean, 12))
+    return ranked.select(group, item, *z).withColumn("combined", F.round(mean, 9))
 
 
 def first_of(fused_rows: DataFrame, group: str, item: str) -> DataFrame:
