@@ -1,22 +1,525 @@
-"""The queries of the core operators."""
+"""The queries of the core operators, each over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tabulon.operators import units
+from tabulon.functions import numbers, text
+from tabulon.operators import evaluation, extraction, normalization, programs, retrieval, units
+from tabulon.operators.oracle import SQL
+from tabulon.sources import documents as sources
+from tabulon.sources import sinks
 from tabulon.session import table
+from tabulon.streaming import incremental
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return units.wrong_units(table(spark, d, "extracted_tables"), table(spark, d, "normalized_answers"), table(spark, d, "questions"), table(spark, d, "units"))
 
 
+@query
+def p4_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Every amount of the tables in dong."""
+    tables = table(spark, d, "extracted_tables")
+    factors = units.table_units(tables, table(spark, d, "units")).select("table_ref", "right_unit", "factor")
+    cells = normalization.cells(tables).where("col_idx >= 2").withColumn("amount", numbers.parse_number(F.col("cell"))).where("amount IS NOT NULL")
+    return cells.join(factors, "table_ref").select("table_ref", "row_idx", "col_idx", "right_unit", (F.col("amount") * F.col("factor")).alias("dong"))
+
+
+# --- scalars
+
+
+@query
+def fold_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+
+
+@query
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query
+def question_phrases(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "questions").select("id", "question").dropDuplicates(["id"])
+    return once.select("id", F.array_join(text.phrases(F.col("question")), "|").alias("phrases"))
+
+
+@query
+def table_names(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "table_catalog").select("table_ref", "doc_id", "position", "title").distinct()
+    return once.select("table_ref", text.slug(F.col("title")).alias("slug"), text.safe_name(F.col("doc_id"), F.col("position")).alias("file"))
+
+
+@query
+def parsed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    cells = normalization.cells(table(spark, d, "extracted_tables"))
+    return cells.select("table_ref", "row_idx", "col_idx", numbers.parse_number(F.col("cell")).alias("value")).where("value IS NOT NULL")
+
+
+@query
+def context_units(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "extracted_tables").select("table_ref", "title", "context_before").dropDuplicates(["table_ref"])
+    unit = numbers.context_unit(F.concat_ws(" ", "title", "context_before"))
+    return once.select("table_ref", unit.alias("unit"), F.when(unit.isNotNull(), numbers.divisor(unit)).otherwise(1.0).alias("scale"))
+
+
+@query
+def column_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The period of each column head; of the columns of a table with one year and period the first counts."""
+    once = table(spark, d, "extracted_tables").select("table_ref", "doc_id", "header_rows").dropDuplicates(["table_ref"])
+    heads = once.select("table_ref", sources.last_year(F.col("doc_id")).alias("y"), F.posexplode(F.get("header_rows", F.lit(0))).alias("col_idx", "header"))
+    p = heads.withColumn("p", numbers.column_period(F.col("header"), F.col("y"))).where("p IS NOT NULL")
+    flat = p.select("table_ref", "col_idx", "p.year", "p.period", "p.source_date")
+    nth = F.row_number().over(Window.partitionBy("table_ref", "year", "period").orderBy("col_idx"))
+    return flat.withColumn("_n", nth).where("_n = 1").drop("_n")
+
+
+@query
+def question_constraints(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("question")
+    once = table(spark, d, "questions").select("id", "question").dropDuplicates(["id"])
+    years = F.array_join(numbers.question_years(q).cast("array<string>"), ",")
+    return once.select("id", numbers.requested_period(q).alias("period"), numbers.asked_unit(q).alias("unit"), years.alias("years"), numbers.report_type(q).alias("type"))
+
+
+@query
+def question_tickers(spark: SparkSession, d: str) -> DataFrame:
+    """Codes in brackets are trusted; without any, capitals that the catalog knows."""
+    once = table(spark, d, "questions").select("id", "question").dropDuplicates(["id"])
+    trusted = F.regexp_extract_all("question", F.lit(r"\(([A-Z][A-Z0-9]{2,4})\)"), F.lit(1))
+    words = F.filter(F.split("question", "[^A-Za-z0-9]+"), lambda w: w.rlike("^[A-Z][A-Z0-9]{2,4}$"))
+    exploded = once.select("id", F.explode(F.array_distinct(F.when(F.size(trusted) > 0, trusted).otherwise(words))).alias("ticker"))
+    known = table(spark, d, "table_catalog").select("ticker").where("ticker IS NOT NULL").distinct()
+    return exploded.join(known, "ticker", "left_semi").select("id", "ticker")
+
+
+@query
+def answers_in_asked_unit(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "questions").select(F.col("id").alias("question_id"), "question").dropDuplicates(["question_id"])
+    once = table(spark, d, "normalized_answers").select("answer_id", "question_id", "raw_value").dropDuplicates(["answer_id"])
+    joined = once.join(asked, "question_id").withColumn("unit", numbers.asked_unit(F.col("question")))
+    return joined.select("answer_id", "unit", numbers.answer(F.col("raw_value"), F.col("unit")).alias("answer"), numbers.divisor(F.col("unit")).alias("divisor"))
+
+
+# --- sources, catalog, sinks
+
+
+@query
+def document_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return sources.documents(table(spark, d, "raw_documents").select("path", "text").dropDuplicates(["path"])).select("doc_id", "path", "ticker", "year", "report_type", "n_lines")
+
+
+@query
+def catalog_inferred(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "table_catalog").select("table_ref", "doc_id").distinct()
+    ticker = F.nullif(F.regexp_extract(F.upper("doc_id"), "^([A-Z0-9]{3,5})_", 1), F.lit(""))
+    return once.select("table_ref", ticker.alias("ticker"), sources.last_year(F.col("doc_id")).alias("year"), sources.report_type_of(F.col("doc_id")).alias("report_type"))
+
+
+@query
+def catalog_latest(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.latest(table(spark, d, "table_catalog"), "table_ref", "ingested_at").select("table_ref", "doc_id", "position", "title", "unit", "ingested_at")
+
+
+@query
+def catalog_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same catalog, merged batch by batch from a file stream that reads what is there and stops."""
+    return incremental.merged(spark, f"{d}/table_catalog.parquet", "table_ref", "ingested_at").select("table_ref", "doc_id", "position", "title", "unit", "ingested_at")
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.latest(table(spark, d, "table_catalog"), "table_ref", "ingested_at")
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.latest(table(spark, d, "questions"), "id", "loaded_at")
+
+
+@query
+def filter_cascade(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.admitted(_questions(spark, d), _catalog(spark, d))
+    return found.groupBy("id").agg(F.first("level").alias("level"), F.count("*").alias("n_tables"))
+
+
+@query
+def questions_without_filter(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.unfiltered(_questions(spark, d), _catalog(spark, d))
+
+
+@query
+def unique_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of names of two to four words that belong to one brand only."""
+    words = table(spark, d, "part").select("p_brand", F.split(text.fold(F.col("p_name")), " ").alias("w"))
+    ends = F.transform(F.filter(F.sequence(F.lit(2), F.lit(4)), lambda k: k <= F.size("w")), lambda k: F.array_join(F.slice("w", F.size("w") - k + 1, k), " "))
+    return words.select("p_brand", F.explode(ends).alias("alias")).where(F.length("alias") >= 6).groupBy("alias").agg(F.count_distinct("p_brand").alias("n"), F.min("p_brand").alias("brand")).where("n = 1").select("alias", "brand")
+
+
+@query
+def unanswered(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "normalized_answers").select(F.col("question_id").alias("id")).distinct()
+    return table(spark, d, "questions").select("id").distinct().join(done, "id", "left_anti")
+
+
+# --- extraction
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+
+
+@query
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d).select("doc_id", extraction.table_count(F.col("text")).cast("long").alias("n"))
+
+
+@query
+def table_pages(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.page_of_lines(_raw(spark, d)).where(F.col("line").contains("<table")).select("doc_id", "line_no", "page")
+
+
+@query
+def dialect_votes(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.dialect_vote(_raw(spark, d))
+
+
+@query
+def table_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.blocks(_raw(spark, d))
+
+
+@query
+def noise_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = extraction.lines(_raw(spark, d))
+    return lines.groupBy("doc_id").agg(F.count_if(extraction.is_page_noise(F.col("line"))).alias("page_lines"), F.sum(F.length(extraction.clean_line(F.col("line")))).alias("clean_chars"))
+
+
+@query
+def html_grids(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.html_tables(_raw(spark, d))
+
+
+@query
+def linked_tables(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "html_tables").select("doc_id", "position", "char_start", "char_end", "n_cols").distinct()
+    return extraction.linked(once, 2000)
+
+
+@query
+def table_sections(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "extracted_tables").select("table_ref", "title", "context_before").dropDuplicates(["table_ref"])
+    return once.select("table_ref", extraction.section(F.concat_ws("\n", "title", "context_before")).alias("section"), extraction.title(F.col("context_before")).alias("title"))
+
+
+# --- normalization
+
+
+def _grids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "html_tables").select("table_ref", "rows")
+
+
+@query
+def header_rows(spark: SparkSession, d: str) -> DataFrame:
+    return normalization.header_row(_grids(spark, d))
+
+
+@query
+def column_names(spark: SparkSession, d: str) -> DataFrame:
+    return normalization.column_names(normalization.cells(_grids(spark, d)).where("row_idx = 0").select("table_ref", "col_idx", "cell"))
+
+
+@query
+def column_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return normalization.column_statistics(normalization.cells(table(spark, d, "extracted_tables")))
+
+
+@query
+def column_roles(spark: SparkSession, d: str) -> DataFrame:
+    return normalization.column_roles(table(spark, d, "extracted_tables"), table(spark, d, "raw_documents"))
+
+
+@query
+def long_facts(spark: SparkSession, d: str) -> DataFrame:
+    return normalization.facts(table(spark, d, "extracted_tables"), table(spark, d, "raw_documents"))
+
+
+@query
+def ambiguous_facts(spark: SparkSession, d: str) -> DataFrame:
+    cells = normalization.cells(table(spark, d, "extracted_tables"))
+    item = cells.where("col_idx = 0").select("table_ref", "row_idx", F.trim("cell").alias("item"))
+    value = cells.where("col_idx >= 2").select("table_ref", "row_idx", (F.col("col_idx") - 2).alias("year"), numbers.parse_number(F.col("cell")).alias("value")).where("value IS NOT NULL")
+    return normalization.ambiguous(item.join(value, ["table_ref", "row_idx"]).withColumn("period", F.lit("annual")))
+
+
+@query
+def table_cards(spark: SparkSession, d: str) -> DataFrame:
+    items = normalization.cells(table(spark, d, "extracted_tables")).where("col_idx = 0 AND trim(cell) <> ''").select("table_ref", "row_idx", F.trim("cell").alias("item"))
+    return normalization.cards(_catalog(spark, d), items)
+
+
+@query
+def fallback_cards(spark: SparkSession, d: str) -> DataFrame:
+    return normalization.card_or_fields(_catalog(spark, d))
+
+
+# --- retrieval
+
+
+@query
+def term_weights(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    frequencies = retrieval.term_frequencies(docs, "doc_id", "text")
+    return retrieval.document_frequencies(frequencies, docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def document_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.size(text.tokens(F.col("text"))), F.lit(0)).cast("long").alias("n_terms")).withColumn("n_terms", F.greatest("n_terms", F.lit(0)))
+
+
+def _metric_queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "metric_terms").select("surface").distinct().withColumn("query", F.col("surface"))
+
+
+@query
+def bm25_top(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.bm25(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text", _metric_queries(spark, d), "query", "surface", 10)
+    return found.select("query", "doc_id", "score", "rank")
+
+
+def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+
+
+@query
+def dense_ip(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", _vector_queries(spark, d), 10).select("query", "vec_id", "score")
+
+
+@query
+def dense_l2(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", _vector_queries(spark, d), 10, "l2").select("query", "vec_id", "score")
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    dense = F.when(F.col("dense_kind") == "l2", -F.col("dense_score")).otherwise(F.col("dense_score"))
+    return table(spark, d, "candidates").select("qid", "table_ref", "doc_id", "rank", "score", "bm25_score", dense.alias("dense")).dropDuplicates(["qid", "table_ref"])
+
+
+@query
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidates(spark, d)
+    ranked = lambda c: rows.where(F.col(c).isNotNull()).select("qid", "table_ref", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "table_ref")).alias("rank"))
+    return retrieval.fused_ranks(ranked("bm25_score"), ranked("dense"), "qid", "table_ref")
+
+
+@query
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over the cards that each question's constraints admit, fused with the dense ranking of the candidates."""
+    questions, catalog = _questions(spark, d), _catalog(spark, d)
+    allowed = retrieval.admitted(questions, catalog).select("id", "table_ref")
+    sparse = retrieval.bm25(normalization.card_or_fields(catalog), "table_ref", "card", questions, "id", "question", 50, allowed).select(F.col("id").alias("qid"), "table_ref", "rank")
+    dense = _candidates(spark, d).where("dense IS NOT NULL")
+    dense = dense.select("qid", "table_ref", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dense"), "table_ref")).alias("rank")).where("rank <= 50")
+    fused = retrieval.top(retrieval.fused_ranks(sparse, dense, "qid", "table_ref"), "qid", "table_ref", "score", 20)
+    return fused.join(catalog.select("table_ref", "section", "title"), "table_ref", "left").select("qid", "table_ref", "rank", "score", "section")
+
+
+@query
+def content_rerank(spark: SparkSession, d: str) -> DataFrame:
+    questions, catalog = _questions(spark, d), _catalog(spark, d)
+    q = questions.select(F.col("id").alias("qid"), text.phrases(F.col("question")).alias("p"), F.filter(text.tokens(F.col("question")), lambda w: F.length(w) >= 2).alias("w"))
+    cards = normalization.card_or_fields(catalog).select("table_ref", text.fold(F.col("card")).alias("t"))
+    pool = _candidates(spark, d).where("rank <= 35").join(q, "qid").join(cards, "table_ref")
+    scored = pool.select("qid", "table_ref", retrieval.phrase_score(F.col("p"), F.col("w"), F.col("t")).alias("content"), "score")
+    order = Window.partitionBy("qid").orderBy(F.desc(F.col("content") * 10 + F.col("score")), F.desc("score"), "table_ref")
+    return scored.select("qid", "table_ref", "content", F.row_number().over(order).alias("rank"))
+
+
+def _shape(spark: SparkSession, d: str) -> DataFrame:
+    q = _questions(spark, d)
+    size = retrieval.budget(F.size("tickers"), F.size("years"), F.col("needs_derived"), 24)
+    return q.select(F.col("id").alias("qid"), size.alias("budget"), "tickers")
+
+
+@query
+def adaptive_cut(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidates(spark, d).join(_shape(spark, d), "qid")
+    return retrieval.cut(rows.select("qid", "table_ref", "rank", "score", "budget"), "qid", F.col("budget")).select("qid", "table_ref", "rank")
+
+
+@query
+def coverage_repair(spark: SparkSession, d: str) -> DataFrame:
+    pool = _candidates(spark, d).join(_catalog(spark, d).select("table_ref", "ticker"), "table_ref").select("qid", "table_ref", "rank", "ticker")
+    needed = _shape(spark, d).select("qid", F.explode("tickers").alias("ticker")).distinct()
+    return retrieval.covering(pool, adaptive_cut(spark, d).select("qid", "table_ref"), needed, "qid", "table_ref", "ticker")
+
+
+@query
+def linked_expansion(spark: SparkSession, d: str) -> DataFrame:
+    links = _catalog(spark, d).select("table_ref", "group_id", "parent_table_ref", "next_table_ref")
+    pool = _candidates(spark, d).select("qid", "table_ref").join(links, "table_ref")
+    return retrieval.with_linked(adaptive_cut(spark, d).select("qid", "table_ref"), pool, "qid", "table_ref")
+
+
+# --- programs
+
+
+@query
+def lookup_largest(spark: SparkSession, d: str) -> DataFrame:
+    """For each customer segment the value of its first order of each year, in millions."""
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("year", F.year("o_orderdate"))
+    first = rows.groupBy("c_mktsegment", "year").agg(F.min_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("value"))
+    return first.select("c_mktsegment", "year", numbers.rounded(F.col("value") / 1e6).alias("millions"))
+
+
+@query
+def concat_lookup(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.year("o_orderdate").alias("year"))
+    parts = orders.where("year < 1998").unionByName(orders.where("year >= 1998"), allowMissingColumns=True)
+    return parts.groupBy("o_orderpriority").agg(F.max("o_totalprice").alias("largest"), F.count("*").alias("n"))
+
+
+def _yearly(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return lines.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(F.sum("l_extendedprice").alias("gross"), F.sum(net).alias("net"))
+
+
+@query
+def ratio_by_nation(spark: SparkSession, d: str) -> DataFrame:
+    rows = _yearly(spark, d).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    sums = rows.groupBy("s_nationkey", "year").agg(F.sum("net").alias("a"), F.sum("gross").alias("b"))
+    named = sums.join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # nation has 25 rows
+    return named.select("n_name", "year", F.round(programs.ratio(F.col("a"), F.col("b")), 4).alias("margin"))
+
+
+@query
+def growth_by_nation(spark: SparkSession, d: str) -> DataFrame:
+    rows = _yearly(spark, d).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey", "year").agg(F.sum("net").alias("net"))
+    before = F.lag("net").over(Window.partitionBy("s_nationkey").orderBy("year"))
+    first, start = F.first("net").over(Window.partitionBy("s_nationkey").orderBy("year")), F.first("year").over(Window.partitionBy("s_nationkey").orderBy("year"))
+    return rows.select("s_nationkey", "year", F.round(programs.growth(F.col("net"), before), 4).alias("growth"), F.round(programs.cagr(first, F.col("net"), F.col("year") - start), 4).alias("cagr"))
+
+
+@query
+def best_year(spark: SparkSession, d: str) -> DataFrame:
+    rows = _yearly(spark, d).select("l_suppkey", "year", F.round("net", 2).alias("net"))
+    best = programs.extreme(rows, ["l_suppkey"], "net", "year")
+    return best.select("l_suppkey", F.col("year").cast("double").alias("best_year"), "net")
+
+
+@query
+def peer_share(spark: SparkSession, d: str) -> DataFrame:
+    rows = _yearly(spark, d).select("year", F.round(programs.ratio(F.col("net"), F.col("gross")), 6).alias("margin"), F.round("net", 2).alias("net"))
+    out = programs.share_above_median(rows, ["year"], "margin", "net")
+    return out.select("year", F.round("median", 4).alias("median"), F.round("share", 4).alias("share"))
+
+
+@query
+def opening_balances(spark: SparkSession, d: str) -> DataFrame:
+    """Orders to date at the end of each year, and at its start."""
+    yearly = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("v"))
+    to_date = Window.partitionBy("o_custkey").orderBy("year")
+    closing = F.sum("v").over(to_date.rowsBetween(Window.unboundedPreceding, 0))
+    opening = F.coalesce(F.sum("v").over(to_date.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return yearly.select("o_custkey", "year", F.round(opening, 2).alias("opening"), F.round(closing, 2).alias("closing"))
+
+
+@query
+def plan_ratio(spark: SparkSession, d: str) -> DataFrame:
+    facts = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", F.year("o_orderdate").alias("year")).agg(
+        F.sum("o_totalprice").alias("total"), F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0.0)).alias("done")
+    )
+    long = facts.select(F.col("c_mktsegment").alias("ticker"), "year", F.explode(F.array(F.struct(F.lit("done").alias("metric"), F.col("done").alias("value")), F.struct(F.lit("total").alias("metric"), F.col("total").alias("value")))).alias("m")).select("ticker", "year", "m.metric", "m.value")
+    return programs.evaluate(long, programs.Plan("ratio", ("done", "total"))).select("ticker", "year", F.round("value", 4).alias("value"))
+
+
+# --- evaluation and checks
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    """For each question the reports of its codes and years; its first answer as the gold one."""
+    q = _questions(spark, d)
+    listed = table(spark, d, "raw_documents").select("doc_id", "ticker", "year").dropDuplicates(["doc_id"])
+    pairs = q.select("id", F.explode("tickers").alias("ticker"), "years").join(listed, "ticker").where(F.array_contains("years", F.col("year")))
+    docs = pairs.groupBy("id").agg(F.array_sort(F.collect_set("doc_id")).alias("gold_docs"))
+    answers = table(spark, d, "normalized_answers").groupBy(F.col("question_id").alias("id")).agg(F.min_by(F.col("raw_value") / F.coalesce("divisor", F.lit(1.0)), "answer_id").alias("gold_answer"))
+    return q.select("id").join(docs, "id", "left").join(answers, "id", "left").select("id", F.coalesce("gold_docs", F.array().cast("array<string>")).alias("gold_docs"), "gold_answer")
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    """For each question the reports of its ten first candidates in their order, and its first answer as it was given."""
+    ranked = _candidates(spark, d).where("rank <= 10")
+    docs = ranked.groupBy(F.col("qid").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "table_ref", "doc_id"))), lambda s: s["doc_id"]).alias("docs"))
+    answers = table(spark, d, "normalized_answers").groupBy(F.col("question_id").alias("id")).agg(F.min_by("value", "answer_id").alias("answer"))
+    return docs.join(answers, "id", "full_outer")
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.evaluated(_gold(spark, d), _predictions(spark, d))
+
+
+@query
+def eval_questions(spark: SparkSession, d: str) -> DataFrame:
+    r = lambda c: F.round(c, 6).alias(c)
+    return _evaluated(spark, d).select("id", r("doc_precision"), r("doc_recall"), r("doc_f2"), r("doc_mrr"), "answer_correct")
+
+
+@query
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.summary(_evaluated(spark, d))
+
+
+@query
+def failure_counts(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.tag_counts(_evaluated(spark, d))
+
+
+@query
+def eval_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.funnel(_evaluated(spark, d))
+
+
+@query
+def worst_questions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _evaluated(spark, d).select("id", F.round("doc_f2", 6).alias("doc_f2"))
+    return rows.orderBy("doc_f2", "id").limit(20)  # a report of the worst twenty
+
+
+@query
+def integrity_checks(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.integrity(table(spark, d, "table_catalog").select("table_ref", "doc_id", "ticker"), table(spark, d, "raw_documents").select("doc_id", "ticker"))
+
+
+@query
+def index_checks(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.index_integrity(table(spark, d, "table_catalog"), table(spark, d, "extracted_tables"), table(spark, d, "candidates"))
+
+
+@query
+def submission_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates' first five tables as a submission of the questions."""
+    first = _candidates(spark, d).where("rank <= 5").groupBy(F.col("qid").alias("id")).agg(F.collect_list("doc_id").alias("relevant_docs"), F.collect_list("table_ref").alias("relevant_tables"))
+    answers = table(spark, d, "normalized_answers").groupBy(F.col("question_id").alias("id")).agg(F.min_by("value", "answer_id").alias("answer"))
+    return evaluation.violations(first.join(answers, "id", "left"), table(spark, d, "questions"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
