@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.session import checkpoint
+
 #: Rows of one size that are ranked in one task at most; a more frequent size is split by a hash of its ids.
 GROUP_ROWS = 200_000
 
@@ -95,7 +97,8 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
 
     piece counts from 0 and start is the piece's offset in its item. Containers are numbered from 0.
     """
-    items = sizes.select(F.col(id_col), F.col(size_col).cast("long").alias("total")).where("total > 0")
+    # Measuring is the dear part and its result is two numbers a row, so it is written once and read from there.
+    items = checkpoint(sizes.select(F.col(id_col), F.col(size_col).cast("long").alias("total")).where("total > 0"))
     full = F.floor(F.col("total") / capacity)
     whole = items.where(F.col("total") >= capacity).select(id_col, F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
     whole = whole.select(id_col, F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("size"))
