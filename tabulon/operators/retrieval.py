@@ -85,7 +85,7 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame
                 s = q @ v.T
                 if metric == "l2":
                     s = 2 * s - (q**2).sum(1)[:, None] - (v**2).sum(1)[None, :]
-                s = np.round(s, 6)
+                s = np.round(s, 6) + 0.0  # no minus zero
                 ids_all = np.concatenate([best_ids, np.broadcast_to(ids, s.shape)], 1)
                 all_scores = np.concatenate([best, s], 1)
                 order = np.lexsort((ids_all, -all_scores), axis=1)[:, :k]

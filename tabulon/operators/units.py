@@ -45,6 +45,8 @@ ALIASES = {
     "percent": ["%", "percent", "phan tram", "per cent", "pct", "percentage points", "percent points", "diem phan tram"],
     "times": ["times", "lan", "x", "a multiple"],
 }
+#: Those that amounts of a table can have.
+MONEY = {u: a for u, a in ALIASES.items() if u not in ("percent", "times")}
 #: Words that announce a unit, folded.
 ANNOUNCED = re.compile(
     r"(?:don vi tinh|don vi tien|don vi|dvt|units?|currency|trinh bay theo|tinh theo|tinh bang|bao nhieu|bang may|la may|dat may|\bmay|expressed in|stated in|amounts in|figures in|measured in|[,(]\s*in|\bin)"
@@ -134,13 +136,13 @@ def asked(question: str | None, aliases: dict[str, list[str]] = ALIASES) -> str
 
 def first_stated(title: str | None, context: str | None, heads: Iterable[str | None], rows: Iterable[str | None], own: str | None) -> str:
     """The unit of a table's amounts; `dong` if none is stated anywhere."""
-    unit = labelled(title) or announced(context)
+    unit = labelled(title, MONEY) or announced(context, MONEY)
     for read, cells in ((labelled, heads), (announced, rows)):
         for cell in cells if unit is None and cells is not None else ():
-            unit = read(cell)
+            unit = read(cell, MONEY)
             if unit:
                 break
-    return unit or alone(own) or "dong"
+    return unit or alone(own, MONEY) or "dong"
 
 
 @F.pandas_udf(T.StringType())
