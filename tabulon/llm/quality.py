@@ -12,6 +12,7 @@ leaves the mixture at the examples.
 
 from __future__ import annotations
 
+import operator
 import re
 import unicodedata
 from collections import Counter
@@ -35,6 +36,8 @@ FITTED = tuple(s for s in STATISTICS if s not in ("n_words", "common_share"))
 #: Share of common words that any prose reaches.
 ENOUGH = 0.15
 STEPS = 12
+#: Share of the documents as which the example of a component weighs in its mean and variance.
+ANCHOR = 0.002
 #: Least variance of a component in a standardized statistic.
 FLOOR = 0.05
 
@@ -42,58 +45,70 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ITEM = re.compile(r"^\s*(?:[-+*•–·]|\d{1,4}[.)]|[a-zđ]\))\s|\.{4,}\s*\d+\s*$")
 _DELIMITER = re.compile(r"\t|\||;| {3,}|\.{4,}")
 _BROKEN = re.compile(r"[ÃÂÄÆÐ][\u0080-¿Œ-Ÿ‚-›™€]|á[º»][\u0080-¿Œ-Ÿ‚-›™€]?|�")
+#: What any delimiter holds; lines without it are not searched further.
+_PARTED = re.compile(r"[\t|;]|   |\.\.\.\.")
 _SENTENCE = re.compile(r"[.!?…]+(?:\s|$)")
 
 
-def measure(text: str | None, common: frozenset[str]) -> list[float] | None:
+class Common(dict):
+    """From a word to 1 if it is a common one, accents and case aside, else 0; what was asked is kept."""
+
+    def __init__(self, words: frozenset[str]):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, word: str) -> int:
+        found = int(fold(word) in self.words)
+        if len(self) < 300_000:
+            self[word] = found
+        return found
+
+
+def measure(text: str | None, common: Common) -> list[float] | None:
     """The statistics of a text, in the order of STATISTICS; None if it is blank."""
     if text is None or not text.strip():
         return None
-    lines = [x for x in text.splitlines() if x.strip()]
-    words = _WORD.findall(text)
-    n, letters = len(words), sum(map(len, words))
-    visible = sum(not c.isspace() for c in text) if len(lines) > 1 or " " in text else len(text)
-    digits = sum(map(text.count, "0123456789"))
-    common_words = sum(w in common for w in map(_plain, words))
-    prose = 0
-    for i, line in enumerate(lines):
-        own = _WORD.findall(line)
-        hits = sum(w in common for w in map(_plain, own))
-        # A line of prose has common words and no cells; a wrapped one may have few, so its neighbours in a paragraph count.
-        if own and hits >= 1 and hits / len(own) >= 0.08 and len(_DELIMITER.findall(line)) < 2 and not _ITEM.search(line):
+    lines = [x for x in text.splitlines() if x and not x.isspace()]
+    n = letters = common_words = delimiters = items = prose = punctuated = single = 0
+    for line in lines:
+        words = _WORD.findall(line)
+        hits = sum(map(common.__getitem__, words))
+        cells = len(_DELIMITER.findall(line)) if _PARTED.search(line) else 0
+        item = bool(_ITEM.search(line))
+        n += len(words)
+        letters += sum(map(len, words))
+        single += sum(map((1).__eq__, map(len, words)))
+        common_words += hits
+        delimiters += cells
+        items += item
+        punctuated += line.rstrip()[-1] in ".!?:…"
+        # A line of prose has common words and no cells.
+        if hits and hits >= 0.08 * len(words) and cells < 2 and not item:
             prose += len(line)
-    counts = Counter(x.strip() for x in lines)
+    visible = len("".join(text.split()))
+    digits = sum(map(text.count, "0123456789"))
+    lower = text.lower()
+    upper = sum(map(operator.ne, text, lower)) if len(lower) == len(text) else sum(map(str.isupper, text))
+    broken = len(_BROKEN.findall(text)) if _BROKEN.search(text) else 0
     return [
         float(n),
         letters / n if n else 0.0,
         (visible - letters - digits) / max(visible, 1),
         digits / max(visible, 1),
-        sum(c.isupper() for w in words for c in w) / max(letters, 1),
-        sum(x.rstrip()[-1] in ".!?:…" for x in lines) / len(lines),
+        upper / max(letters, 1),
+        punctuated / len(lines),
         common_words / n if n else 0.0,
-        min(1.0, len(_DELIMITER.findall(text)) / max(n, 1)),
-        sum(bool(_ITEM.search(x)) for x in lines) / len(lines),
-        1 - len(counts) / len(lines),
-        sum(len(w) == 1 for w in words) / max(n, 1),
-        min(1.0, 2 * len(_BROKEN.findall(text)) / max(n, 1)),
+        min(1.0, delimiters / max(n, 1)),
+        items / len(lines),
+        1 - len(set(map(str.strip, lines))) / len(lines),
+        single / max(n, 1),
+        min(1.0, 2 * broken / max(n, 1)),
         min(40.0, n / max(1, len(_SENTENCE.findall(text)))),
         prose / sum(map(len, lines)),
         min(1.0, common_words / n / ENOUGH) if n else 0.0,
     ]
 
 
-_folded: dict[str, str] = {}
-
-
-def _plain(word: str) -> str:
-    known = _folded.get(word)
-    if known is None:
-        known = fold(word)
-        if len(_folded) < 200_000:
-            _folded[word] = known
-    return known
-
-
 #: Inspected examples of each class, written for this purpose.
 EXAMPLES: dict[str, tuple[str, ...]] = {
     "prose": (
@@ -135,6 +150,7 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
         "Trang chủ > Giới thiệu > Liên hệ\nĐăng ký | Giỏ hàng\nTrang chủ > Giới thiệu > Liên hệ\nBấm vào đây!!!\nBấm vào đây!!!\nĐăng ký | Giỏ hàng\nTrang chủ > Giới thiệu > Liên hệ",
         "Home > About > Contact\nLog in | Cart\nHome > About > Contact\nClick here!!!\nClick here!!!\nLog in | Cart\nHome > About > Contact",
         "Tiền vốn hàng thuế gộp phân hạn quỹ. Thu chi lãi vay bán tài sản nợ. Cổ phiếu kho hao mòn giá ngân hàng. Dòng thuần lợi nhuận đầu tư phải trả.",
+        "Gửi quỹ chưa hàng vốn kho trên lãi. Bán tiền khả năng cổ phần thuế dài chi hao. Ngân kỳ phiếu gộp trước vay sản mỗi.",
         "Cash equity stock tax gross term fund. Receipts cost interest loans sale assets debt. Share inventory depreciation price bank. Flow net profit investment payable.",
         "T h e b o a r d b e l i e v e s t h a t s a l e s w i l l g r o w i n t h e n e x t y e a r .",
         "C ô n g t y đ ã h o à n t h à n h v i ệ c x â y d ự n g k h o m ớ i t r o n g n ă m n a y .",
@@ -146,7 +162,7 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
 class Mixture:
     """Gaussians with diagonal covariances over standardized statistics; components are named by examples."""
 
-    def __init__(self, common: frozenset[str], center: np.ndarray, scale: np.ndarray):
+    def __init__(self, common: Common, center: np.ndarray, scale: np.ndarray):
         self.center, self.scale = center, scale
         stats, self.names = [], []
         for name, texts in EXAMPLES.items():
@@ -164,8 +180,9 @@ class Mixture:
         return np.clip((x - self.center) / self.scale, -6, 6)
 
     def log_density(self, z: np.ndarray) -> np.ndarray:
-        d = -0.5 * (((z[:, None, :] - self.mean) ** 2 / self.variance) + np.log(self.variance)).sum(2)
-        return d + np.log(self.weight)
+        precision = 1 / self.variance
+        constant = (self.mean**2 * precision + np.log(self.variance)).sum(1)
+        return z @ (self.mean * precision).T - 0.5 * ((z**2) @ precision.T + constant) + np.log(self.weight)
 
     def responsibilities(self, z: np.ndarray) -> np.ndarray:
         d = self.log_density(z)
@@ -182,11 +199,12 @@ class Mixture:
         n = moments[:k]
         s, q = moments[k : k + k * d].reshape(k, d), moments[k + k * d :].reshape(k, d)
         kept = n > 1e-3
-        # The example that a component began at weighs as much as one document, so that none dies or wanders off.
-        total = np.where(kept, n, 0)[:, None] + 1.0
-        mean = (np.where(kept[:, None], s, 0) + self.examples) / total
+        # The example that a component began at weighs as much as a share of the documents, so that none dies or wanders off.
+        anchor = ANCHOR * n.sum()
+        total = np.where(kept, n, 0)[:, None] + anchor
+        mean = (np.where(kept[:, None], s, 0) + anchor * self.examples) / total
         spread = np.where(kept[:, None], q, 0) - 2 * mean * np.where(kept[:, None], s, 0) + np.where(kept, n, 0)[:, None] * mean**2
-        variance = (spread + (self.examples - mean) ** 2 + 0.5) / (total + 1)
+        variance = (spread + anchor * ((self.examples - mean) ** 2 + 0.5)) / total
         self.mean, self.variance = mean, np.maximum(variance, FLOOR)
         self.weight = total[:, 0] / total.sum()
 
@@ -208,12 +226,12 @@ class Mixture:
         return [classes[i] for i in sums.argmax(1)]
 
 
-def common_set(common_words: DataFrame) -> frozenset[str]:
+def common_set(common_words: DataFrame) -> Common:
     """The listed common words, folded. The list is a fixed table."""
-    return frozenset(fold(unicodedata.normalize("NFC", r["word"])) for r in common_words.select("word").distinct().collect() if r["word"])
+    return Common(frozenset(fold(unicodedata.normalize("NFC", r["word"])) for r in common_words.select("word").distinct().collect() if r["word"]))
 
 
-def statistics(documents: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def statistics(documents: DataFrame, common: Common, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, <statistics>) of each document; null but for n_words = 0 where the text is null or blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +244,7 @@ def statistics(documents: DataFrame, common: frozenset[str], id_col: str = "doc_
     return documents.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def fit(stats: DataFrame, common: frozenset[str], steps: int = STEPS) -> Mixture:
+def fit(stats: DataFrame, common: Common, steps: int = STEPS) -> Mixture:
     """The mixture of all rows of stats. Only sums over partitions are moved."""
     filled = stats.where(F.col("common_enough").isNotNull()).select(*FITTED)
     row = filled.agg(*(F.avg(c) for c in FITTED), *(F.stddev_pop(c) for c in FITTED)).first()
