@@ -11,6 +11,8 @@ null key are left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,10 @@ def inverse_normal(p: Column) -> Column:
     return F.when(p < 0.02425, outer).when(p > 1 - 0.02425, -outer).otherwise(inner)
 
 
+def _less_than(value: Column) -> Callable[[Column], Column]:
+    return lambda e: e < value
+
+
 def percentiles(df: DataFrame, group: str, scores: list[str], group_rows: int = GROUP_ROWS) -> DataFrame:
     """df with p_<score>, (number below + half of the ties) / rows, for each of the scores; nulls come first.
 
@@ -54,9 +60,8 @@ def percentiles(df: DataFrame, group: str, scores: list[str], group_rows: int =
     )
     out = df.join(sizes, group).join(edges, group, "left")
     for s in scores:
-        slice_of = F.when(F.col(s).isNull(), F.lit(-1)).otherwise(
-            F.coalesce(F.size(F.filter(F.array_distinct(f"_e_{s}"), lambda e, s=s: e < F.col(s))), F.lit(0))
-        )
+        below = F.size(F.filter(F.array_distinct(f"_e_{s}"), _less_than(F.col(s))))
+        slice_of = F.when(F.col(s).isNull(), F.lit(-1)).otherwise(F.coalesce(below, F.lit(0)))
         out = out.withColumn(f"_s_{s}", slice_of)
     out = out.drop(*(f"_e_{s}" for s in scores))
     for s in scores:
