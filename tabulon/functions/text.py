@@ -40,11 +40,9 @@ def fold_keeping_space(text: Column) -> Column:
 
 def tokens(text: Column, remove_stopwords: bool = True) -> Column:
     """The folded words of a text, in order, repeated ones kept."""
-    words = F.filter(F.split(fold(text), "[^0-9a-z]+"), lambda w: w != "")
-    if not remove_stopwords:
-        return words
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    # A set is looked up once for each word; with the empty word among the stopwords one filter does both.
+    dropped = ["", *STOPWORDS] if remove_stopwords else [""]
+    return F.filter(F.split(fold(text), "[^0-9a-z]+"), lambda w: ~w.isin(*dropped))
 
 
 def ngrams(words: Column, n: int, least: int = 0) -> Column:

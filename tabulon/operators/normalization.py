@@ -40,14 +40,15 @@ def column_names(heads: DataFrame) -> DataFrame:
 def column_statistics(tall: DataFrame) -> DataFrame:
     """(table_ref, col_idx, n, numeric, coded, texts, mean_length) of each column of tall cells."""
     text = F.trim(F.coalesce("cell", F.lit("")))
-    filled = text != ""
-    number = parse_number(text).isNotNull()
+    # Each cell is parsed once, before it is aggregated.
+    tall = tall.select("table_ref", "col_idx", text.alias("_t")).withColumn("_number", parse_number(F.col("_t")).isNotNull())
+    filled, number = F.col("_t") != "", F.col("_number")
     return tall.groupBy("table_ref", "col_idx").agg(
         F.sum(filled.cast("int")).alias("n"),
         F.sum((filled & number).cast("int")).alias("numeric"),
-        F.sum((filled & text.rlike("^[0-9]{2,3}[a-z]?$")).cast("int")).alias("coded"),
+        F.sum((filled & F.col("_t").rlike("^[0-9]{2,3}[a-z]?$")).cast("int")).alias("coded"),
         F.sum((filled & ~number).cast("int")).alias("texts"),
-        F.round(F.avg(F.when(filled, F.length(text))), 4).alias("mean_length"),
+        F.round(F.avg(F.when(filled, F.length("_t"))), 4).alias("mean_length"),
     )
 
 
@@ -94,13 +95,14 @@ def facts(tables: DataFrame, years: DataFrame) -> DataFrame:
     """
     roles = column_roles(tables, years)
     tall = cells(tables).join(roles, ["table_ref", "col_idx"])
-    text = F.trim(F.coalesce("cell", F.lit("")))
-    value = parse_number(text)
     is_value = F.col("role").isin("period", "category")
+    tall = tall.where("role <> 'skip'").withColumn("_t", F.trim(F.coalesce("cell", F.lit(""))))
+    tall = tall.withColumn("_v", F.when(is_value, parse_number(F.col("_t"))))
+    text, value = F.col("_t"), F.col("_v")
     rows = tall.groupBy("table_ref", "row_idx").agg(
         F.max(F.when(F.col("role") == "item", text)).alias("item"),
         F.nullif(F.min_by(text, F.when(F.col("role") == "code", F.col("col_idx"))), F.lit("")).alias("item_code"),
-        F.collect_list(F.when(is_value & value.isNotNull(), F.struct("col_idx", "role", "year", "period", "source_date", F.col("header").alias("column_label"), value.alias("value")))).alias("values"),
+        F.collect_list(F.when(value.isNotNull(), F.struct("col_idx", "role", "year", "period", "source_date", F.col("header").alias("column_label"), value.alias("value")))).alias("values"),
     ).where("item <> ''")
     headed = rows.withColumn("_head", F.when(F.size("values") == 0, F.col("item")))
     is_section = F.col("_head").rlike(r"^[IVX]+[.)]?\s") | ((F.col("_head") == F.upper("_head")) & (F.length("_head") > 3))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.text import tokens
+from tabulon.session import spread
 
 K1, B = 1.5, 0.75
 RRF = 60
@@ -33,7 +34,7 @@ def bm25(texts: DataFrame, id_col: str, text_col: str, queries: DataFrame, query
     Only postings of terms that some query holds are kept; statistics are those of all texts, also under `allowed`
     (query_id, id), which restricts the join to pairs that a filter admits.
     """
-    words = texts.select(id_col, tokens(F.col(text_col)).alias("_t"))
+    words = spread(texts.select(id_col, text_col)).select(id_col, tokens(F.col(text_col)).alias("_t"))
     sizes = words.select(id_col, F.size("_t").alias("_len"))
     n, mean = sizes.agg(F.count("*"), F.avg("_len")).first()
     asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
@@ -42,9 +43,10 @@ def bm25(texts: DataFrame, id_col: str, text_col: str, queries: DataFrame, query
     idf = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     norm = F.lit(1 - B) + F.col("_len") * (B / (mean or 1.0))
     weighted = postings.join(idf, "term").select(id_col, "term", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm * K1)).alias("w"))
-    pairs = asked.join(weighted, "term")
-    if allowed is not None:
-        pairs = pairs.join(allowed, [query_id, id_col], "left_semi")
+    if allowed is None:
+        pairs = asked.join(weighted, "term")
+    else:  # the admitted pairs first: their terms are far fewer than the postings of all terms
+        pairs = allowed.select(query_id, id_col).distinct().join(asked, query_id).join(weighted, [id_col, "term"])
     scored = pairs.groupBy(query_id, id_col).agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
     return top(scored, query_id, id_col, "score", k)
 
@@ -119,7 +121,7 @@ def admitted(questions: DataFrame, catalog: DataFrame, tolerance: int = 0, wider
     asked = questions.select("id", F.explode("tickers").alias("ticker"), "years", "report_type").distinct()
     listed = catalog.select("table_ref", F.upper("ticker").alias("ticker"), "year", F.col("report_type").alias("_type"))
     pairs = asked.withColumn("ticker", F.upper("ticker")).join(listed, "ticker")
-    in_years = lambda t: F.exists("years", lambda y: F.col("year").between(y, y + t))
+    in_years = lambda t: F.arrays_overlap("years", F.array(*(F.col("year") - i for i in range(t + 1))))
     has_years, has_type = F.size("years") > 0, F.col("report_type").isNotNull()
     typed = ~has_type | (F.col("report_type") == F.col("_type"))
     level = (

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.lookalikes import fold
+from tabulon.session import partitions
 
 #: The ways of writing each unit, folded.
 ALIASES = {
@@ -174,7 +175,8 @@ def with_factor(df: DataFrame, units: DataFrame, unit_col: str) -> DataFrame:
 
 def table_units(tables: DataFrame, units: DataFrame) -> DataFrame:
     """(table_ref, unit_scale, right_unit, factor, kind) of each table, once."""
-    once = tables.select("table_ref", "unit_scale", "title", "context_before", "header_rows", "rows", "unit").dropDuplicates(["table_ref"])
+    own = tables.select("table_ref", "unit_scale", "title", "context_before", "header_rows", "rows", "unit")
+    once = own.repartition(partitions(own), "table_ref").dropDuplicates(["table_ref"])
     unit = table_unit(F.col("title"), F.col("context_before"), F.col("header_rows"), F.col("rows"), F.col("unit"))
     return with_factor(once.select("table_ref", "unit_scale", unit.alias("right_unit")), units, "right_unit")
 

@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         .appName("tabulon")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # parsing is dear, its rows are small
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -34,6 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many parts as there are cores: one that is read from fewer splits is dealt out evenly.
+
+    For work in Python that costs far more than moving its rows. Large tables have splits enough and aren't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def partitions(df: DataFrame) -> int:
+    """The number of parts for a shuffle whose rows go to dear work, so that adaptive execution doesn't put them together."""
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a reliable checkpoint.
 
