@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import canonical, markup, matching, noise, packing, quality, ranking, tokens
-from tabulon.session import table
+from tabulon.session import partitions, spread, table
 
 CAPACITY = 2048
 
@@ -17,12 +17,19 @@ def _record(source: str, key: str, *rest) -> list:
     return [F.lit(source).alias("source_table"), F.col(key).cast("string").alias("record_key"), *rest]
 
 
+def _scan(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose rows go to Python, in parts enough for all cores."""
+    return spread(table(spark, d, name).select(*columns))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     metrics, titles = table(spark, d, "metric_terms"), table(spark, d, "title_terms")
-    terms = table(spark, d, "term_matches").select("match_id", "metric", "surface").dropDuplicates(["match_id"])
+    terms = table(spark, d, "term_matches").select("match_id", "metric", "surface")
+    terms = terms.repartition(partitions(terms), "match_id").dropDuplicates(["match_id"])
     # The two lists are fixed tables, so the anti-joins broadcast them.
     terms = terms.join(F.broadcast(metrics.select("metric", "surface")), ["metric", "surface"], "left_anti")
-    named = table(spark, d, "table_catalog").select("table_ref", "title").where(F.trim("title") != "").dropDuplicates(["table_ref"])
+    named = table(spark, d, "table_catalog").select("table_ref", "title").where(F.trim("title") != "")
+    named = named.repartition(partitions(named), "table_ref").dropDuplicates(["table_ref"])
     named = named.join(F.broadcast(titles.select("title")), "title", "left_anti")
     a = matching.map_to_entries(terms, metrics.select(F.col("metric").alias("key"), "surface"), "surface", "metric")
     b = matching.map_to_entries(named, titles.select(F.col("title_key").alias("key"), F.col("title").alias("surface")), "title")
@@ -30,8 +37,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    lines = markup.found_lines(table(spark, d, "raw_documents"))
-    cells = markup.found_cells(table(spark, d, "html_tables"))
+    lines = markup.found_lines(_scan(spark, d, "raw_documents", "doc_id", "text"))
+    cells = markup.found_cells(_scan(spark, d, "html_tables", "table_ref", "rows"))
     return lines.select(*_record("raw_documents", "record_key", "line_no", "col_no")).unionByName(cells.select(*_record("html_tables", "record_key", "line_no", "col_no")))
 
 
@@ -74,36 +81,36 @@ def _shared_lexicon(spark: SparkSession, documents: DataFrame, tables: DataFrame
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    documents, tables = table(spark, d, "raw_documents"), table(spark, d, "extracted_tables")
+    documents, tables = _scan(spark, d, "raw_documents", "doc_id", "text"), _scan(spark, d, "extracted_tables", "table_ref", "rows")
     shared = _shared_lexicon(spark, documents, tables)
     lines, cells = noise.found_lines(spark, documents, shared), noise.found_cells(spark, tables, shared)
     return lines.select(*_record("raw_documents", "record_key", "line_no", "col_no")).unionByName(cells.select(*_record("extracted_tables", "record_key", "line_no", "col_no")))
 
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
-    documents, tables = table(spark, d, "raw_documents"), table(spark, d, "extracted_tables")
+    documents, tables = _scan(spark, d, "raw_documents", "doc_id", "text"), _scan(spark, d, "extracted_tables", "table_ref", "rows")
     return noise.repaired(documents.select("doc_id", "text").dropDuplicates(["doc_id"]), _shared_lexicon(spark, documents, tables))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"))
+    return tokens.encode(_scan(spark, d, "documents", "doc_id", "text"))
 
 
 def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.offsets(table(spark, d, "documents"))
+    return tokens.offsets(_scan(spark, d, "documents", "doc_id", "text"))
 
 
 def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.decode(tokens.encode(table(spark, d, "documents")))
+    return tokens.decode(tokens.encode(_scan(spark, d, "documents", "doc_id", "text")))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(tokens.count(table(spark, d, "documents")), CAPACITY)
+    return packing.pack(tokens.count(_scan(spark, d, "documents", "doc_id", "text")), CAPACITY)
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     common = quality.common_set(table(spark, d, "common_words"))
-    stats = quality.statistics(table(spark, d, "documents"), common).persist()
+    stats = quality.statistics(_scan(spark, d, "documents", "doc_id", "text"), common).persist()
     return quality.classified(stats, quality.fit(stats, common))
 
 
