@@ -147,6 +147,11 @@ SELECT id, {first_match('f', [(r"dau\s*(nam|ky)|ngay\s*0?1\s*[/.-]\s*0?1", 'open
   {first_match('f', [("cong ty me|rieng le|bao cao rieng|bctc rieng|cua me|cua rieng", 'separate'), ("hop nhat|toan tap doan|bctc hn|bctchn", 'consolidated')])} AS type FROM b""",
     "question_tickers": """WITH a AS (SELECT DISTINCT id, question, regexp_extract_all(question, '\\(([A-Z][A-Z0-9]{2,4})\\)', 1) AS t, list_filter(string_split_regex(question, '[^A-Za-z0-9]+'), lambda w: regexp_full_match(w, '[A-Z][A-Z0-9]{2,4}')) AS w FROM questions),
 b AS (SELECT id, unnest(list_distinct(CASE WHEN len(t) > 0 THEN t ELSE w END)) AS ticker FROM a) SELECT id, ticker FROM b WHERE ticker IN (SELECT ticker FROM table_catalog WHERE ticker IS NOT NULL)""",
+    "question_shapes": f"""WITH {LATEST}, f AS (SELECT *, {fold('question')} AS fq FROM asked)
+SELECT id, regexp_matches(fq, 'so voi|so sanh|cao hon|thap hon|chenh lech|hon kem') AS compares, regexp_matches(fq, 'tong|trung binh|binh quan|cao nhat|thap nhat|lon nhat') AS aggregates,
+  trim(concat_ws(' ', question, replace(array_to_string(coalesce(metrics, []), ' '), '_', ' '), array_to_string(coalesce(tickers, []), ' '), array_to_string(coalesce(years, []), ' '))) AS expanded FROM f""",
+    "inherited_sections": """WITH a AS (SELECT DISTINCT ON (table_ref) table_ref, doc_id, position, section, is_continuation FROM extracted_tables)
+SELECT table_ref, CASE WHEN is_continuation THEN last_value(section IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY position) ELSE section END AS section FROM a""",
     "answers_in_asked_unit": f"""WITH a AS (SELECT DISTINCT id, {FLAT} AS f FROM questions),
 b AS (SELECT answer_id, raw_value, coalesce({first_match('f', ASKED_PATTERNS)}, 'none') AS unit FROM (SELECT DISTINCT answer_id, question_id, raw_value FROM normalized_answers) JOIN a ON id = question_id),
 x AS (SELECT *, raw_value / ({_by_magnitude()}) AS v FROM b)

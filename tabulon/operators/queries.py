@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import numbers, text
-from tabulon.operators import evaluation, extraction, normalization, programs, retrieval, units
+from tabulon.operators import analysis, evaluation, extraction, normalization, programs, retrieval, units
 from tabulon.operators.oracle import SQL
 from tabulon.sources import documents as sources
 from tabulon.sources import sinks
@@ -106,6 +106,34 @@ def question_tickers(spark: SparkSession, d: str) -> DataFrame:
     return exploded.join(known, "ticker", "left_semi").select("id", "ticker")
 
 
+@query
+def question_metrics(spark: SparkSession, d: str) -> DataFrame:
+    found = analysis.metrics(table(spark, d, "questions"), table(spark, d, "metric_terms"))
+    return found.select("id", F.array_join("metrics", ",").alias("metrics"), "needs_derived")
+
+
+@query
+def question_shapes(spark: SparkSession, d: str) -> DataFrame:
+    q = _questions(spark, d)
+    text_ = analysis.expanded(F.col("question"), F.col("metrics"), F.col("tickers"), F.col("years"))
+    return q.select("id", analysis.is_comparison(F.col("question")).alias("compares"), analysis.is_aggregate(F.col("question")).alias("aggregates"), text_.alias("expanded"))
+
+
+@query
+def fact_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The metric that the first cell of each row names, if it names one."""
+    items = normalization.cells(table(spark, d, "extracted_tables")).where("col_idx = 0 AND trim(cell) <> ''").select("table_ref", "row_idx", "cell")
+    names = analysis.listed(table(spark, d, "metric_terms"), "surface", "metric")
+    found = items.withColumn("s", analysis.find_terms(F.col("cell"), names)).where(F.size("s") > 0)
+    return found.select("table_ref", "row_idx", F.get("s", F.lit(0))["key"].alias("metric"))
+
+
+@query
+def inherited_sections(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "extracted_tables").select("table_ref", "doc_id", "position", "section", "is_continuation").dropDuplicates(["table_ref"])
+    return extraction.inherited(once).select("table_ref", F.col("section_or_before").alias("section"))
+
+
 @query
 def answers_in_asked_unit(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "questions").select(F.col("id").alias("question_id"), "question").dropDuplicates(["question_id"])

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.operators import evaluation, extraction, normalization, programs, retrieval
+from tabulon.operators import analysis, evaluation, extraction, normalization, programs, retrieval
 from tabulon.sources import documents as sources
 from tabulon.sources import sinks
 from tabulon.streaming import incremental
@@ -190,3 +190,17 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
 def test_windowed_counts(spark):
     events = spark.sql("SELECT timestamp'2024-01-01 00:01:00' t, 'a' k UNION ALL SELECT timestamp'2024-01-01 00:04:00', 'a' UNION ALL SELECT timestamp'2024-01-01 00:06:00', 'a'")
     assert sorted(r["n"] for r in incremental.windowed_counts(events, "t", "k").collect()) == [1, 2]
+
+
+def test_terms_longest_first():
+    terms = (("doanh thu", "a"), ("doanh thu thuan", "b"), ("thuan", "c"), ("thu", "d"))
+    assert [k for k, *_ in analysis.spans("Doanh thu thuần và thu khác, doanh thu", terms)] == ["b", "d", "a"]
+    assert analysis.spans("thuần", terms) == [("c", 0, 5)] and analysis.spans("thuanx", terms) == [] and analysis.spans(None, terms) == [] and analysis.spans("x", ()) == []
+
+
+def test_question_metrics(spark):
+    questions = spark.createDataFrame([(1, "ROE và doanh thu của AAA?"), (1, "ROE và doanh thu của AAA?"), (2, None), (3, "gì?")], "id int, question string")
+    terms = spark.createDataFrame([("sales", "Doanh thu", False), ("roe", "ROE", True), (None, "x", False), ("y", None, None)], "metric string, surface string, is_derived boolean")
+    got = {r["id"]: (r["metrics"], r["needs_derived"]) for r in analysis.metrics(questions, terms).collect()}
+    assert got == {1: (["roe", "sales"], True), 2: ([], False), 3: ([], False)}
+    assert {tuple(r["metrics"]) for r in analysis.metrics(questions, terms.limit(0)).collect()} == {()}
