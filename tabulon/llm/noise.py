@@ -50,6 +50,8 @@ _TABULAR = re.compile(r"^\s*\|.*\|\s*$|\t.*\t|\S {3,}\S.* {3,}\S|<table\b")
 _RULED = re.compile(r"^\s*\|?[-+:| ]*(?:--|-\+|-\|)[-+:| ]*\|?\s*$")
 _WIKI = re.compile(r"^\s*:*\{\|")
 _FORMULA = re.compile(r"\$\$.*?\$\$|\$[^$\n]*[\\^_=][^$\n]*\$|\\\(.*?\\\)|\\\[.*?\\\]|\\[a-zA-Z]+")
+#: What stands for a formula while a paragraph is repaired: its place among the formulas of the page, between signs no text holds; the other sign where it has no space beside it.
+_HELD = re.compile("(?: ?\ufdd1)?\ufdd0(\\d+)\ufdd0(?:\ufdd1 ?)?")
 _ITEM = re.compile(r"^\s*(?:[-+*•]|\d{1,3}[.)]|[a-zđ]\)|#{1,6}|>)\s+")
 _PUNCTUATION = ".,;:()[]{}\"'“”‘’«»!?…*+=<>–—-/%&"
 _NUMBER = re.compile(r"^[\d.,%/:-]+$")
@@ -94,7 +96,10 @@ class Page:
         self.lines = text.split("\n")
         lexer = Lexer(text)
         self.prose: list[str | None] = []
-        for line in self.lines:
+        #: Lines of prose with formulas: their text with a placeholder for each.
+        self.holding: dict[int, str] = {}
+        self.formulas: list[str] = []
+        for i, line in enumerate(self.lines):
             idle = not (lexer.fence or lexer.tag or lexer.comment or lexer.wiki or lexer.environments or lexer.display)
             if idle and ("|" in line or "\t" in line or "   " in line or "<t" in line or line.startswith("=====")) and (_TABULAR.search(line) or _MARKER.match(line)):
                 if not _WIKI.match(line):
@@ -106,6 +111,7 @@ class Page:
                 self.prose.append(None)
             elif "\\" in clean or "$" in clean:
                 self.prose.append(_FORMULA.sub(" ", clean))
+                self.holding[i] = _FORMULA.sub(self._hold, clean)
             else:
                 self.prose.append(None if _RULED.match(clean) else clean)
         self.number: list[str | None] = []
@@ -129,8 +135,22 @@ class Page:
                 filled += bool(self.lines[i].strip())
         self.paged = page is not None
 
-    def segments(self, skip: set[int] = frozenset()) -> Iterator[list[tuple[int, str]]]:
-        """Runs of lines of one paragraph: (line index, text)."""
+    def _hold(self, m: re.Match) -> str:
+        self.formulas.append(m.group())
+        before, after = m.string[: m.start()][-1:], m.string[m.end() :][:1]
+        lead, rest = " \ufdd1" if before.strip() else "", "\ufdd1 " if after.strip() else ""
+        return f"{lead}\ufdd0{len(self.formulas) - 1}\ufdd0{rest}"
+
+    def held(self, i: int) -> str | None:
+        """The prose of a line, with placeholders for its formulas."""
+        return self.holding.get(i, self.prose[i])
+
+    def released(self, text: str) -> str:
+        """text with its formulas in place of their placeholders."""
+        return _HELD.sub(lambda m: self.formulas[int(m.group(1))], text) if self.formulas else text
+
+    def segments(self, skip: set[int] = frozenset(), hold: bool = False) -> Iterator[list[tuple[int, str]]]:
+        """Runs of lines of one paragraph: (line index, text). hold: with placeholders for formulas."""
         run: list[tuple[int, str]] = []
         for i, text in enumerate(self.prose):
             if i in skip or (text is None and _MARKER.match(self.lines[i])):
@@ -140,6 +160,8 @@ class Page:
                     yield run
                 run = []
                 continue
+            if hold:
+                text = self.held(i)
             if _ITEM.match(text) or text.isupper():
                 if run:
                     yield run
@@ -759,29 +781,18 @@ class Reader:
         return False
 
     def repair(self, text: str | None) -> str | None:
-        """text as continuous paragraphs: no furniture, broken words joined, misread words replaced."""
+        """text as continuous paragraphs: no furniture, broken words joined, misread words replaced; formulas stay."""
         if not text:
             return text
         page, lexicon = Page(text), self.lexicon
         furniture = {i for i in range(len(page.lines)) if lexicon.furniture(page, i)}
         prose = [i for i in range(len(page.lines)) if i not in furniture and page.prose[i] is not None and page.prose[i].strip()]
-        joins = {a: True for a, b in zip(prose, prose[1:], strict=False) if page.prose[a].rstrip()[-1:] in _BREAKS and self.broken(page.prose[a], page.prose[b])}
+        joins = {a: True for a, b in zip(prose, prose[1:], strict=False) if page.held(a).rstrip()[-1:] in _BREAKS and self.broken(page.held(a), page.held(b))}
         mended: dict[int, str] = {}
-        for segment in page.segments(furniture):
+        for segment in page.segments(furniture, hold=True):
             words = self._mend(self._words_all(segment), joins)
-            out = []
-            skip = False
-            for k, (_, chunk, word) in enumerate(words):
-                if skip:
-                    skip = False
-                    continue
-                left = words[k - 1][2] if k else "<s>"
-                right = words[k + 1][2] if k + 1 < len(words) else "</s>"
-                beyond = words[k + 2][2] if k + 2 < len(words) else "</s>"
-                new, skip = self._word(chunk, left, word, right, beyond)
-                out.append(new)
-            lead = _ITEM.match(page.prose[segment[0][0]])
-            mended[segment[0][0]] = (lead.group() if lead else "") + " ".join(out)
+            lead = _ITEM.match(page.held(segment[0][0]))
+            mended[segment[0][0]] = page.released((lead.group() if lead else "") + " ".join(self._repaired(words)))
             for i, _ in segment[1:]:
                 mended[i] = ""
         kept = []
@@ -791,15 +802,31 @@ class Reader:
             kept.append(mended.get(i, line))
         return "\n".join(kept)
 
+    def _repaired(self, words: list[tuple[int, str, str]]) -> list[str]:
+        """The chunks of a segment, repaired. Those that stand for formulas are no words: their neighbours are read past them, but not put together."""
+        said = [k for k, w in enumerate(words) if not _HELD.match(w[1])]
+        cores = ["<s>", *(words[k][2] for k in said), "</s>", "</s>"]
+        out = [w[1] for w in words]
+        skip = False
+        for n, k in enumerate(said, 1):
+            if skip:
+                skip = False
+                continue
+            beside = n == len(said) or said[n] == k + 1
+            out[k], skip = self._word(words[k][1], cores[n - 1], cores[n], cores[n + 1], cores[n + 2], beside)
+            if skip:
+                out[said[n]] = ""
+        return [x for x in out if x]
+
     def _words_all(self, segment: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
         return [(i, chunk, core(chunk) or "#") for i, text in segment for chunk in text.split()]
 
-    def _word(self, chunk: str, left: str, word: str, right: str, beyond: str) -> tuple[str, bool]:
-        """(the repaired chunk, whether it took in the next)."""
+    def _word(self, chunk: str, left: str, word: str, right: str, beyond: str, beside: bool = True) -> tuple[str, bool]:
+        """(the repaired chunk, whether it took in the next). beside: nothing stands before the next word."""
         if word == "#" or not self.noisy(chunk, left, word, right, beyond):
             return chunk, False
         lexicon = self.lexicon
-        whole = lexicon.split(left, word, right, beyond) if right not in ("#", "</s>") else None
+        whole = lexicon.split(left, word, right, beyond) if beside and right not in ("#", "</s>") else None
         new = whole or lexicon.replacement(left, word, right) or lexicon.joined(left, word, right) or (_STRAY.sub("", word) if _STRAY.search(word) else word)
         bare = chunk.strip(_PUNCTUATION)
         at = chunk.find(bare) if bare else 0

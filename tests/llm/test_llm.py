@@ -310,6 +310,15 @@ def test_found_noise(spark):
     assert noise.found_lines(spark, docs, empty).count() == 1
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Công ty đã ghi $x_{t-3}$ nh~ận doanh thu\ntrong năm (\\(g^{2} \\leq 3\\)), theo báo cáo", "Công ty đã ghi $x_{t-3}$ nhận doanh thu trong năm (\\(g^{2} \\leq 3\\)), theo báo cáo"),
+     ("- $a_1$", "- $a_1$"), ("- doanh thu $a_1$\\(b_2\\) trong năm", "- doanh thu $a_1$\\(b_2\\) trong năm"), ("theo báo cáo\n$x_1$ - của ban", "theo báo cáo $x_1$ - của ban"), ("theo bá $x_1$ o cáo của", "theo bá $x_1$ o cáo của")],
+)
+def test_repair_keeps_formulas(reader, text, want):
+    assert reader.repair(text) == want
+
+
 def test_boosting_learns_a_rule():
     import numpy as np
 
