@@ -428,6 +428,10 @@ class Lexicon:
                 self.judged[key] = known
         return known
 
+    def calm(self, word: str, right: str) -> bool:
+        """Whether word, judged before, is wrong in no context in which right stands behind it."""
+        return self.apart.get((word, right)) is False and self.doubtful.get(word) is False
+
     def _halves(self, word: str) -> bool:
         n = self.words.get(word, 0)
         if not n:
@@ -634,6 +638,34 @@ def wrong_number(cell: str, code_column: bool) -> bool:
     return sum(c.isdigit() or c in "OoQDlIiSsBZzg|" for c in cell) > 0
 
 
+#: The digits for which scanners read letters. An upright stroke is a 1 or a speck.
+_DIGIT_OF = str.maketrans("OoQDlIiSsBZzgq", "00001115582299", "~*^'¦")
+#: A number whose digits, if there are separators, stand in threes behind them.
+_GROUPED = re.compile(r"^-?\(?-?\d{1,3}(?:(\D)\d{3}(?:\1\d{3})*)?\)?%?$")
+_BROKEN = re.compile(r"\w[-\xad¬\u2010\u2011]\n")
+
+
+def printed_number(cell: str) -> str:
+    """A misread number as it was printed: digits for letters, no specks. A stroke is a 1, unless only without it the digits stand in threes."""
+    text = cell.strip().translate(_DIGIT_OF)
+    strokes = text.count("|")
+    if not strokes:
+        return text
+    pieces, best = text.split("|"), None
+    for n in range(2 ** min(strokes, 6)):
+        new = pieces[0] + "".join(("" if n >> k & 1 else "1") + p for k, p in enumerate(pieces[1:]))
+        if _GROUPED.match(new):
+            return new
+        if best is None or _CLEAN.match(new) and not _CLEAN.match(best):
+            best = new
+    return best
+
+
+def furniture_cell(text: str) -> bool:
+    """Whether the only filled cell of a row, its first, is a page number, a running header or specks."""
+    return bool(_NUMBERED.match(text) and not text.isdigit() or _REPORT_LINE.search(text) or not any(c.isalnum() for c in text) and _SPECKS.match(text) and text != "-")
+
+
 class Reader:
     """Finds and repairs the noise of texts and cells with a lexicon."""
 
@@ -642,6 +674,8 @@ class Reader:
         self.sure: set[str] = set()
         self.unsure: set[str] = set()
         self.core_of: dict[str, str] = {}
+        #: (chunk, word behind it) that hold no noise whatever stands around them.
+        self.calm: set[tuple[str, str]] = set()
 
     def _words(self, segment: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
         """(line, chunk, word) of a segment, in order."""
@@ -759,10 +793,10 @@ class Reader:
         text = cell.strip()
         if not text:
             return False
-        if column == 0 and filled == 1 and (_NUMBERED.match(text) and not text.isdigit() or _REPORT_LINE.search(text) or not any(c.isalnum() for c in text) and _SPECKS.match(text) and text != "-"):
+        if column == 0 and filled == 1 and furniture_cell(text):
             return True
         if column or _NUMERIC.match(text) and any(c.isdigit() for c in text):
-            return bool(re.search(r"\w[-\xad¬\u2010\u2011]\n", text)) or wrong_number(text, column == 1) or (any(c.isalpha() for c in text) and len(text) > 4 and self._text(text))
+            return bool(_BROKEN.search(text)) or wrong_number(text, column == 1) or (any(c.isalpha() for c in text) and len(text) > 4 and self._text(text))
         return self._text(text)
 
     def _text(self, text: str) -> bool:
@@ -780,6 +814,36 @@ class Reader:
                 return True
         return False
 
+    def repair_cell(self, cell: str | None, column: int) -> str | None:
+        """A cell of a table, in a column from 0 and a row that is no furniture: numbers and words as they were printed, broken words joined."""
+        if not cell or not self.cell(cell, column, 2):
+            return cell
+        text = cell.strip()
+        for _ in range(3):  # a word may be doubtful only once its neighbour is repaired
+            new = self._cell(text, column)
+            if new == text or not self.cell(new, column, 2):
+                return new
+            text = new
+        return text
+
+    def _cell(self, text: str, column: int) -> str:
+        if column or _NUMERIC.match(text) and any(c.isdigit() for c in text):
+            if wrong_number(text, column == 1):
+                return printed_number(text) if _NUMERIC.match(text) or _CLEAN.match(text) else _STRAY.sub("", text)
+            if not any(c.isalpha() for c in text):
+                return text
+        lead = _ITEM.match(text)
+        parts = text[lead.end() if lead else 0 :].split("\n")
+        joins = {k: True for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (_BROKEN.search(f"{a}\n") if column else self.broken(a, b))}
+        parts = [p.rstrip() if k in joins else p for k, p in enumerate(parts)]
+        words = self._mend(self._words_all(list(enumerate(parts))), joins)
+        out, last = [], 0
+        for (k, _, _), chunk in zip(words, self._repaired(words, text.isupper()), strict=True):
+            if chunk:
+                out.append(("\n" if any(j not in joins for j in range(last, k)) else " ") * bool(out) + chunk)
+                last = k
+        return (lead.group() if lead else "") + "".join(out)
+
     def repair(self, text: str | None) -> str | None:
         """text as continuous paragraphs: no furniture, broken words joined, misread words replaced; formulas stay."""
         if not text:
@@ -792,7 +856,7 @@ class Reader:
         for segment in page.segments(furniture, hold=True):
             words = self._mend(self._words_all(segment), joins)
             lead = _ITEM.match(page.held(segment[0][0]))
-            mended[segment[0][0]] = page.released((lead.group() if lead else "") + " ".join(self._repaired(words)))
+            mended[segment[0][0]] = page.released((lead.group() if lead else "") + " ".join(x for x in self._repaired(words) if x))
             for i, _ in segment[1:]:
                 mended[i] = ""
         kept = []
@@ -802,9 +866,12 @@ class Reader:
             kept.append(mended.get(i, line))
         return "\n".join(kept)
 
-    def _repaired(self, words: list[tuple[int, str, str]]) -> list[str]:
-        """The chunks of a segment, repaired. Those that stand for formulas are no words: their neighbours are read past them, but not put together."""
-        said = [k for k, w in enumerate(words) if not _HELD.match(w[1])]
+    def _repaired(self, words: list[tuple[int, str, str]], loud: bool = True) -> list[str]:
+        """The chunks of a segment, repaired; empty where the one before took it in.
+
+        Those that stand for formulas are no words: their neighbours are read past them, but not put together.
+        """
+        said = [k for k, w in enumerate(words) if "\ufdd0" not in w[1]]
         cores = ["<s>", *(words[k][2] for k in said), "</s>", "</s>"]
         out = [w[1] for w in words]
         skip = False
@@ -812,19 +879,34 @@ class Reader:
             if skip:
                 skip = False
                 continue
+            chunk, word, pair = words[k][1], cores[n], (words[k][1], cores[n + 1])
+            if word == "#" or pair in self.calm:
+                continue
+            if not self.noisy(chunk, cores[n - 1], word, cores[n + 1], cores[n + 2], loud):
+                if loud and self.lexicon.calm(word, cores[n + 1]) and len(self.calm) < 500_000:
+                    self.calm.add(pair)
+                continue
             beside = n == len(said) or said[n] == k + 1
-            out[k], skip = self._word(words[k][1], cores[n - 1], cores[n], cores[n + 1], cores[n + 2], beside)
+            out[k], skip = self._word(chunk, cores[n - 1], word, cores[n + 1], cores[n + 2], beside)
             if skip:
                 out[said[n]] = ""
-        return [x for x in out if x]
+        return out
 
     def _words_all(self, segment: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
-        return [(i, chunk, core(chunk) or "#") for i, text in segment for chunk in text.split()]
+        of = self.core_of
+        out = []
+        for i, text in segment:
+            for chunk in text.split():
+                word = of.get(chunk)
+                if word is None:
+                    word = core(chunk)
+                    if len(of) < 500_000:
+                        of[chunk] = word
+                out.append((i, chunk, word or "#"))
+        return out
 
-    def _word(self, chunk: str, left: str, word: str, right: str, beyond: str, beside: bool = True) -> tuple[str, bool]:
-        """(the repaired chunk, whether it took in the next). beside: nothing stands before the next word."""
-        if word == "#" or not self.noisy(chunk, left, word, right, beyond):
-            return chunk, False
+    def _word(self, chunk: str, left: str, word: str, right: str, beyond: str, beside: bool) -> tuple[str, bool]:
+        """(a noisy chunk repaired, whether it took in the next). beside: nothing stands before the next word."""
         lexicon = self.lexicon
         whole = lexicon.split(left, word, right, beyond) if beside and right not in ("#", "</s>") else None
         new = whole or lexicon.replacement(left, word, right) or lexicon.joined(left, word, right) or (_STRAY.sub("", word) if _STRAY.search(word) else word)
@@ -931,3 +1013,38 @@ def repaired(documents: DataFrame, shared, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([reader.repair(t) for t in batch.column(1).to_pylist()], pa.string())], [id_col, "text"])
 
     return documents.select(id_col, text_col).mapInArrow(run, T.StructType([documents.schema[id_col], T.StructField("text", T.StringType())]))
+
+
+CELLS = T.StructType([*FOUND.fields, T.StructField("text", T.StringType())])
+
+
+def repaired_cells(tables: DataFrame, shared) -> DataFrame:
+    """(record_key, line_no, col_no, text) of all cells of tables(table_ref, rows), repaired. Rows that are furniture are left out, the others keep their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _reader(shared)
+        seen: dict[tuple, str] = {}
+        for batch in batches:
+            keys, rows, columns, texts = [], [], [], []
+            for key, table in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for r, row in enumerate(table or (), 1):
+                    if not row:
+                        continue
+                    if row[0] and row[0].strip() and not any(c and not c.isspace() for c in row[1:]) and furniture_cell(row[0].strip()):
+                        continue
+                    for c, cell in enumerate(row):
+                        new = cell
+                        if cell and not (c > 1 and _PRINTED.match(cell)):
+                            what = (cell, min(c, 2))
+                            new = seen.get(what)
+                            if new is None:
+                                new = reader.repair_cell(cell, c)
+                                if len(seen) < 500_000:
+                                    seen[what] = new
+                        keys.append(key)
+                        rows.append(r)
+                        columns.append(c + 1)
+                        texts.append(new)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(rows, pa.int64()), pa.array(columns, pa.int64()), pa.array(texts, pa.string())], CELLS.names)
+
+    return tables.select(F.col("table_ref").cast("string"), "rows").mapInArrow(run, CELLS)

@@ -22,6 +22,17 @@ def _scan(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
     return spread(table(spark, d, name).select(*columns))
 
 
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """Each record once, in parts enough for work in Python."""
+    return rows.repartition(partitions(rows), key).dropDuplicates([key])
+
+
+def _texts_and_cells(texts: DataFrame, source: str, cells: DataFrame) -> DataFrame:
+    """(source_table, record_key, line_no, col_no, text): whole texts of raw_documents at line and column 0, and cells of source from 1."""
+    whole = texts.select(*_record("raw_documents", "doc_id", F.lit(0).cast("long").alias("line_no"), F.lit(0).cast("long").alias("col_no"), "text"))
+    return whole.unionByName(cells.select(*_record(source, "record_key", "line_no", "col_no", "text")))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     metrics, titles = table(spark, d, "metric_terms"), table(spark, d, "title_terms")
     terms = table(spark, d, "term_matches").select("match_id", "metric", "surface")
@@ -89,7 +100,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     documents, tables = _scan(spark, d, "raw_documents", "doc_id", "text"), _scan(spark, d, "extracted_tables", "table_ref", "rows")
-    return noise.repaired(documents.select("doc_id", "text").dropDuplicates(["doc_id"]), _shared_lexicon(spark, documents, tables))
+    shared = _shared_lexicon(spark, documents, tables)
+    texts, cells = noise.repaired(_once(documents, "doc_id"), shared), noise.repaired_cells(_once(tables, "table_ref"), shared)
+    return _texts_and_cells(texts, "extracted_tables", cells)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -319,6 +319,32 @@ def test_repair_keeps_formulas(reader, text, want):
     assert reader.repair(text) == want
 
 
+@pytest.mark.parametrize(
+    ("cell", "column", "want"),
+    [("1.2S4", 2, "1.254"), ("(3.038.S77.551.78o)", 2, "(3.038.577.551.780)"), ("193.848*.722'", 3, "193.848.722"), ("28.3|5", 2, "28.315"), ("|153.059", 2, "153.059"), ("4^56", 1, "456"), ("V.~01", 1, "V.01"), ("1.234", 2, "1.234"),
+     ("12a", 1, "12a"), ("n/a", 2, "n/a"), (None, 2, None), ("", 0, ""), ("theo báo cáo cúa ban điều hành", 0, "theo báo cáo của ban điều hành"), ("Công ty đã ghi nhậndoanh thu", 0, "Công ty đã ghi nhận doanh thu"),
+     ("- theo bá o cáo của ban", 0, "- theo báo cáo của ban"), ("Công ty đã ghi nh-\nận doanh thu", 0, "Công ty đã ghi nhận doanh thu"), ("Công ty\nđã ghi nh~ận", 0, "Công ty\nđã ghi nhận")],
+)
+def test_repair_of_cells(reader, cell, column, want):
+    assert reader.repair_cell(cell, column) == want
+
+
+def test_repaired_cells(spark):
+    tables = spark.createDataFrame([("t", [["Trang 3", ""], ["x", "12", "1.2S4"], None, [None, "1"]]), ("u", None), ("v", [])], "table_ref string, rows array<array<string>>")
+    shared = spark.sparkContext.broadcast(noise.Lexicon({}, {}, {}))
+    got = [tuple(r) for r in noise.repaired_cells(tables, shared).collect()]
+    assert sorted(got, key=lambda r: r[:3]) == [("t", 2, 1, "x"), ("t", 2, 2, "12"), ("t", 2, 3, "1.254"), ("t", 4, 1, None), ("t", 4, 2, "1")]
+
+
+def test_repaired_has_texts_and_cells(spark, small):
+    got = queries.p6_repaired(spark, small).groupBy("source_table").agg(F.count_distinct("record_key").alias("n"), F.count("*").alias("rows")).collect()
+    counted = {r["source_table"]: (r["n"], r["rows"]) for r in got}
+    texts, tables = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("raw_documents", "extracted_tables"))
+    n = texts.select("doc_id").distinct().count()
+    assert counted["raw_documents"] == (n, n)
+    assert counted["extracted_tables"][0] == tables.where(F.size("rows") > 0).select("table_ref").distinct().count()
+
+
 def test_boosting_learns_a_rule():
     import numpy as np
 
