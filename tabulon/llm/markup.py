@@ -310,6 +310,10 @@ def clean(text: str | None) -> str | None:
     return "\n".join(line for _, _, line in lines(text) if line is not None)
 
 
+#: The raised mark of a note at the end of a line of a cell; squares of a length and powers of ten are none.
+_NOTE = re.compile(r"(?<=\S)(?<!\bm)(?<!\b[cdkm]m)(?<![x×·*]10)(?<![x×·*] 10)[ \t]*<sup>\s*[(\[]?(?:\d{1,2}|\*{1,3})[)\]]?\s*</sup>[ \t]*$", re.I | re.M)
+
+
 def clean_cell(cell: str | None) -> tuple[bool, str | None]:
     """(whether a cell holds markup, the clean cell). A cell is a text of its own, of one or more lines."""
     if not cell or not _SIGN.search(cell):
@@ -317,6 +321,8 @@ def clean_cell(cell: str | None) -> tuple[bool, str | None]:
     holds, text = Lexer(cell)._markup(cell.replace("\n", "\x01"))
     if not holds:
         return False, cell
+    if "<sup" in cell.lower():  # else the mark would run into the number before it
+        text = Lexer(cell)._markup(_NOTE.sub("", cell).replace("\n", "\x01"))[1]
     text = re.sub(r"\$([^$\\^_={}]*)\$", r"\1", text or "")
     return True, "\n".join(part.strip() for part in text.split("\x01"))
 
@@ -362,3 +368,20 @@ def cleaned(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(t) for t in batch.column(1).to_pylist()], pa.string())], [id_col, "text"])
 
     return documents.select(id_col, text_col).mapInArrow(run, T.StructType([documents.schema[id_col], T.StructField("text", T.StringType())]))
+
+
+CELLS = T.StructType([*LINE_SCHEMA.fields, T.StructField("text", T.StringType())])
+
+
+def cleaned_cells(tables: DataFrame) -> DataFrame:
+    """(record_key, line_no, col_no, text) with the clean text of each cell of tables(table_ref, rows)."""
+    rows = tables.select(F.col("table_ref").cast("string").alias("record_key"), F.posexplode("rows").alias("r", "row"))
+    cells = rows.select("record_key", (F.col("r") + 1).cast("long").alias("line_no"), F.posexplode("row").alias("c", "text"))
+    cells = cells.select("record_key", "line_no", (F.col("c") + 1).cast("long").alias("col_no"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = pa.array([clean_cell(c)[1] for c in batch.column(3).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], clean], CELLS.names)
+
+    return cells.mapInArrow(run, CELLS)

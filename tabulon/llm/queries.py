@@ -54,7 +54,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.cleaned(table(spark, d, "raw_documents").select("doc_id", "text").dropDuplicates(["doc_id"]))
+    texts = markup.cleaned(_once(table(spark, d, "raw_documents").select("doc_id", "text"), "doc_id"))
+    cells = markup.cleaned_cells(_once(table(spark, d, "html_tables").select("table_ref", "rows"), "table_ref"))
+    return _texts_and_cells(texts, "html_tables", cells)
 
 
 _FIELDS = (("questions", "id", "question"), ("table_catalog", "table_ref", "title"), ("term_matches", "match_id", "surface"))

@@ -336,6 +336,22 @@ def test_repaired_cells(spark):
     assert sorted(got, key=lambda r: r[:3]) == [("t", 2, 1, "x"), ("t", 2, 2, "12"), ("t", 2, 3, "1.254"), ("t", 4, 1, None), ("t", 4, 2, "1")]
 
 
+@pytest.mark.parametrize(("cell", "want"), [("2.090<sup>1</sup>", "2.090"), ("31/12/2024<sup>(1)</sup>\n<b>đồng</b>", "31/12/2024\nđồng"), ("m<sup>2</sup>", "m2"), ("Lãi<sup>*</sup>", "Lãi")])
+def test_notes_of_cells_do_not_run_into_numbers(cell, want):
+    assert markup.clean_cell(cell) == (True, want)
+
+
+def test_cleaned_has_texts_and_cells(spark, small):
+    tables = spark.createDataFrame([("t", [["**Lãi** gộp", "<b>12</b>"], None, [None, "x"]]), ("u", None)], "table_ref string, rows array<array<string>>")
+    got = sorted((tuple(r) for r in markup.cleaned_cells(tables).collect()), key=lambda r: r[:3])
+    assert got == [("t", 1, 1, "Lãi gộp"), ("t", 1, 2, "12"), ("t", 3, 1, None), ("t", 3, 2, "x")]
+    counted = {r["source_table"]: (r["n"], r["rows"]) for r in queries.p2_clean(spark, small).groupBy("source_table").agg(F.count_distinct("record_key").alias("n"), F.count("*").alias("rows")).collect()}
+    texts, html = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("raw_documents", "html_tables"))
+    n = texts.select("doc_id").distinct().count()
+    cells = html.dropDuplicates(["table_ref"]).select("table_ref", F.explode(F.flatten("rows")))
+    assert counted == {"raw_documents": (n, n), "html_tables": (cells.select("table_ref").distinct().count(), cells.count())}
+
+
 def test_repaired_has_texts_and_cells(spark, small):
     got = queries.p6_repaired(spark, small).groupBy("source_table").agg(F.count_distinct("record_key").alias("n"), F.count("*").alias("rows")).collect()
     counted = {r["source_table"]: (r["n"], r["rows"]) for r in got}
