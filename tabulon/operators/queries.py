@@ -37,6 +37,13 @@ def p4_amounts(spark: SparkSession, d: str) -> DataFrame:
     return cells.join(factors, "table_ref").select("table_ref", "row_idx", "col_idx", "right_unit", (F.col("amount") * F.col("factor")).alias("dong"))
 
 
+@query
+def p4_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every answer in the unit that its question asks for."""
+    answers = units.answer_units(table(spark, d, "normalized_answers"), table(spark, d, "questions"), table(spark, d, "units"))
+    return answers.select("answer_id", "right_unit", "common")
+
+
 # --- scalars
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from tabulon.operators import units
+from tabulon.operators import queries, units
 
 UNITS = [("dong", 1.0, "money"), ("nghin_dong", 1e3, "money"), ("trieu_dong", 1e6, "money"), ("ty_dong", 1e9, "money"), ("tram_ty_dong", 1e11, "money"), ("nghin_ty_dong", 1e12, "money"), ("percent", 1.0, "ratio"), ("times", 1.0, "ratio")]
 
@@ -49,3 +49,11 @@ def test_empty_tables(spark):
         spark.createDataFrame([], "id int, question string"), spark.createDataFrame(UNITS, "unit string, factor double, kind string"),
     )
     assert got.count() == 0
+
+
+def test_every_answer_comes_out_in_its_unit(spark, small):
+    got = {r["answer_id"]: r for r in queries.queries()["p4_answers"](spark, small).collect()}
+    factors = {r["unit"]: r["factor"] for r in spark.read.parquet(f"{small}/units.parquet").collect()}
+    raw = {r["answer_id"]: r["raw_value"] for r in spark.read.parquet(f"{small}/normalized_answers.parquet").collect()}
+    assert set(got) == set(raw)
+    assert all(r["common"] * factors[r["right_unit"]] == pytest.approx(raw[k]) for k, r in got.items())
