@@ -383,6 +383,20 @@ def content_rerank(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("qid", "table_ref", "content", F.row_number().over(order).alias("rank"))
 
 
+@query
+def content_order(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates of each question: the first 35 by what their rows say (or the card of a table without rows), the tail behind them."""
+    questions, catalog = _questions(spark, d), _catalog(spark, d)
+    q = questions.select(F.col("id").alias("qid"), "question", text.phrases(F.col("question")).alias("p"), F.filter(text.tokens(F.col("question")), lambda w: F.length(w) >= 2).alias("w"))
+    rows = retrieval.contents(normalization.facts(table(spark, d, "extracted_tables"), table(spark, d, "raw_documents")))
+    cards = normalization.card_or_fields(catalog).join(catalog.select("table_ref", "section"), "table_ref")
+    texts = cards.join(rows, "table_ref", "full").select("table_ref", "section", text.fold(F.coalesce("content", "card")).alias("t"))
+    pool = _candidates(spark, d).join(q, "qid", "left").join(texts, "table_ref", "left")
+    content = retrieval.phrase_score(F.col("p"), F.col("w"), F.col("t")) + retrieval.cash_flow_score(F.col("question"), F.col("t"), F.col("section"))
+    scored = pool.select("qid", "table_ref", "rank", "score", F.when(F.col("p").isNull() | F.col("t").isNull(), 0).otherwise(content).alias("content"))
+    return retrieval.content_ordered(scored, "qid", "table_ref")
+
+
 def _shape(spark: SparkSession, d: str) -> DataFrame:
     q = _questions(spark, d)
     size = retrieval.budget(F.size("tickers"), F.size("years"), F.col("needs_derived"), 24)

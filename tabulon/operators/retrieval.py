@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.functions.lookalikes import canonical
 from tabulon.functions.text import tokens
 from tabulon.session import spread
 
@@ -149,6 +151,38 @@ def phrase_score(phrases: Column, words: Column, text: Column) -> Column:
     return 6 * holds(phrases) + 2 * holds(words)
 
 
+#: What a question says that asks for a balance, and one that asks for cash flows; in lower case with accents, for folded "quỹ" is also a quarter and "dòng tiền" a currency.
+BALANCE, CASH_FLOW = "số dư|cuối năm|đầu năm|tại ngày|quỹ|ngành", "lưu chuyển tiền|dòng tiền|tiền thuần từ"
+
+
+@F.pandas_udf(T.StringType())
+def _plain(questions: pd.Series) -> pd.Series:
+    return questions.map(lambda q: canonical(q).lower(), na_action="ignore")
+
+
+def cash_flow_score(question: Column, text: Column, section: Column) -> Column:
+    """-10 for a cash-flow table where a question asks for a balance and not for cash flows, 6 where it does ask for them, else 0."""
+    asked = _plain(question)
+    is_table = F.coalesce(F.contains(text, F.lit("luu chuyen tien")) | F.coalesce(section == "cash_flow", F.lit(False)), F.lit(False))
+    return F.when(~is_table, 0).when(asked.rlike(CASH_FLOW), 6).when(asked.rlike(BALANCE), -10).otherwise(0)
+
+
+def contents(facts: DataFrame, most: int = 120) -> DataFrame:
+    """(table_ref, content): the items, then the column labels of the first facts of each table."""
+    place = F.row_number().over(Window.partitionBy("table_ref").orderBy("row_idx", "year", "period", "column_label", "item"))
+    first = facts.select("table_ref", "item", "column_label", place.alias("_k")).where(F.col("_k") <= most)
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", c))), lambda s: s[c]), " ")
+    return first.groupBy("table_ref").agg(F.concat_ws(" ", listed("item"), listed("column_label")).alias("content"))
+
+
+def content_ordered(scored: DataFrame, group: str, item: str, head: int = 35) -> DataFrame:
+    """scored(group, item, rank, score, content) in a new order: the first `head` by content and score, the others behind them as they were, without a content."""
+    first = F.col("rank") <= head
+    whole = F.col("content") * 10 + F.col("score")
+    order = Window.partitionBy(group).orderBy(F.when(first, 0).otherwise(1), F.desc(F.when(first, whole)), F.desc(F.when(first, F.col("score"))), F.when(~first, F.col("rank")), item)
+    return scored.select(group, item, F.when(first, F.col("content")).alias("content"), F.row_number().over(order).alias("rank"))
+
+
 def budget(n_tickers: Column, n_years: Column, derived: Column, most: int) -> Column:
     """How many tables a question needs."""
     return (

@@ -204,3 +204,24 @@ def test_question_metrics(spark):
     got = {r["id"]: (r["metrics"], r["needs_derived"]) for r in analysis.metrics(questions, terms).collect()}
     assert got == {1: (["roe", "sales"], True), 2: ([], False), 3: ([], False)}
     assert {tuple(r["metrics"]) for r in analysis.metrics(questions, terms.limit(0)).collect()} == {()}
+
+
+def test_content_order_keeps_the_tail(spark):
+    rows = [(1, f"t{i:02}", i, 1.0 / i, 0 if i != 35 else 8) for i in range(1, 41)]
+    got = {r["table_ref"]: r for r in retrieval.content_ordered(spark.createDataFrame(rows, "qid int, table_ref string, rank int, score double, content int"), "qid", "table_ref").collect()}
+    assert len(got) == 40 and got["t35"]["rank"] == 1 and got["t01"]["rank"] == 2
+    assert [got[f"t{i}"]["rank"] for i in range(36, 41)] == [36, 37, 38, 39, 40] and got["t36"]["content"] is None
+
+
+def test_cash_flow_score(spark):
+    rows = [("Số dư cuối năm là bao nhiêu?", "luu chuyen tien thuan", None, -10), ("Dòng tiền cuối năm?", "x", "cash_flow", 6), ("Quý 4 là bao nhiêu đồng tiền?", "x", "cash_flow", 0), ("Quỹ khen thưởng?", "x", "cash_flow", -10), ("Số dư?", "x", None, 0), (None, None, None, 0)]
+    df = spark.createDataFrame(rows, "q string, t string, s string, want int")
+    assert df.where(retrieval.cash_flow_score(F.col("q"), F.col("t"), F.col("s")) != F.col("want")).count() == 0
+
+
+def test_content_order_has_every_candidate(spark, small):
+    from tabulon.operators import queries
+
+    want = spark.read.parquet(f"{small}/candidates.parquet").select("qid", "table_ref").distinct()
+    got = queries.queries()["content_order"](spark, small)
+    assert got.count() == want.count() == got.join(want, ["qid", "table_ref"]).count()
