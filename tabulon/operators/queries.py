@@ -362,10 +362,15 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 over the cards that each question's constraints admit, fused with the dense ranking of the candidates."""
+    """BM25 over the cards that each question's constraints admit, fused with the dense ranking of the candidates.
+
+    A question without a known code is held against the tables of its years; without these, against all.
+    """
     questions, catalog = _questions(spark, d), _catalog(spark, d)
-    allowed = retrieval.admitted(questions, catalog).select("id", "table_ref")
-    sparse = retrieval.bm25(normalization.card_or_fields(catalog), "table_ref", "card", questions, "id", "question", 50, allowed).select(F.col("id").alias("qid"), "table_ref", "rank")
+    by_year = retrieval.admitted_by_year(questions, catalog)
+    allowed = retrieval.admitted(questions, catalog).select("id", "table_ref").unionByName(by_year)
+    free = retrieval.unfiltered(questions, catalog).join(by_year, "id", "left_anti")
+    sparse = retrieval.bm25(normalization.card_or_fields(catalog), "table_ref", "card", questions, "id", "question", 50, allowed, free).select(F.col("id").alias("qid"), "table_ref", "rank")
     dense = _candidates(spark, d).where("dense IS NOT NULL")
     dense = dense.select("qid", "table_ref", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dense"), "table_ref")).alias("rank")).where("rank <= 50")
     fused = retrieval.top(retrieval.fused_ranks(sparse, dense, "qid", "table_ref"), "qid", "table_ref", "score", 20)

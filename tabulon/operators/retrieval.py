@@ -30,11 +30,11 @@ def document_frequencies(frequencies: DataFrame, n: int) -> DataFrame:
     return frequencies.groupBy("term").agg(df.alias("df")).withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def bm25(texts: DataFrame, id_col: str, text_col: str, queries: DataFrame, query_id: str, query_text: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def bm25(texts: DataFrame, id_col: str, text_col: str, queries: DataFrame, query_id: str, query_text: str, k: int, allowed: DataFrame | None = None, free: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k best texts of each query with a score above 0.
 
     Only postings of terms that some query holds are kept; statistics are those of all texts, also under `allowed`
-    (query_id, id), which restricts the join to pairs that a filter admits.
+    (query_id, id), which restricts the join to pairs that a filter admits; queries of `free` (query_id) are held against all texts nevertheless.
     """
     words = spread(texts.select(id_col, text_col)).select(id_col, tokens(F.col(text_col)).alias("_t"))
     sizes = words.select(id_col, F.size("_t").alias("_len"))
@@ -49,6 +49,8 @@ def bm25(texts: DataFrame, id_col: str, text_col: str, queries: DataFrame, query
         pairs = asked.join(weighted, "term")
     else:  # the admitted pairs first: their terms are far fewer than the postings of all terms
         pairs = allowed.select(query_id, id_col).distinct().join(asked, query_id).join(weighted, [id_col, "term"])
+        if free is not None:
+            pairs = pairs.unionByName(asked.join(free.select(query_id), query_id, "left_semi").join(weighted, "term"))
     scored = pairs.groupBy(query_id, id_col).agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
     return top(scored, query_id, id_col, "score", k)
 
@@ -145,6 +147,12 @@ def unfiltered(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     return questions.select("id").distinct().join(known, "id", "left_anti")
 
 
+def admitted_by_year(questions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(id, table_ref): for questions whose code admits no table, the tables of their years."""
+    asked = questions.join(unfiltered(questions, catalog), "id", "left_semi").select("id", F.explode("years").alias("year"))
+    return asked.join(catalog.select("table_ref", "year"), "year").select("id", "table_ref").distinct()
+
+
 def phrase_score(phrases: Column, words: Column, text: Column) -> Column:
     """6 for each phrase and 2 for each word of a question that a folded text holds."""
     holds = lambda a: F.size(F.filter(F.array_distinct(a), lambda p: F.contains(text, p)))

@@ -225,3 +225,19 @@ def test_content_order_has_every_candidate(spark, small):
     want = spark.read.parquet(f"{small}/candidates.parquet").select("qid", "table_ref").distinct()
     got = queries.queries()["content_order"](spark, small)
     assert got.count() == want.count() == got.join(want, ["qid", "table_ref"]).count()
+
+
+def test_hybrid_search_without_a_known_code(spark, small, tmp_path):
+    from tabulon.operators import queries
+
+    for name in ("table_catalog", "candidates", "questions"):
+        df = spark.read.parquet(f"{small}/{name}.parquet")
+        if name == "questions":
+            ids = [r["id"] for r in df.select("id").distinct().orderBy("id").limit(2).collect()]
+            df = df.where(F.col("id").isin(ids)).withColumn("tickers", F.array(F.lit("NONE"))).withColumn("years", F.when(F.col("id") == ids[0], F.array(F.lit(2020))).otherwise(F.array().cast("array<int>")))
+        if name == "candidates":
+            df = df.limit(0)
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = queries.queries()["hybrid_search"](spark, str(tmp_path)).join(spark.read.parquet(f"{tmp_path}/table_catalog.parquet").select("table_ref", "year").distinct(), "table_ref")
+    years = {q: {r["year"] for r in got.where(F.col("qid") == q).collect()} for q in ids}
+    assert years[ids[0]] == {2020} and len(years[ids[1]]) > 1
