@@ -61,28 +61,105 @@ def _levenshtein(a, b):
     return row[-1]
 
 
+def _spans(value):
+    """The runs of whole words of a value, without separators."""
+    words = matching._letters(matching.fold(value))
+    return {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
+
+
+def _brute_near(value, entries):
+    """(errors, letters, key) of every entry within its distance of a run of words of value."""
+    out = {}
+    for e in entries:
+        best = min((_levenshtein(s, e) for s in _spans(value)), default=99)
+        if best <= matching.allowed(len(e)):
+            out[e] = (best / len(e), -len(e))
+    return sorted((*v, k) for k, v in out.items())
+
+
 def test_automaton_against_brute_force():
     rng = random.Random(5)
-    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(9, 14))) for _ in range(40)]
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(5, 26))) for _ in range(60)]
     trie = matching.TermTrie([(w, w) for w in words], {})
-    for _ in range(200):
-        base = list(rng.choice(words))
-        for _ in range(rng.randrange(4)):
+    values = []
+    for _ in range(150):
+        base = list(rng.choice(words) + (" " + rng.choice(words) if rng.random() < 0.4 else ""))
+        for _ in range(rng.randrange(5)):
             base[rng.randrange(len(base))] = rng.choice("abcd")
-        value = "".join(base)
-        best = min(_levenshtein(value, w) for w in words if _levenshtein(value, w) <= matching.allowed(len(w))) if any(_levenshtein(value, w) <= matching.allowed(len(w)) for w in words) else None
-        found = trie.near(value)
-        assert (not found) == (best is None)
-        if found:
-            assert {f[2] for f in found} == {w for w in words if _levenshtein(value, w) == best and best <= matching.allowed(len(w))}
+        values.append("".join(base))
+    for value, found in zip(values, trie.near(values), strict=True):
+        want = _brute_near(value, words)
+        assert found == want if want else all(f[1] <= -matching._CUT for f in found), value
+
+
+def test_walk_on_typed_terms(small):
+    """The entries found for a sample of the project's own values are those that brute force finds."""
+    import duckdb
+
+    entries = duckdb.sql(f"SELECT metric, surface FROM '{small}/metric_terms.parquet'").fetchall()
+    values = [r[0] for r in duckdb.sql(f"SELECT DISTINCT surface FROM '{small}/term_matches.parquet' WHERE surface IS NOT NULL ORDER BY 1 LIMIT 20").fetchall()]
+    trie = matching.TermTrie(entries, {})
+    paths = {}
+    for k, s in entries:
+        words = matching._letters(matching.fold(s))
+        for i in range(len(words)):
+            paths.setdefault("".join(words[i:] + words[:i]), set()).add(k)
+    windows = [w for i, v in enumerate(values) for w in trie._windows(i, matching.fold(v))]
+    got = {}
+    for i, key, letters, e in trie._walk(windows, trie.most):
+        got.setdefault(i, set()).add((trie.keys[key], letters, e))
+    for i, v in enumerate(values):
+        want = {(k, len(e), round(share * len(e))) for share, _, e in _brute_near(v, paths) for k in paths[e]}
+        assert got.get(i, set()) == want, v
+
+
+def test_windows_of_long_values():
+    entries = [("x", "alpha beta gamma"), ("y", "delta epsilon zeta eta theta"), ("z", "q" * 70)]
+    trie = matching.TermTrie(entries, {})
+    rng = random.Random(1)
+    filler = ["".join(rng.choice("mnopr") for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    for at in range(0, 60, 7):
+        words = filler[:at] + ["alpha", "betta", "gamma"] + filler[at:]
+        assert [f[2] for f in trie.near([" ".join(words)])[0]] == ["x"]
+    assert [f[2] for f in trie.near([" ".join(filler) + " " + "q" * 69])[0]] == ["z"]
+    assert trie.near(["m" * 500 + " alpha beta gamma"])[0][0][2] == "x"
+
+
+def test_words_cut_short():
+    trie = matching.TermTrie([*ENTRIES, ("r", "phí " * 30 + "cuối")])
+    assert trie.match("D. thu thuần b. hàng") == "net_sales" and trie.match("tương đ. tiền và tiền") == "cash"
+    assert trie.match("thu. b. x.") == "unmatched"
+
+
+def test_many_aliases_of_one_entry():
+    trie = matching.TermTrie([("k", "chi phí " * 40)])
+    assert trie.match("cp " * 39 + "chi phí") == "k" and len(trie.count) < 100_000
 
 
 def test_map_to_entries(spark):
-    values = spark.createDataFrame([(1, "Net sales of goods", "k"), (1, "Net sales of goods", "k"), (2, None, None), (3, "khác hẳn", "k")], "id int, v string, entry string").drop("entry")
+    values = spark.createDataFrame([(1, "Net sales of goods", "k"), (1, "Net sales of goods", "k"), (2, None, None), (3, "khác hẳn", "k")], "id int, v string, entry string")
     entries = spark.createDataFrame([*ENTRIES, (None, "x"), ("y", None)], "key string, surface string")
-    assert sorted((r["id"], r["entry"]) for r in matching.map_to_entries(values, entries, "v").collect()) == [(1, "net_sales"), (1, "net_sales"), (2, "unmatched"), (3, "unmatched")]
+    got = matching.map_to_entries(values, entries, "v")
+    assert got.columns == ["id", "v", "entry"]
+    assert sorted((r["id"], r["entry"]) for r in got.collect()) == [(1, "net_sales"), (1, "net_sales"), (2, "unmatched"), (3, "unmatched")]
     assert {r["entry"] for r in matching.map_to_entries(values, entries.limit(0), "v").collect()} == {"unmatched"}
     assert matching.map_to_entries(values.limit(0), entries, "v").count() == 0
+    clash = values.select("id", F.col("v").alias("_v"), F.lit("x").alias("v"), F.lit(1).alias("key"), F.lit(2).alias("_row"))
+    assert sorted((r["id"], r["entry"]) for r in matching.map_to_entries(clash, entries, "_v").collect())[0] == (1, "net_sales")
+
+
+def test_shards_equal_one_trie(spark):
+    """A list in several tries gives what one trie gives: the nearest of all, and the record's own key wherever it stands."""
+    entries = [("far", "doanh thu thuan ban hamg"), ("right", "doanh thu thuan ban hang"), *((f"k{i}", f"khoan muc so {i:04d} khac") for i in range(30)), *ENTRIES[1:]]
+    listed = spark.createDataFrame(entries, "key string, surface string")
+    values = [("doanh thu thuan ban hang", None), ("doanh thu thuan ban hang", "FAR"), ("khoan muc so 0007 khac", "k8"), ("Net sales of goods", "right"), ("hoàn toàn lạ", "K-9"), ("twin entry one", "a2"), (None, "k1"), ("khoan muc so 00017 khác", None)]
+    df = spark.createDataFrame(values, "v string, h string")
+    trie = matching.TermTrie(entries)
+    want = sorted((str(v), str(h), trie.match(v, h)) for v, h in values)
+    assert ("doanh thu thuan ban hang", "None", "right") in want and ("doanh thu thuan ban hang", "FAR", "far") in want
+    for most in (1_000, 12):
+        got = matching.map_to_entries(df, listed, "v", "h", most_entries=most).collect()
+        assert sorted((str(r["v"]), str(r["h"]), r["entry"]) for r in got) == want
 
 
 # --- markup
