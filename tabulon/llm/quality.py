@@ -1,13 +1,16 @@
 """Per-document text statistics, and prose told from lists, tables and junk (problem 9).
 
 Statistics are computed for every document; a Gaussian mixture with diagonal covariances is fitted to them,
-standardized, by expectation-maximization over all documents: each step sums the moments of a partition where its rows
-are, and only those sums reach the driver. Components start at the statistics of inspected examples and are named by
-the responsibilities that the fitted mixture gives to the same examples.
+standardized, by expectation-maximization over all documents until it no longer gains: each step sums the moments of a
+partition where its rows are, and only those sums reach the driver. The components start in well-filled cells of the
+statistics, far from each other; inspected examples take no part in the fit and only name the fitted components.
+
+The statistics are written to a checkpoint, so that the texts are measured once and the steps read a hundred bytes a
+document; the fit runs when the query is built.
 
 Defined cases: a null, empty or blank text has zero words, null shares and no class; a text of one line or of one word
 has all statistics; repeated rows give repeated results; very long texts are measured whole; a corpus without any text
-leaves the mixture at the examples.
+gives one component and no class; a corpus of one text has one component, named by the example nearest to it.
 """
 
 from __future__ import annotations
@@ -29,17 +32,24 @@ from tabulon.functions.lookalikes import fold
 #: The statistics, in their order.
 STATISTICS = (
     "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "punctuated_lines", "common_share", "delimiter_ratio",
-    "item_lines", "repeated_lines", "single_letters", "broken_letters", "sentence_words", "prose_share", "common_enough",
+    "item_lines", "item_share", "repeated_lines", "single_letters", "broken_letters", "sentence_words", "common_enough",
 )
 #: Those that the mixture is fitted to; beyond ENOUGH the share of common words tells styles of prose apart, not classes.
-FITTED = tuple(s for s in STATISTICS if s not in ("n_words", "common_share"))
+FITTED = tuple(s for s in STATISTICS if s not in ("n_words", "common_share", "item_lines"))
 #: Share of common words that any prose reaches.
 ENOUGH = 0.15
-STEPS = 12
-#: Share of the documents as which the example of a component weighs in its mean and variance.
-ANCHOR = 0.002
+#: Components of the mixture.
+COMPONENTS = 16
+#: The most steps; fewer where a step betters the mean log likelihood of a document by less than GAIN.
+STEPS = 60
+GAIN = 1e-3
+#: Width, in deviations, of the cells that components start in, and the number of the fullest that are drawn from.
+CELL = 1.5
+CELLS = 2000
 #: Least variance of a component in a standardized statistic.
 FLOOR = 0.05
+#: The same, for the distance of a component from an example.
+NEAR = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ITEM = re.compile(r"^\s*(?:[-+*•–·]|\d{1,4}[.)]|[a-zđ]\))\s|\.{4,}\s*\d+\s*$")
@@ -69,22 +79,19 @@ def measure(text: str | None, common: Common) -> list[float] | None:
     if text is None or not text.strip():
         return None
     lines = [x for x in text.splitlines() if x and not x.isspace()]
-    n = letters = common_words = delimiters = items = prose = punctuated = single = 0
+    n = letters = common_words = delimiters = items = listed = punctuated = single = 0
     for line in lines:
         words = _WORD.findall(line)
-        hits = sum(map(common.__getitem__, words))
-        cells = len(_DELIMITER.findall(line)) if _PARTED.search(line) else 0
-        item = bool(_ITEM.search(line))
         n += len(words)
         letters += sum(map(len, words))
         single += sum(map((1).__eq__, map(len, words)))
-        common_words += hits
-        delimiters += cells
-        items += item
+        common_words += sum(map(common.__getitem__, words))
+        if _PARTED.search(line):
+            delimiters += len(_DELIMITER.findall(line))
+        if _ITEM.search(line):
+            items += 1
+            listed += len(line)
         punctuated += line.rstrip()[-1] in ".!?:…"
-        # A line of prose has common words and no cells.
-        if hits and hits >= 0.08 * len(words) and cells < 2 and not item:
-            prose += len(line)
     visible = len("".join(text.split()))
     digits = sum(map(text.count, "0123456789"))
     lower = text.lower()
@@ -100,11 +107,11 @@ def measure(text: str | None, common: Common) -> list[float] | None:
         common_words / n if n else 0.0,
         min(1.0, delimiters / max(n, 1)),
         items / len(lines),
+        listed / sum(map(len, lines)),
         1 - len(set(map(str.strip, lines))) / len(lines),
         single / max(n, 1),
         min(1.0, 2 * broken / max(n, 1)),
         min(40.0, n / max(1, len(_SENTENCE.findall(text)))),
-        prose / sum(map(len, lines)),
         min(1.0, common_words / n / ENOUGH) if n else 0.0,
     ]
 
@@ -124,6 +131,10 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
         "Why has the price been changed? The answer is that the old one was not in line with that of other companies in the area.",
         "Sales of the group for 2018 came to 12,345 million dong, up 4.5% against 2017.",
         "Doanh thu năm 2018 của công ty đạt 12.345 triệu đồng, tăng 4,5% so với năm 2017.",
+        "Members may ask for the full text of this report at the head office of the group.",
+        "At 31 March 2016, trade debt came to 1,204 billion dong, against 987 billion dong at the same date one year before.",
+        "Cổ đông có thể xem phần giải trình về các khoản vay này ở phụ lục 4 của báo cáo thường niên.",
+        "The plant was closed for repairs from May to July, so that output fell behind the plan of the year. The shortfall was made good by the end of November.\n- Output of the second half\n- Repairs of the main line\nNo further stop is planned for the coming year, and the staff has been told of this.",
         "KẾ HOẠCH KINH DOANH\n\nTrong năm sau công ty sẽ giữ quy mô như hiện nay và không tăng vốn. Các khoản vay đến hạn được trả bằng tiền thu từ hoạt động chính.",
     ),
     "list": (
@@ -160,9 +171,9 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
 
 
 class Mixture:
-    """Gaussians with diagonal covariances over standardized statistics; components are named by examples."""
+    """Gaussians with diagonal covariances over standardized statistics; examples only name the components."""
 
-    def __init__(self, common: Common, center: np.ndarray, scale: np.ndarray):
+    def __init__(self, common: Common, center: np.ndarray, scale: np.ndarray, start: np.ndarray):
         self.center, self.scale = center, scale
         stats, self.names = [], []
         for name, texts in EXAMPLES.items():
@@ -171,10 +182,12 @@ class Mixture:
                 stats.append([measured[s] for s in FITTED])
                 self.names.append(name)
         self.examples = self.standard(np.array(stats))
-        self.mean = self.examples.copy()
-        self.variance = np.full_like(self.mean, 0.5)
+        self.mean = start.copy()
+        self.variance = np.ones_like(self.mean)
         self.weight = np.full(len(self.mean), 1 / len(self.mean))
-        self.label = list(self.names)
+        self.likelihood = -np.inf
+        self.steps = 0
+        self.name()
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.center) / self.scale, -6, 6)
@@ -184,44 +197,51 @@ class Mixture:
         constant = (self.mean**2 * precision + np.log(self.variance)).sum(1)
         return z @ (self.mean * precision).T - 0.5 * ((z**2) @ precision.T + constant) + np.log(self.weight)
 
-    def responsibilities(self, z: np.ndarray) -> np.ndarray:
+    def responsibilities(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(responsibilities, log likelihood) of each row."""
         d = self.log_density(z)
-        d = np.exp(d - d.max(1, keepdims=True))
-        return d / d.sum(1, keepdims=True)
+        top = d.max(1, keepdims=True)
+        d = np.exp(d - top)
+        total = d.sum(1, keepdims=True)
+        return d / total, (top + np.log(total))[:, 0]
 
     def moments(self, z: np.ndarray) -> np.ndarray:
-        """Per component: responsibility, sums and sums of squares, as one flat array."""
-        r = self.responsibilities(z)
-        return np.concatenate([r.sum(0), (r.T @ z).ravel(), (r.T @ z**2).ravel()])
+        """Per component responsibility, sums and sums of squares, then the log likelihood, as one flat array."""
+        r, likelihood = self.responsibilities(z)
+        return np.concatenate([r.sum(0), (r.T @ z).ravel(), (r.T @ z**2).ravel(), [likelihood.sum()]])
 
-    def update(self, moments: np.ndarray) -> None:
+    def update(self, moments: np.ndarray) -> float:
+        """One step; what the mean log likelihood of a row was better before it than a step earlier."""
         k, d = self.mean.shape
-        n = moments[:k]
-        s, q = moments[k : k + k * d].reshape(k, d), moments[k + k * d :].reshape(k, d)
-        kept = n > 1e-3
-        # The example that a component began at weighs as much as a share of the documents, so that none dies or wanders off.
-        anchor = ANCHOR * n.sum()
-        total = np.where(kept, n, 0)[:, None] + anchor
-        mean = (np.where(kept[:, None], s, 0) + anchor * self.examples) / total
-        spread = np.where(kept[:, None], q, 0) - 2 * mean * np.where(kept[:, None], s, 0) + np.where(kept, n, 0)[:, None] * mean**2
-        variance = (spread + anchor * ((self.examples - mean) ** 2 + 0.5)) / total
-        self.mean, self.variance = mean, np.maximum(variance, FLOOR)
-        self.weight = total[:, 0] / total.sum()
+        n = moments[:k] + 1e-6
+        s, q = moments[k : k + k * d].reshape(k, d), moments[k + k * d : -1].reshape(k, d)
+        kept = (moments[:k] > 1e-3)[:, None]  # a component that no row belongs to stays where it is
+        self.mean = np.where(kept, s / n[:, None], self.mean)
+        self.variance = np.where(kept, np.maximum(q / n[:, None] - self.mean**2, FLOOR), self.variance)
+        self.weight = n / n.sum()
+        likelihood = moments[-1] / max(moments[:k].sum(), 1e-9)
+        gain, self.likelihood = likelihood - self.likelihood, likelihood
+        self.steps += 1
+        return gain
 
     def name(self) -> None:
-        """Name each component by the examples that it is responsible for; one without any keeps that of its start."""
-        r = self.responsibilities(self.examples)
+        """Name each component by the examples that it is responsible for; one that is for none by the example nearest to it."""
+        r, _ = self.responsibilities(self.examples)
+        self.label = []
         for k in range(len(self.mean)):
-            votes = Counter()
+            votes: Counter = Counter()
             for e, name in enumerate(self.names):
                 votes[name] += r[e, k]
             best, share = votes.most_common(1)[0]
-            self.label[k] = best if share > 0.05 else self.names[k]
+            if share < 0.05:
+                far = ((self.examples - self.mean[k]) ** 2 / np.maximum(self.variance[k], NEAR)).sum(1)
+                best = self.names[int(far.argmin())]
+            self.label.append(best)
 
     def classify(self, z: np.ndarray) -> list[str]:
         """The class with the most responsibility."""
         classes = list(EXAMPLES)
-        r = self.responsibilities(z)
+        r, _ = self.responsibilities(z)
         sums = np.stack([r[:, [i for i, x in enumerate(self.label) if x == c]].sum(1) for c in classes], 1)
         return [classes[i] for i in sums.argmax(1)]
 
@@ -244,14 +264,36 @@ def statistics(documents: DataFrame, common: Common, id_col: str = "doc_id", tex
     return documents.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def _started(filled: DataFrame, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Where the components start: means of cells of the standardized statistics, drawn far from each other.
+
+    All rows are counted in cells of CELL deviations; the CELLS fullest are drawn from, each by its rows and its
+    squared distance from those drawn before.
+    """
+    z = [F.greatest(F.lit(-6.0), F.least(F.lit(6.0), (F.col(c) - F.lit(float(m))) / F.lit(float(d)))) for c, m, d in zip(FITTED, center, scale, strict=True)]
+    cells = filled.select(F.array(*z).alias("z")).groupBy(F.transform("z", lambda x: F.round(x / F.lit(CELL)).cast("int")).alias("cell"))
+    counted = cells.agg(F.count("*").alias("n"), *(F.avg(F.col("z")[i]).alias(f"m{i}") for i in range(len(FITTED))))
+    rows = counted.orderBy(F.desc("n"), F.col("cell").cast("string")).limit(CELLS).collect()
+    if not rows:
+        return np.zeros((1, len(FITTED)))
+    means, n = np.array([r[2:] for r in rows], float), np.array([r["n"] for r in rows], float)
+    rng = np.random.default_rng(0)
+    drawn = [means[rng.choice(len(means), p=n / n.sum())]]
+    far = ((means - drawn[0]) ** 2).sum(1)
+    while len(drawn) < COMPONENTS and (far * n).sum() > 1e-9:
+        drawn.append(means[rng.choice(len(means), p=far * n / (far * n).sum())])
+        far = np.minimum(far, ((means - drawn[-1]) ** 2).sum(1))
+    return np.array(drawn)
+
+
 def fit(stats: DataFrame, common: Common, steps: int = STEPS) -> Mixture:
-    """The mixture of all rows of stats. Only sums over partitions are moved."""
+    """The mixture of all rows of stats, after at most so many steps. Only sums over partitions are moved."""
     filled = stats.where(F.col("common_enough").isNotNull()).select(*FITTED)
     row = filled.agg(*(F.avg(c) for c in FITTED), *(F.stddev_pop(c) for c in FITTED)).first()
     d = len(FITTED)
     center = np.array([x or 0.0 for x in row[:d]])
     scale = np.array([x if x and x > 1e-9 else 1.0 for x in row[d:]])
-    mixture = Mixture(common, center, scale)
+    mixture = Mixture(common, center, scale, _started(filled, center, scale))
 
     for _ in range(steps):
 
@@ -271,7 +313,8 @@ def fit(stats: DataFrame, common: Common, steps: int = STEPS) -> Mixture:
         moments = np.zeros(len(parts))
         for p in parts:
             moments[p["i"]] = p["x"]
-        mixture.update(moments)
+        if mixture.update(moments) < GAIN:
+            break
     mixture.name()
     return mixture
 

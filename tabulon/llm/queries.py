@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import canonical, markup, matching, noise, packing, quality, ranking, tokens
-from tabulon.session import partitions, spread, table
+from tabulon.session import checkpoint, partitions, spread, table
 
 CAPACITY = 2048
 
@@ -125,7 +125,7 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     common = quality.common_set(table(spark, d, "common_words"))
-    stats = quality.statistics(_scan(spark, d, "documents", "doc_id", "text"), common).persist()
+    stats = checkpoint(quality.statistics(_scan(spark, d, "documents", "doc_id", "text"), common))
     return quality.classified(stats, quality.fit(stats, common))
 
 

@@ -2,6 +2,7 @@ import random
 import unicodedata
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -469,6 +470,21 @@ def test_quality(spark):
     assert quality.classified(empty, quality.fit(empty, shared)).count() == 0
 
 
+def test_mixture_converges_and_is_named_by_examples(spark):
+    """Two clouds far apart end in components of their own, whatever they start from, and the steps end by themselves."""
+    common = quality.common_set(spark.createDataFrame([("en", w) for w in "the of and is a to in was has".split()], "lang string, word string"))
+    prose = "The report of the board is in the hands of the members, and it was read in full. This is the end of the text."
+    junk = "&# |\\ <1 0} ^~ %I l_ =:\n{0 &; ^| \\~ 1% <> #_ l}"
+    docs = spark.createDataFrame([(i, (prose if i % 3 else junk) + " x" * (i % 5)) for i in range(300)], "doc_id long, text string")
+    stats = quality.statistics(docs, common).cache()
+    fitted, started = quality.fit(stats, common), quality.fit(stats, common, steps=0)
+    assert 1 < fitted.steps < quality.STEPS and started.steps == 0 and fitted.likelihood > -np.inf
+    got = {r["doc_id"]: r["kind"] for r in quality.classified(stats, fitted).collect()}
+    assert all((got[i] == "prose") == bool(i % 3) for i in got)
+    again = quality.fit(stats.repartition(3), common)
+    assert np.allclose(again.mean, fitted.mean, atol=1e-6)  # the order of rows and parts has no say
+
+
 def test_measure():
     m = dict(zip(quality.STATISTICS, quality.measure("Công ty đã tăng 10%.\n- một mục", quality.Common(frozenset({"da", "mot"}))), strict=True))
     assert m["n_words"] == 6 and m["punctuated_lines"] == 0.5 and m["item_lines"] == 0.5 and m["common_share"] == pytest.approx(2 / 6)
