@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 #: Words that tell nothing apart in questions about reports, folded.
 STOPWORDS = (
-    "la cua va cho voi trong tren duoi den tu bao nhieu the nao gi co khong nam cong ty hay hoac mot cac nhung duoc bi se da dang thi ma nay do vay ra vao ve boi"
-).split()
+    "la", "cua", "va", "cho", "voi", "trong", "tren", "duoi", "den", "tu", "bao", "nhieu", "the", "nao", "gi", "co", "khong", "nam", "cong", "ty",
+    "hay", "hoac", "mot", "cac", "nhung", "duoc", "bi", "se", "da", "dang", "thi", "ma", "nay", "do", "vay", "ra", "vao", "ve", "boi",
+)
 
 _PRECOMPOSED = [c for c in map(chr, range(0xC0, 0x2B0)) if unicodedata.normalize("NFD", c) != c] + [
     c for c in map(chr, range(0x1E00, 0x1F00)) if unicodedata.normalize("NFD", c) != c

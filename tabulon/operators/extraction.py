@@ -19,8 +19,8 @@ MARKER = r"^===== PAGE ([0-9]+) =====$"
 PAGE_NOISE = r"(?i)^\s*(trang\s*[0-9]+|page\s*[0-9]+|-\s*[0-9]+\s*-|[0-9]+\s*/\s*[0-9]+)\s*$"
 #: Words of titles of tables, folded.
 TITLE_HINTS = (
-    "bang can doi ke toan|bao cao ket qua|luu chuyen tien te|tinh hinh tai chinh|thuyet minh|chi tieu|tai san|nguon von|tong cong|don vi tinh|balance sheet|income statement|cash flow"
-)
+    "bang can doi ke toan", "bao cao ket qua", "luu chuyen tien te", "tinh hinh tai chinh", "thuyet minh", "chi tieu", "tai san", "nguon von", "tong cong", "don vi tinh", "balance sheet", "income statement", "cash flow",
+)
 #: What a folded title holds, in order, and the section that it stands for.
 SECTIONS = (
     ("can doi ke toan|tinh hinh tai chinh|balance sheet", "balance_sheet"),
@@ -55,7 +55,7 @@ def section(text: Column) -> Column:
 def title(context: Column) -> Column:
     """Of the lines before a table: the last with a word of titles, a line of units being a weak one; else the last line."""
     filled = F.filter(F.split(context, "\n"), lambda x: F.trim(x) != "")
-    hinted = F.filter(filled, lambda x: fold(x).rlike(TITLE_HINTS))
+    hinted = F.filter(filled, lambda x: fold(x).rlike("|".join(TITLE_HINTS)))
     strong = F.filter(hinted, lambda x: ~fold(x).rlike("^[(]?(don vi|dvt|unit)"))
     last = lambda a: F.when(F.size(a) > 0, F.trim(F.element_at(a, -1)))
     return F.coalesce(last(strong), last(hinted), last(filled))

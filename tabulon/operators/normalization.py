@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tabulon.functions.numbers import column_period, parse_number
 from tabulon.functions.text import fold
 
-ITEM_HINTS = "chi tieu|khoan muc|noi dung|dien giai|item|description"
+#: Words of the heads of columns of items, folded, and patterns of heads of columns that hold no amounts.
+ITEM_HINTS = ("chi tieu", "khoan muc", "noi dung", "dien giai", "item", "description")
 SKIP_HINTS = r"thuyet minh|\bnote\b|\bstt\b"
 
 
@@ -65,7 +66,7 @@ def column_roles(tables: DataFrame, years: DataFrame) -> DataFrame:
     joined = heads.join(stats, ["table_ref", "col_idx"])
     parsed = column_period(F.col("header"), F.col("_report_year"))
     joined = joined.withColumn("_p", parsed)
-    hint = fold(F.col("header")).rlike(ITEM_HINTS)
+    hint = fold(F.col("header")).rlike("|".join(ITEM_HINTS))
     texty = F.col("texts") / F.greatest("n", F.lit(1)) * F.least(F.coalesce("mean_length", F.lit(0.0)) / 10, F.lit(1.0))
     whole = Window.partitionBy("table_ref")
     score = F.when(F.col("_p").isNotNull(), -1.0).otherwise(F.when(hint, 10.0).otherwise(F.when(texty > 0.3, texty).otherwise(-1.0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.functions.numbers import ASKED_PATTERNS, PROSE, UNIT_PATTERNS, WORD_PERIODS
+from tabulon.functions.spellings import ASKED, REMARKS, STATED, WORD_PERIODS
 from tabulon.functions.text import STOPWORDS
 from tabulon.operators.extraction import SECTIONS, TITLE_HINTS
 
@@ -124,25 +124,25 @@ SELECT table_ref, coalesce(nullif(substr(regexp_replace(regexp_replace({fold('ti
   regexp_replace(regexp_replace(doc_id, '[^0-9A-Za-z._-]+', '_', 'g'), '^_+|_+$', '', 'g') || '_table_' || position || '.csv' AS file FROM a""",
     "parsed_numbers": f"WITH {cells('extracted_tables')}, {number_steps('cells', 'table_ref, row_idx, col_idx')} SELECT table_ref, row_idx, col_idx, value FROM n4 WHERE value IS NOT NULL",
     "context_units": f"""WITH a AS (SELECT DISTINCT table_ref, {_UNIT_OF} AS f FROM extracted_tables),
-b AS (SELECT table_ref, {first_match('f', [(p, u) for p, u, _ in UNIT_PATTERNS])} AS unit FROM a)
+b AS (SELECT table_ref, {first_match('f', STATED)} AS unit FROM a)
 SELECT table_ref, unit, CASE unit WHEN 'nghin_dong' THEN 1e3 WHEN 'trieu_dong' THEN 1e6 WHEN 'ty_dong' THEN 1e9 ELSE 1.0 END AS scale FROM b""",
     "column_periods": f"""WITH once AS (SELECT DISTINCT ON (table_ref) table_ref, doc_id, header_rows[1] AS heads FROM extracted_tables),
 h AS (SELECT table_ref, TRY_CAST(list_last(regexp_extract_all(doc_id, '(19|20)[0-9]{{2}}')) AS INTEGER) AS y, unnest(heads) AS header, CAST(generate_subscripts(heads, 1) - 1 AS INTEGER) AS col_idx FROM once),
 p1 AS (SELECT *, trim(header) AS t, {fold('header')} AS f, {YEARS.format(x='trim(header)')} AS ys FROM h),
-p2 AS (SELECT *, regexp_matches(t, '{_D}') AS dated, regexp_matches(f, '{_W}') AS worded FROM p1 WHERE t <> '' AND length(t) <= 60 AND NOT regexp_matches(f, '{PROSE}') AND len(ys) <= 1),
+p2 AS (SELECT *, regexp_matches(t, '{_D}') AS dated, regexp_matches(f, '{_W}') AS worded FROM p1 WHERE t <> '' AND length(t) <= 60 AND NOT regexp_matches(f, '{"|".join(REMARKS)}') AND len(ys) <= 1),
 p3 AS (SELECT *, TRY_CAST(CASE WHEN dated THEN regexp_extract(t, '{_D}', 2) ELSE regexp_extract(f, '{_W}', 1) END AS INTEGER) AS dd, TRY_CAST(CASE WHEN dated THEN regexp_extract(t, '{_D}', 3) ELSE regexp_extract(f, '{_W}', 2) END AS INTEGER) AS mm,
   TRY_CAST(CASE WHEN dated THEN regexp_extract(t, '{_D}', 4) ELSE regexp_extract(f, '{_W}', 3) END AS INTEGER) AS yy,
   CASE WHEN dated THEN regexp_replace(regexp_extract(t, '{_D}', 0), '^[^0-9]+|[^0-9]+$', '', 'g') ELSE regexp_extract(f, '{_W}', 0) END AS src FROM p2),
 p4 AS (SELECT table_ref, col_idx, CASE WHEN (dated OR worded) AND dd = 1 AND mm = 1 THEN yy - 1 WHEN dated OR worded THEN yy WHEN len(ys) = 1 THEN ys[1]
-    {" ".join(f"WHEN regexp_matches(f, '{p}') THEN y + {s}" for p, s, _ in WORD_PERIODS)} END AS year,
+    {" ".join(f"WHEN regexp_matches(f, '{q(p)}') THEN y + {s}" for p, s, _ in WORD_PERIODS)} END AS year,
   CASE WHEN (dated OR worded) AND NOT (dd BETWEEN 1 AND 31 AND mm BETWEEN 1 AND 12) THEN 'unknown' WHEN (dated OR worded) AND dd = 31 AND mm = 12 THEN 'closing' WHEN (dated OR worded) AND dd = 1 AND mm = 1 THEN 'opening'
-    WHEN dated OR worded THEN 'point_in_time' WHEN len(ys) = 1 THEN 'annual' {" ".join(f"WHEN regexp_matches(f, '{p}') THEN '{x}'" for p, _, x in WORD_PERIODS)} END AS period,
+    WHEN dated OR worded THEN 'point_in_time' WHEN len(ys) = 1 THEN 'annual' {" ".join(f"WHEN regexp_matches(f, '{q(p)}') THEN '{x}'" for p, _, x in WORD_PERIODS)} END AS period,
   CASE WHEN dated OR worded THEN src END AS source_date FROM p3)
 SELECT * FROM p4 WHERE period IS NOT NULL AND year IS NOT NULL QUALIFY row_number() OVER (PARTITION BY table_ref, year, period ORDER BY col_idx) = 1""",
     "question_constraints": f"""WITH a AS (SELECT DISTINCT id, question, {FLAT} AS f FROM questions),
 b AS (SELECT *, TRY_CAST(regexp_extract(f, '{_RANGE}', 1) AS INTEGER) AS lo, TRY_CAST(regexp_extract(f, '{_RANGE}', 4) AS INTEGER) AS hi FROM a)
 SELECT id, {first_match('f', [(r"dau\s*(nam|ky)|ngay\s*0?1\s*[/.-]\s*0?1", 'opening'), (r"cuoi\s*(nam|ky)|ngay\s*31\s*[/.-]\s*12", 'closing'), (r"trong\s*nam|ca\s*nam|trong\s*ky", 'annual')])} AS period,
-  coalesce({first_match('f', ASKED_PATTERNS)}, 'none') AS unit,
+  coalesce({first_match('f', ASKED)}, 'none') AS unit,
   array_to_string(CASE WHEN lo IS NOT NULL AND abs(hi - lo) <= 15 THEN range(least(lo, hi), greatest(lo, hi) + 1) ELSE list_sort(list_distinct({YEARS.format(x='question')})) END, ',') AS years,
   {first_match('f', [("cong ty me|rieng le|bao cao rieng|bctc rieng|cua me|cua rieng", 'separate'), ("hop nhat|toan tap doan|bctc hn|bctchn", 'consolidated')])} AS type FROM b""",
     "question_tickers": """WITH a AS (SELECT DISTINCT id, question, regexp_extract_all(question, '\\(([A-Z][A-Z0-9]{2,4})\\)', 1) AS t, list_filter(string_split_regex(question, '[^A-Za-z0-9]+'), lambda w: regexp_full_match(w, '[A-Z][A-Z0-9]{2,4}')) AS w FROM questions),
@@ -153,7 +153,7 @@ SELECT id, regexp_matches(fq, 'so voi|so sanh|cao hon|thap hon|chenh lech|hon ke
     "inherited_sections": """WITH a AS (SELECT DISTINCT ON (table_ref) table_ref, doc_id, position, section, is_continuation FROM extracted_tables)
 SELECT table_ref, CASE WHEN is_continuation THEN last_value(section IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY position) ELSE section END AS section FROM a""",
     "answers_in_asked_unit": f"""WITH a AS (SELECT DISTINCT id, {FLAT} AS f FROM questions),
-b AS (SELECT answer_id, raw_value, coalesce({first_match('f', ASKED_PATTERNS)}, 'none') AS unit FROM (SELECT DISTINCT answer_id, question_id, raw_value FROM normalized_answers) JOIN a ON id = question_id),
+b AS (SELECT answer_id, raw_value, coalesce({first_match('f', ASKED)}, 'none') AS unit FROM (SELECT DISTINCT answer_id, question_id, raw_value FROM normalized_answers) JOIN a ON id = question_id),
 x AS (SELECT *, raw_value / ({_by_magnitude()}) AS v FROM b)
 SELECT answer_id, unit, CASE WHEN unit NOT IN ('nghin_dong', 'nghin_ty_dong') AND round(v, 2) = 0 AND v <> 0 THEN round(v, 4) ELSE round(v, 2) END AS answer,
   CASE unit WHEN 'nghin_dong' THEN 1e3 WHEN 'trieu_dong' THEN 1e6 WHEN 'ty_dong' THEN 1e9 WHEN 'tram_ty_dong' THEN 1e11 WHEN 'nghin_ty_dong' THEN 1e12 ELSE 1.0 END AS divisor FROM x""",
@@ -185,7 +185,7 @@ r AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id
 SELECT doc_id, position, first_value(position) OVER w AS head, joins AS is_continuation, lead(position) OVER w AS next_position FROM r WINDOW w AS (PARTITION BY doc_id, run ORDER BY position)""",
     "table_sections": f"""WITH a AS (SELECT DISTINCT table_ref, title, context_before FROM extracted_tables),
 b AS (SELECT table_ref, {fold("concat_ws(chr(10), title, context_before)")} AS f, list_filter(string_split(context_before, chr(10)), lambda x: trim(x) <> '') AS l FROM a),
-h AS (SELECT *, list_filter(l, lambda x: regexp_matches({fold('x')}, '{TITLE_HINTS}')) AS hinted FROM b)
+h AS (SELECT *, list_filter(l, lambda x: regexp_matches({fold('x')}, '{"|".join(TITLE_HINTS)}')) AS hinted FROM b)
 SELECT table_ref, {first_match('f', SECTIONS)} AS section, coalesce(trim(list_last(list_filter(hinted, lambda x: NOT regexp_matches({fold('x')}, '^[(]?(don vi|dvt|unit)')))), trim(list_last(hinted)), trim(list_last(l))) AS title FROM h""",
     "header_rows": f"""WITH {cells('html_tables')}, s AS (SELECT table_ref, row_idx, round(avg(CASE WHEN regexp_matches(trim(cell), '^[0-9.,()\\s-]+$') THEN 1.0 ELSE 0.0 END) - CASE WHEN bool_or(regexp_matches(cell, '(19|20)[0-9]{{2}}')) THEN 0.3 ELSE 0.0 END, 9) AS score FROM cells WHERE row_idx < 3 GROUP BY ALL)
 SELECT table_ref, row_idx FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY table_ref ORDER BY score, row_idx) = 1) WHERE score < 0.6""",

@@ -78,3 +78,25 @@ def test_lookalikes():
     assert lookalikes.canonical("Ｔｅｓｔ　​1") == "Test 1"
     assert lookalikes.canonical("Волна β m²") == "Волна β m²"
     assert lookalikes.fold("Đầu") == "dau"
+
+
+#: Written by hand: what texts state and ask for, so that an error in a pattern isn't repeated on both sides of a comparison.
+STATED = [
+    ("Số liệu tính theo tỷ đồng", "ty_dong"), ("(tỷ VND)", "ty_dong"), ("ĐVT: tỷ", "ty_dong"), ("Đơn vị: Tỷ đ", "ty_dong"), ("all figures in billion", "ty_dong"),
+    ("Triệu VNĐ", "trieu_dong"), ("trieu d", "trieu_dong"), ("Tr đồng", "trieu_dong"), ("Đơn vị tính: tr", "trieu_dong"), ("VND million", "trieu_dong"),
+    ("nghìn đồng", "nghin_dong"), ("Ngàn VND", "nghin_dong"), ("ng đồng", "nghin_dong"), ("dvt: ng", "nghin_dong"), ("thousand dong", "nghin_dong"), ("VND '000", "nghin_dong"), ("vnd000", "nghin_dong"),
+    ("Đồng Việt Nam", "dong"), ("VND", "dong"), ("tỷ đồng và triệu đồng", "ty_dong"), ("hợp đồng thuê", "dong"), ("công ty đầu tư", None), ("tỷ lệ", None), ("cổ phiếu", None), ("đvt: cái", None),
+]
+ASKED = [
+    ("gấp bao nhiêu lần", "times"), ("hệ số thanh toán là mấy lần", "times"), ("lần", "times"), ("tăng bao nhiêu %", "percent"), ("mấy điểm phần trăm", "percent"), ("ngàn tỷ", "nghin_ty_dong"),
+    ("trăm tỷ đồng", "tram_ty_dong"), ("bao nhiêu tỷ", "ty_dong"), ("tỷ đồng", "ty_dong"), ("bao nhiêu triệu", "trieu_dong"), ("triệu đồng", "trieu_dong"), ("bao nhiêu ngàn", "nghin_dong"), ("nghìn đồng", "nghin_dong"),
+    ("bao nhiêu đồng", "dong"), ("tính bằng đồng", "dong"), ("đơn vị đồng", "dong"), ("Việt Nam đồng", "dong"), ("hợp đồng nào", "none"), ("", "none"),
+]
+HEADS = [("Đầu kỳ", (2019, "opening")), ("Số dư cuối năm", (2020, "closing")), ("Kỳ trước", (2019, "annual")), ("Năm ngoái", (2019, "annual")), ("kỳ này", (2020, "annual")), ("Năm hiện tại", (2020, "annual")), ("đầu tư", None), ("Nhiệm kỳ này", None)]
+
+
+def test_spellings(spark):
+    of = lambda pairs, f: [r[0] for r in spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pairs)], "i int, t string").orderBy("i").select(f(F.col("t"))).collect()]
+    assert of(STATED, numbers.context_unit) == [u for _, u in STATED]
+    assert of(ASKED, numbers.asked_unit) == [u for _, u in ASKED]
+    assert [p and (p["year"], p["period"]) for p in of(HEADS, lambda t: numbers.column_period(t, F.lit(2020)))] == [p for _, p in HEADS]
