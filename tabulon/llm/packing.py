@@ -7,7 +7,7 @@ counts, as many times as they allow; where none does, the largest size that fits
 the gap is looked up again. The plan is then joined back to the items by their rank within their size.
 
 Defined cases: items of size 0 or null get no container; an item larger than the capacity is split into full pieces
-and a rest; items are otherwise whole; ties of size go by id, repeated rows by their order among equals; an empty
+and a rest; items are otherwise whole; items of one size are placed by a hash of their ids, so that the result is the same however they are split; repeated rows go by their order among equals; an empty
 table gives an empty table; other columns are dropped.
 """
 
@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 
 from tabulon.session import checkpoint
 
-#: Rows of one size that are ranked in one task at most; a more frequent size is split by a hash of its ids.
+#: Rows of one size that are ranked in one task at most; a more frequent size is split by ranges of a hash of its ids.
 GROUP_ROWS = 200_000
+#: Values of the hash of an id.
+HASHES = 2**31
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -133,19 +135,23 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
         return pd.Series(out)
 
     placed = ranked.select(id_col, "piece", "start", "size", container("size", "rank").alias("container"))
-    # A full piece is alone in its container; its number is a hash-bucketed rank after those of the plan.
-    alone = _ranked(whole, id_col, GROUP_ROWS * 256).select(id_col, "piece", "start", "size", (F.col("rank") + n_rest).alias("container"))
+    # A full piece is alone in its container; its number is its rank after those of the plan.
+    n_full = items.agg(F.sum(full)).first()[0] or 0
+    alone = _ranked(whole, id_col, n_full).select(id_col, "piece", "start", "size", (F.col("rank") + n_rest).alias("container"))
     return placed.unionByName(alone)
 
 
 def _ranked(items: DataFrame, id_col: str, most: int) -> DataFrame:
-    """items with `rank`, from 0 within each size; no task ranks more than about GROUP_ROWS rows of a size."""
-    buckets = max(1, -(-most // GROUP_ROWS))
-    salted = items.withColumn("_bucket", F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), F.lit(buckets)))
-    inner = Window.partitionBy("size", "_bucket").orderBy(id_col, "piece")
-    if buckets == 1:
-        return salted.withColumn("rank", (F.row_number().over(inner) - 1).cast("long")).drop("_bucket")
+    """items with `rank`, from 0 within each size, by a hash of the id, then by id and piece.
+
+    most: the rows of the most frequent size. Sizes are ranked in ranges of the hash, so many that no task ranks more
+    than about GROUP_ROWS rows of one; the ranks are the same however many there are.
+    """
+    buckets = max(1, -(-int(most) // GROUP_ROWS))
+    hashed = items.withColumn("_h", F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), F.lit(HASHES)))
+    salted = hashed.withColumn("_bucket", F.floor(F.col("_h") * buckets / HASHES))
     before = Window.partitionBy("size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offset = salted.groupBy("size", "_bucket").agg(F.count("*").alias("_n")).select("size", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy("size", "_bucket").orderBy("_h", id_col, "piece")
     ranked = salted.withColumn("_rank", F.row_number().over(inner) - 1).join(offset, ["size", "_bucket"])
-    return ranked.withColumn("rank", (F.col("_rank") + F.col("_before")).cast("long")).drop("_bucket", "_rank", "_before")
+    return ranked.withColumn("rank", (F.col("_rank") + F.col("_before")).cast("long")).drop("_h", "_bucket", "_rank", "_before")

@@ -16,8 +16,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A group with more rows than this is cut at quantiles of each score, so that no task ranks more of it.
+from tabulon.session import checkpoint
+
+#: A group with more rows than this is cut at quantiles of each score into slices of about as many rows.
 GROUP_ROWS = 200_000
+#: The most such quantiles: a group of over EDGES * GROUP_ROWS rows has slices of a share of 1 / EDGES of it, which are sorted on disk.
+EDGES = 1023
+#: Keys that the rows without a score are spread over.
+SALTS = 64
 
 #: Coefficients of the rational approximation of the inverse normal distribution (error below 1.2e-9).
 _A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
@@ -47,23 +53,41 @@ def _less_than(value: Column) -> Callable[[Column], Column]:
     return lambda e: e < value
 
 
+def _hot(rows: DataFrame, group: str, group_rows: int) -> DataFrame:
+    """(group, _n) of the groups with more than group_rows rows: at most one for each group_rows rows of the table."""
+    return rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > group_rows)
+
+
+def _edges(score: str, group_rows: int) -> Column:
+    """Values of a score that cut a group of _n rows into slices of about group_rows, EDGES of them at most."""
+    every = F.percentile_approx(score, [i / (EDGES + 1) for i in range(1, EDGES + 1)], 10 * EDGES)
+    step = F.greatest(F.lit(1), F.floor(F.lit(EDGES + 1) / F.ceil(F.max("_n") / F.lit(group_rows)))).cast("int")
+    return F.array_distinct(F.filter(every, lambda e, i: (i + 1) % step == 0))
+
+
 def percentiles(df: DataFrame, group: str, scores: list[str], group_rows: int = GROUP_ROWS) -> DataFrame:
     """df with p_<score>, (number below + half of the ties) / rows, for each of the scores; nulls come first.
 
-    A group of more than group_rows rows is ranked in slices between quantiles of the score; equal scores are in
-    one slice and are only counted there, by a partial aggregate, not ordered.
+    Groups of more than group_rows rows are taken out and ranked in slices; the others by windows over a group.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    hot = sizes.where(F.col("_n") > group_rows)
-    edges = df.join(hot, group).groupBy(group).agg(
-        *(F.percentile_approx(s, [i / 64 for i in range(1, 64)], 1000).alias(f"_e_{s}") for s in scores)
-    )
-    out = df.join(sizes, group).join(edges, group, "left")
+    # At most one hot group for each group_rows rows: a few bytes for what fills a task.
+    hot = F.broadcast(_hot(df, group, group_rows))
+    small = small_percentiles(df.join(hot, group, "left_anti"), group, scores)
+    return small.unionByName(sliced_percentiles(df.join(hot, group), group, scores, group_rows))
+
+
+def sliced_percentiles(df: DataFrame, group: str, scores: list[str], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """As percentiles(), for rows with the size of their group as _n: ranked in slices between quantiles of the score.
+
+    Equal scores are in one slice and are only counted there, by a partial aggregate, not ordered; the rank of each
+    value is joined back to its rows, those without a score spread over SALTS keys.
+    """
+    edges = df.groupBy(group).agg(*(_edges(s, group_rows).alias(f"_e_{s}") for s in scores))
+    out = df.join(F.broadcast(edges), group)  # one row of each hot group
     for s in scores:
-        below = F.size(F.filter(F.array_distinct(f"_e_{s}"), _less_than(F.col(s))))
-        slice_of = F.when(F.col(s).isNull(), F.lit(-1)).otherwise(F.coalesce(below, F.lit(0)))
-        out = out.withColumn(f"_s_{s}", slice_of)
-    out = out.drop(*(f"_e_{s}" for s in scores))
+        below = F.size(F.filter(f"_e_{s}", _less_than(F.col(s))))
+        out = out.withColumn(f"_s_{s}", F.when(F.col(s).isNull(), F.lit(-1)).otherwise(F.coalesce(below, F.lit(0))))
+    out = out.drop(*(f"_e_{s}" for s in scores)).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
     for s in scores:
         counted = out.groupBy(group, f"_s_{s}", s).agg(F.count("*").alias("_ties"))
         of_slice = counted.groupBy(group, f"_s_{s}").agg(F.sum("_ties").alias("_in"))
@@ -71,12 +95,14 @@ def percentiles(df: DataFrame, group: str, scores: list[str], group_rows: int =
         of_slice = of_slice.select(group, f"_s_{s}", F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_lower"))
         inside = Window.partitionBy(group, f"_s_{s}").orderBy(F.col(s)).rowsBetween(Window.unboundedPreceding, -1)
         counted = counted.withColumn("_below", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
+        spread = F.when(F.col(s).isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         ranks = counted.join(of_slice, [group, f"_s_{s}"]).select(
-            F.col(group).alias("_g"), F.col(s).alias("_v"), (F.col("_below") + F.col("_lower") + F.col("_ties") / 2).alias(f"p_{s}")
+            F.col(group).alias("_g"), F.col(s).alias("_v"), F.explode(spread).alias("_k"), (F.col("_below") + F.col("_lower") + F.col("_ties") / 2).alias(f"p_{s}")
         )
-        out = out.join(ranks, (out[group] == ranks["_g"]) & out[s].eqNullSafe(ranks["_v"])).drop("_g", "_v")
+        own = F.when(F.col(s).isNull(), F.col("_salt")).otherwise(0)
+        out = out.withColumn("_own", own).join(ranks, (F.col(group) == F.col("_g")) & F.col(s).eqNullSafe(F.col("_v")) & (F.col("_own") == F.col("_k"))).drop("_g", "_v", "_k", "_own")
         out = out.withColumn(f"p_{s}", F.col(f"p_{s}") / F.col("_n"))
-    return out.drop("_n", *(f"_s_{s}" for s in scores))
+    return out.drop("_n", "_salt", *(f"_s_{s}" for s in scores))
 
 
 def small_percentiles(df: DataFrame, group: str, scores: list[str]) -> DataFrame:
@@ -89,15 +115,14 @@ def small_percentiles(df: DataFrame, group: str, scores: list[str]) -> DataFrame
     return df
 
 
-def fused(df: DataFrame, group: str, item: str, scores: dict[str, tuple[Column, float]]) -> DataFrame:
+def fused(df: DataFrame, group: str, item: str, scores: dict[str, tuple[Column, float]], group_rows: int = GROUP_ROWS) -> DataFrame:
     """(group, item, z_<score>..., combined) with one row for each item of each group.
 
     scores: by name, the score, larger being better, and its weight.
     """
     rows = df.where(F.col(group).isNotNull()).select(group, item, *(c.cast("double").alias(n) for n, (c, _) in scores.items())).distinct()
     names = list(scores)
-    largest = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    ranked = (percentiles if largest > GROUP_ROWS else small_percentiles)(rows, group, names)
+    ranked = percentiles(rows, group, names, group_rows)
     z = [inverse_normal(F.col(f"p_{n}")).alias(f"z_{n}") for n in names]
     total = sum(w for _, w in scores.values())
     mean = sum((F.col(f"z_{n}") * F.lit(w / total) for n, (_, w) in scores.items()), F.lit(0.0))
@@ -110,17 +135,20 @@ def first_of(fused_rows: DataFrame, group: str, item: str) -> DataFrame:
     return fused_rows.groupBy(group).agg(best.alias("_b")).select(group, F.col("_b.item").alias(item))
 
 
-def ordered(fused_rows: DataFrame, group: str, item: str) -> DataFrame:
-    """(group, item, combined, position): the whole order of each group, from 1."""
-    largest = fused_rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= GROUP_ROWS:
-        order = Window.partitionBy(group).orderBy(F.desc("combined"), item)
-        return fused_rows.select(group, item, "combined", F.row_number().over(order).alias("position"))
-    edges = fused_rows.groupBy(group).agg(F.percentile_approx("combined", [i / 64 for i in range(1, 64)], 1000).alias("_e"))
-    sliced = fused_rows.join(edges, group).withColumn("_s", F.size(F.filter("_e", lambda e: e >= F.col("combined")))).drop("_e")
+def ordered(fused_rows: DataFrame, group: str, item: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(group, item, combined, position): the whole order of each group, from 1.
+
+    The fused rows are read from a checkpoint, for a hot group needs them for its quantiles, its slices and its order.
+    """
+    rows = checkpoint(fused_rows.select(group, item, "combined"))
+    hot = F.broadcast(_hot(rows, group, group_rows))  # as in percentiles()
+    best = [F.desc("combined"), F.col(item)]
+    small = rows.join(hot, group, "left_anti").withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*best)))
+    large = rows.join(hot, group)
+    edges = large.groupBy(group).agg(_edges("combined", group_rows).alias("_e"))
+    sliced = large.join(F.broadcast(edges), group).withColumn("_s", F.size(F.filter("_e", lambda e: e >= F.col("combined")))).drop("_e")
     lower = Window.partitionBy(group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    of_slice = sliced.groupBy(group, "_s").agg(F.count("*").alias("_n")).select(group, "_s", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower"))
-    inside = Window.partitionBy(group, "_s").orderBy(F.desc("combined"), item)
-    return sliced.withColumn("_r", F.row_number().over(inside)).join(of_slice, [group, "_s"]).select(
-        group, item, "combined", (F.col("_r") + F.col("_lower")).cast("int").alias("position")
-    )
+    of_slice = sliced.groupBy(group, "_s").agg(F.count("*").alias("_in")).select(group, "_s", F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_lower"))
+    inside = Window.partitionBy(group, "_s").orderBy(*best)
+    large = sliced.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(of_slice), [group, "_s"])
+    return small.unionByName(large.select(group, item, "combined", (F.col("_r") + F.col("_lower")).cast("int").alias("position")))

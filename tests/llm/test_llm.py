@@ -1,3 +1,4 @@
+import bisect
 import random
 import unicodedata
 from statistics import NormalDist
@@ -235,19 +236,32 @@ def _brute(rows):
     return out
 
 
-@pytest.mark.parametrize("rows_in_a_task", [200_000, 10])
-def test_fused_against_brute_force(spark, monkeypatch, rows_in_a_task):
-    monkeypatch.setattr(ranking, "GROUP_ROWS", rows_in_a_task)
-    monkeypatch.setattr(ranking.percentiles, "__defaults__", (rows_in_a_task,))
+@pytest.mark.parametrize("rows_in_a_task", [200_000, 50, 10])
+def test_fused_against_brute_force(spark, rows_in_a_task):
+    """One order, whether no, some or all groups are ranked in slices."""
     rows = _rows()
     df = spark.createDataFrame([(*r, "clash") for r in [*rows, *rows]], "qid int, ref string, a double, b double, combined string")
-    fused = ranking.fused(df, "qid", "ref", {"a": (F.col("a"), 1.0), "b": (F.col("b"), 1.0)})
-    got = {(r["qid"], r["ref"]): r["position"] for r in ranking.ordered(fused, "qid", "ref").collect()}
+    fused = ranking.fused(df, "qid", "ref", {"a": (F.col("a"), 1.0), "b": (F.col("b"), 1.0)}, rows_in_a_task)
+    got = {(r["qid"], r["ref"]): r["position"] for r in ranking.ordered(fused, "qid", "ref", rows_in_a_task).collect()}
     want = _brute(rows)
     assert got == want
     assert {(r["qid"], r["ref"]) for r in ranking.first_of(fused, "qid", "ref").collect()} == {k for k, v in want.items() if v == 1}
 
 
+def test_slices_hold_no_more_than_a_task(spark):
+    """A group far above the bound is cut by its size, with its nulls and its most frequent value apart from the order."""
+    rows = [(1, f"t{i}", None if i % 3 == 0 else 5.0 if i % 3 == 1 else float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g int, i string, a double").withColumn("_n", F.lit(6000))
+    edges = df.groupBy("g").agg(ranking._edges("a", 100).alias("e")).first()["e"]
+    held = [sum(1 for r in rows if r[2] is not None and lo < r[2] <= hi) for lo, hi in zip([5.0, *[e for e in edges if e > 5]], [*[e for e in edges if e > 5], 1e9], strict=True)]
+    assert max(held) <= 300
+    got = {r["i"]: r["p_a"] for r in ranking.sliced_percentiles(df, "g", ["a"], 100).collect()}
+    values = sorted(float("-inf") if r[2] is None else r[2] for r in rows)
+    for _, i, a in rows:
+        v = float("-inf") if a is None else a
+        assert got[i] == pytest.approx((bisect.bisect_left(values, v) + bisect.bisect_right(values, v)) / 2 / 6000)
+
+
 def test_fused_of_nothing(spark):
     df = spark.createDataFrame([], "qid int, ref string, a double")
     assert ranking.fused(df, "qid", "ref", {"a": (F.col("a"), 1.0)}).count() == 0
@@ -281,6 +295,39 @@ def test_ids_equal_the_library(spark):
     assert tokens.encode(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"])
+def test_every_public_tokenizer(spark, name, small):
+    """Ids of any file are those that its library gives, whatever its split."""
+    import duckdb
+
+    path = f"{tokens.TOKENIZER_DIR}/{name}"
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        ids = lambda t: whole.encode(t, add_special_tokens=False).ids
+    elif name.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        ids = tiktoken.Encoding("t", pat_str=tokens.SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    else:
+        import sentencepiece
+
+        ids = sentencepiece.SentencePieceProcessor(model_file=path).encode
+    texts = [*TEXTS, *(r[0] for r in duckdb.sql(f"SELECT text FROM '{small}/documents.parquet' ORDER BY doc_id").fetchall())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in tokens.encode(df, name=name).collect()}
+    assert got == {i: list(ids(t)) if t else [] for i, t in enumerate(texts)}
+    back = {r["doc_id"]: r["text"] for r in tokens.decode(tokens.encode(df, name=name), name=name).collect()}
+    assert back[5].strip().lower() == texts[5].lower() if name != "word_bpe_49k.json" else back[5].startswith("doanh thu thuần 1 . 2 3 4")
+    if name.endswith(".json"):
+        assert all(len(r["starts"]) == len(r["ids"]) for r in tokens.offsets(df.limit(20), name=name).collect())
+
+
 # --- packing
 
 
@@ -315,6 +362,16 @@ def test_pack_with_hot_sizes_in_slices(spark, monkeypatch):
     assert _check(spark, [3] * 300 + [7] * 300 + [10] * 50, 10) == 350
 
 
+def test_slices_change_no_container(spark, monkeypatch):
+    """Which container an item goes to does not depend on how its size is split."""
+    df = spark.createDataFrame([(i, 1 + i % 9) for i in range(400)] + [(1000 + i, 25) for i in range(40)], "doc_id long, n_tokens long")
+    placed = []
+    for most in (200_000, 30, 7):
+        monkeypatch.setattr(packing, "GROUP_ROWS", most)
+        placed.append(sorted(tuple(r) for r in packing.pack(df, 10).collect()))
+    assert placed[0] == placed[1] == placed[2]
+
+
 def test_plan_is_exact_where_it_can_be():
     assert sum(n for n, _ in packing.plan({5: 10, 3: 10, 2: 10}, 10)) == 10
     assert sum(n for n, _ in packing.plan({1000: 1}, 2048)) == 1
