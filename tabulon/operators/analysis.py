@@ -34,11 +34,15 @@ def _automaton(terms: tuple[tuple[str, str], ...]):
 
 def spans(text: str | None, terms: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int]]:
     """(key, start, length) in the folded text: whole words, longest first, each surface at its first free place, in order of place."""
-    if not text or not terms:
+    return _spans(text, _automaton(terms)) if terms else []
+
+
+def _spans(text: str | None, machine) -> list[tuple[str, int, int]]:
+    if not text:
         return []
     folded = " ".join(fold(text).split())
     found = []
-    for end, (surface, key) in _automaton(terms).iter(folded):
+    for end, (surface, key) in machine.iter(folded):
         start = end - len(surface) + 1
         if (start and folded[start - 1].isalnum()) or folded[end + 1 : end + 2].isalnum():
             continue
@@ -72,7 +76,14 @@ def find_terms(text: Column, terms: tuple[tuple[str, str], ...]) -> Column:
 def _finder(terms: tuple[tuple[str, str], ...]):
     @F.pandas_udf(SPANS)
     def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"key": k, "start": s, "length": n} for k, s, n in spans(t, terms)] for t in texts])
+        if not terms:
+            return pd.Series([[] for _ in texts])
+        machine = _automaton(terms)  # once for a batch: its key is the whole list
+        known: dict[str | None, list] = {}
+        for t in texts:
+            if t not in known:
+                known[t] = [{"key": k, "start": s, "length": n} for k, s, n in _spans(t, machine)]
+        return pd.Series([known[t] for t in texts])
 
     return find
 

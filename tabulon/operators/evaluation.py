@@ -61,6 +61,61 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), mean("doc_precision", "precision"), mean("doc_recall", "recall"), mean("doc_f2", "f2"), mean("doc_mrr", "mrr"), mean("answer_correct", "answer_accuracy"))
 
 
+#: Tags of a judged item, from the root of its failure on; a right one has the last.
+FAILURES = {
+    "TABLE_MISS": "size(gold_tables) > 0 AND NOT arrays_overlap(gold_tables, tables)",
+    "DOC_MISS": "size(gold_docs) > 0 AND NOT arrays_overlap(gold_docs, docs)",
+}
+RANK_FAILURES = {
+    "TABLE_BAD_RANK": "size(gold_tables) > 0 AND table_recall > 0 AND table_mrr < 1",
+    "DOC_BAD_RANK": "size(gold_docs) > 0 AND doc_recall > 0 AND doc_mrr < 1",
+}
+
+
+def judged(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    """One row per gold id: documents, tables, answer and execution of predictions(id, docs, tables, answer, plan[, ran]) against gold(id, gold_docs, gold_tables, gold_answer).
+
+    A plan has run where `ran` says so, else where it isn't empty; execution is right where it ran and the answer is right.
+    """
+    strings = F.array().cast("array<string>")
+    once = predictions.dropDuplicates(["id"])
+    ran = F.coalesce(F.col("ran"), F.trim(F.coalesce("plan", F.lit(""))) != "") if "ran" in once.columns else F.trim(F.coalesce("plan", F.lit(""))) != ""
+    joined = gold.join(once, "id", "left")
+    for c in ("gold_docs", "gold_tables", "docs", "tables"):
+        joined = joined.withColumn(c, F.coalesce(c, strings))
+    d, t = hits(F.col("docs"), F.col("gold_docs")), hits(F.col("tables"), F.col("gold_tables"))
+    right = same_answer(F.col("answer"), F.col("gold_answer"))
+    rows = joined.select(
+        "id", "docs", "tables", "gold_docs", "gold_tables", "answer", "gold_answer", F.coalesce("plan", F.lit("")).alias("plan"),
+        *(m[k].alias(f"{n}_{k}") for n, m in (("doc", d), ("table", t)) for k in ("precision", "recall", "f2")),
+        reciprocal_rank(F.col("docs"), F.col("gold_docs")).alias("doc_mrr"), reciprocal_rank(F.col("tables"), F.col("gold_tables")).alias("table_mrr"),
+        right.alias("answer_correct"), (ran & right).alias("execution_correct"),
+    )
+    listed = lambda rules: F.filter(F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
+    rows = rows.withColumn("_miss", listed(FAILURES)).withColumn("_rank", listed(RANK_FAILURES))
+    upstream = F.when(F.size("_miss") > 0, F.col("_miss")).otherwise(F.col("_rank"))
+    answer_tag = (
+        F.when(F.col("answer_correct"), None).when(F.trim("plan") == "", "QUERY_NO_CODE").when(~F.col("execution_correct") & F.col("answer").isNotNull(), "EXECUTION_ERROR").when(F.size(upstream) == 0, "ANSWER_MISMATCH")
+    )
+    tags = F.concat(upstream, F.when(answer_tag.isNotNull(), F.array(answer_tag)).otherwise(strings))
+    return rows.withColumn("tags", F.when((F.size(tags) == 0) & F.col("answer_correct"), F.array(F.lit("SUCCESS"))).otherwise(tags)).drop("_miss", "_rank")
+
+
+def judged_summary(rows: DataFrame) -> DataFrame:
+    """The ten means over all questions and the overall one, of table F2, answers and execution; no question gives zeros."""
+    mean = lambda c, n: F.coalesce(F.round(F.avg(F.col(c).cast("double")), 6), F.lit(0.0)).alias(n)
+    means = [mean(f"{n}_{k}", f"{n}_{k}") for n in ("doc", "table") for k in ("precision", "recall", "f2", "mrr")]
+    out = rows.agg(F.count("*").alias("n"), *means, mean("answer_correct", "answer_accuracy"), mean("execution_correct", "execution_accuracy"))
+    return out.withColumn("overall", F.round((F.col("table_f2") + F.col("answer_accuracy") + F.col("execution_accuracy")) / 3, 6))
+
+
+def report(rows: DataFrame, worst: int = 20) -> dict[str, list[dict]]:
+    """A report for a person: the summary, counts of tags, the funnel and the worst questions; a few rows each."""
+    found = rows.withColumn("found_any", F.size("docs") > 0)
+    parts = {"summary": judged_summary(rows), "tags": tag_counts(rows).orderBy(F.desc("n"), "tag"), "funnel": funnel(found), "worst": rows.select("id", "table_f2", "doc_f2", "answer_correct", "tags").orderBy("table_f2", "doc_f2", "id").limit(worst)}
+    return {name: [r.asDict() for r in part.collect()] for name, part in parts.items()}
+
+
 def tag_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
@@ -104,25 +159,3 @@ def gate(checks: DataFrame) -> None:
     bad = [r["check"] for r in checks.where("severity = 'error'").select("check").collect()]
     if bad:
         raise ValueError(f"integrity checks failed: {', '.join(sorted(bad))}")
-
-
-#: Rules of a submission(id, answer, relevant_docs, relevant_tables), each true where it is broken.
-RULES = {
-    "answer_missing": "answer IS NULL",
-    "answer_not_finite": "answer IS NOT NULL AND (isnan(answer) OR abs(answer) = double('infinity'))",
-    "no_documents": "relevant_docs IS NULL OR size(relevant_docs) = 0",
-    "repeated_documents": "size(array_distinct(relevant_docs)) < size(relevant_docs)",
-    "malformed_table": "exists(relevant_tables, t -> NOT t RLIKE '^.+[|][0-9]+$')",
-    "table_of_other_document": "exists(relevant_tables, t -> NOT array_contains(relevant_docs, substring_index(t, '|', 1)))",
-}
-
-
-def violations(items: DataFrame, expected: DataFrame) -> DataFrame:
-    """(rule, id) of every broken rule, repeated or unknown id, and expected id that is absent."""
-    broken = F.explode(F.filter(F.array(*(F.when(F.expr(c), F.lit(r)) for r, c in RULES.items())), lambda r: r.isNotNull()))
-    rules = items.select("id", broken.alias("rule")).distinct()
-    ids, wanted = items.select("id").distinct(), expected.select("id").distinct()
-    repeated = items.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated_id").alias("rule"))
-    unknown = ids.join(wanted, "id", "left_anti").select("id", F.lit("unknown_id").alias("rule"))
-    absent = wanted.join(ids, "id", "left_anti").select("id", F.lit("absent_id").alias("rule"))
-    return rules.unionByName(repeated).unionByName(unknown).unionByName(absent).select("rule", "id")

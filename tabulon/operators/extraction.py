@@ -61,6 +61,26 @@ def title(context: Column) -> Column:
     return F.coalesce(last(strong), last(hinted), last(filled))
 
 
+#: Terms that scanners misread, as they are put right.
+MISREAD_TERMS = (("Doanh thu thuan", "Doanh thu thuần"), ("TONG CONG", "TỔNG CỘNG"), ("TAI SAN", "TÀI SẢN"), ("NGUON VON", "NGUỒN VỐN"))
+
+
+def clean_text(text: Column, terms: tuple[tuple[str, str], ...] = MISREAD_TERMS) -> Column:
+    """A text with clean lines, without the lines that number pages, misread terms put right."""
+    kept = F.filter(F.split(text, "\n"), lambda x: ~is_page_noise(x))
+    out = F.array_join(F.transform(kept, clean_line), "\n")
+    for wrong, right in terms:
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return out
+
+
+def is_header_line(line: Column, min_cols: int = 2) -> Column:
+    """Whether a line of several cells holds a word of titles: the head of a table of text."""
+    kind = dialect(line, min_cols)
+    filled = F.filter(cells(line, kind), lambda c: c != "")
+    return kind.isNotNull() & (F.size(filled) >= min_cols) & fold(line).rlike("|".join(TITLE_HINTS))
+
+
 def page_of_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, page): each line with the last marker at or before it, looked up within its own document."""
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -109,6 +129,54 @@ def blocks(documents: DataFrame, gap: int = 2, min_rows: int = 2) -> DataFrame:
     return grouped.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_line")).alias("block"), "first_line", "last_line", "n_rows")
 
 
+def text_tables(documents: DataFrame, gap: int = 2, min_rows: int = 2, above: int = 6) -> DataFrame:
+    """(doc_id, position, rows, first_line, n_cols, page, context_before) of the tables that lines of text make.
+
+    position counts from 1 in each document. A head right above a block belongs to it; separators and blank lines are
+    no rows; shorter rows are filled up. The context is the last lines above.
+    """
+    found = blocks(documents, gap, min_rows)
+    whole = page_of_lines(documents)
+    heads = whole.where(is_header_line(F.col("line")) & ~is_separator(F.col("line"))).select("doc_id", F.col("line_no").alias("_head"))
+    # A head may stand one line above, or two with a separator between.
+    near = found.select("doc_id", F.col("block").alias("position"), F.explode(F.array(F.col("first_line") - 1, F.col("first_line") - 2)).alias("_head")).join(heads, ["doc_id", "_head"])
+    first = near.groupBy("doc_id", "position").agg(F.max("_head").alias("_head"))
+    begun = found.select("doc_id", F.col("block").alias("position"), "first_line", "last_line").join(first, ["doc_id", "position"], "left")
+    begun = begun.select("doc_id", "position", "last_line", F.coalesce("_head", "first_line").alias("first_line"))
+    inside = begun.select("doc_id", "position", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
+    lined = inside.join(whole, ["doc_id", "line_no"]).where((F.trim("line") != "") & ~is_separator(F.col("line")) & ~is_page_noise(F.col("line")) & ~F.col("line").rlike(MARKER))
+    split = lined.select("doc_id", "position", "line_no", "page", cells(F.col("line"), dialect(F.col("line"))).alias("_c"))
+    tables = split.groupBy("doc_id", "position").agg(F.array_sort(F.collect_list(F.struct("line_no", "_c"))).alias("_r"), F.max(F.size("_c")).alias("n_cols"), F.min("page").alias("page"))
+    rows = F.transform("_r", lambda r: padded(r["_c"], F.col("n_cols")))
+    before = begun.select("doc_id", "position", F.explode(F.sequence(F.greatest(F.col("first_line") - above, F.lit(1)), F.greatest(F.col("first_line") - 1, F.lit(1)))).alias("line_no"), "first_line").where("line_no < first_line")
+    context = before.join(whole, ["doc_id", "line_no"]).where((F.trim("line") != "") & ~F.col("line").rlike(MARKER)).groupBy("doc_id", "position").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.trim(x["line"])), "\n").alias("context_before")
+    )
+    out = tables.join(begun.select("doc_id", "position", "first_line"), ["doc_id", "position"]).join(context, ["doc_id", "position"], "left")
+    return out.select("doc_id", "position", rows.alias("rows"), "first_line", "n_cols", "page", F.coalesce("context_before", F.lit("")).alias("context_before"))
+
+
+def padded(row: Column, width: Column) -> Column:
+    """A row of just so many cells: filled up with empty ones, or cut."""
+    return F.slice(F.concat(F.transform(row, lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), width)), F.lit(1), width)
+
+
+def wide(head: Column, body: Column) -> Column:
+    """struct(columns, rows) of one width: that of the head; without any body the head is a row under numbered columns."""
+    width = F.size(head)
+    numbered = F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.concat(F.lit("col_"), i.cast("string")))
+    filled = F.transform(body, lambda r: padded(r, width))
+    return F.when(F.size(body) > 0, F.struct(head.alias("columns"), filled.alias("rows"))).otherwise(F.struct(numbered.alias("columns"), F.array(head).alias("rows")))
+
+
+def detected(documents: DataFrame) -> DataFrame:
+    """(doc_id, position, rows, n_cols, page, context_before, is_continuation, source) of all tables of each document: its HTML tables, or where it has none its tables of text."""
+    marked = html_tables(documents).select("doc_id", "position", "rows", "n_cols", "page", "context_before", "is_continuation", F.lit("html").alias("source"))
+    plain = documents.join(marked.select("doc_id").distinct(), "doc_id", "left_anti")
+    text = text_tables(plain).select("doc_id", "position", "rows", "n_cols", "page", "context_before", F.lit(False).alias("is_continuation"), F.lit("text").alias("source"))
+    return marked.unionByName(text)
+
+
 def table_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("(?i)<table"))
 
@@ -245,6 +313,20 @@ def linked(tables: DataFrame, close: int) -> DataFrame:
     return marked.select("doc_id", "position", F.first("position").over(chain).alias("head"), F.col("_joins").alias("is_continuation"), F.lead("position").over(chain).alias("next_position"))
 
 
+def linked_by_text(tables: DataFrame, documents: DataFrame, close: int = 30) -> DataFrame:
+    """As linked(), but by what stands between two tables: fewer than `close` characters once tags and page markers are out."""
+    order = Window.partitionBy("doc_id").orderBy("position")
+    own = tables.withColumn("_end", F.lag("char_end").over(order)).withColumn("_same", F.col("n_cols") == F.lag("n_cols").over(order))
+    between = F.substring("text", F.col("_end") + 1, F.greatest(F.col("char_start") - F.col("_end"), F.lit(0)))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(between, r"(?m)^=+ PAGE (\d+) =+$", ""), "<[^>]+>", ""))
+    # Only the texts of documents with two such tables in a row are read.
+    read = own.where("_same").join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "position", (F.length(F.regexp_replace(plain, r"^\s+|\s+$", "")) < close).alias("_joins"))
+    marked = own.join(read, ["doc_id", "position"], "left").withColumn("_joins", F.coalesce("_joins", F.lit(False)))
+    marked = marked.withColumn("_run", F.sum((~F.col("_joins")).cast("int")).over(order))
+    chain = Window.partitionBy("doc_id", "_run").orderBy("position")
+    return marked.select("doc_id", "position", F.first("position").over(chain).alias("head"), F.col("_joins").alias("is_continuation"), F.lead("position").over(chain).alias("next_position"))
+
+
 def inherited(tables: DataFrame) -> DataFrame:
     """tables with the section that a continuation takes from the table before it."""
     order = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from tabulon.functions.spellings import ASKED, REMARKS, STATED, WORD_PERIODS
 from tabulon.functions.text import STOPWORDS
+from tabulon.operators.companies import GENERIC, LEGAL_FORMS
 from tabulon.operators.extraction import SECTIONS, TITLE_HINTS
+from tabulon.operators.programs import DERIVED
 
 
 def q(text: str) -> str:
@@ -167,11 +169,6 @@ SELECT table_ref, nullif(regexp_extract(upper(doc_id), '^([A-Z0-9]{3,5})_', 1),
   CASE WHEN regexp_matches(lower(doc_id), 'separate|rieng|_me|cong_ty_me|parent') THEN 'separate' ELSE 'consolidated' END AS report_type FROM a""",
     "catalog_latest": f"WITH {LATEST} SELECT table_ref, doc_id, position, title, unit, ingested_at FROM catalog",
     "catalog_stream": f"WITH {LATEST} SELECT table_ref, doc_id, position, title, unit, ingested_at FROM catalog",
-    "filter_cascade": f"WITH {LATEST}, {ADMITTED} SELECT id, any_value(level) AS level, count(*) AS n_tables FROM admitted GROUP BY id",
-    "questions_without_filter": f"WITH {LATEST} SELECT DISTINCT id FROM asked WHERE id NOT IN (SELECT a.id FROM (SELECT id, unnest(tickers) AS ticker FROM asked) a JOIN catalog c ON upper(a.ticker) = upper(c.ticker))",
-    "unique_aliases": f"""WITH w AS (SELECT p_brand, string_split({fold('p_name')}, ' ') AS w FROM part), e AS (SELECT p_brand, w, unnest([2, 3, 4]) AS k FROM w),
-a AS (SELECT p_brand, array_to_string(w[len(w) - k + 1:], ' ') AS alias FROM e WHERE k <= len(w)) SELECT alias, min(p_brand) AS brand FROM a WHERE length(alias) >= 6 GROUP BY alias HAVING count(DISTINCT p_brand) = 1""",
-    "unanswered": "SELECT DISTINCT id FROM questions WHERE id NOT IN (SELECT question_id FROM normalized_answers WHERE question_id IS NOT NULL)",
     "table_counts": "SELECT DISTINCT doc_id, len(regexp_extract_all(text, '(?i)<table')) AS n FROM raw_documents",
     "table_pages": f"""WITH {LINES}, m AS (SELECT *, TRY_CAST(regexp_extract(line, '^===== PAGE ([0-9]+) =====$', 1) AS INTEGER) AS p FROM lines)
 SELECT doc_id, line_no, page FROM (SELECT doc_id, line_no, line, last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS page FROM m) WHERE contains(line, '<table')""",
@@ -214,7 +211,7 @@ SELECT query, vec_id, score FROM p QUALIFY row_number() OVER (PARTITION BY query
 UNION ALL SELECT qid, table_ref, 1.0 / (60 + row_number() OVER (PARTITION BY qid ORDER BY dense DESC, table_ref)) FROM c WHERE dense IS NOT NULL) SELECT qid, table_ref, round(sum(s), 9) AS score FROM u GROUP BY ALL""",
     "hybrid_search": f"""WITH {LATEST}, {ADMITTED}, {CANDIDATES}, words AS (SELECT table_ref, {tokens(FALLBACK)} AS t FROM catalog), asking AS (SELECT id AS query, {tokens('question')} AS t FROM asked),
 {BM25.format(id='table_ref', restrict='WHERE (query, table_ref) IN (SELECT (id, table_ref) FROM admitted)')},
-sp AS (SELECT query AS qid, table_ref, row_number() OVER (PARTITION BY query ORDER BY score DESC, table_ref) AS k FROM sc WHERE score > 0 QUALIFY k <= 50), de AS (SELECT qid, table_ref, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, table_ref) AS k FROM c WHERE dense IS NOT NULL QUALIFY k <= 50),
+sp AS (SELECT query AS qid, table_ref, row_number() OVER (PARTITION BY query ORDER BY score DESC, table_ref) AS k FROM sc WHERE score > 0 QUALIFY k <= 150), de AS (SELECT qid, table_ref, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, table_ref) AS k FROM c WHERE dense IS NOT NULL QUALIFY k <= 150),
 fu AS (SELECT qid, table_ref, round(sum(1.0 / (60 + k)), 9) AS score FROM (SELECT * FROM sp UNION ALL SELECT * FROM de) GROUP BY ALL), t AS (SELECT qid, table_ref, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, table_ref) AS INTEGER) AS rank, score FROM fu QUALIFY rank <= 20)
 SELECT qid, t.table_ref, rank, score, section FROM t LEFT JOIN catalog USING (table_ref)""",
     "content_rerank": f"""WITH {LATEST}, {CANDIDATES}, k AS (SELECT id AS qid, {tokens('question')} AS t FROM asked), qq AS (SELECT qid, list_distinct({PHRASES}) AS p, list_distinct(list_filter(t, lambda w: length(w) >= 2)) AS w FROM k),
@@ -228,7 +225,6 @@ SELECT qid, table_ref FROM cut UNION SELECT qid, table_ref FROM best""",
 SELECT qid, table_ref FROM cut UNION SELECT l.qid, p.table_ref FROM l JOIN pool p ON l.qid = p.qid AND (l.group_id = p.group_id OR l.pa = p.table_ref OR l.ne = p.table_ref OR l.table_ref = p.pa OR l.table_ref = p.ne)""",
     "lookup_largest": """WITH r AS (SELECT c_mktsegment, CAST(year(o_orderdate) AS INTEGER) AS year, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY c_mktsegment, year(o_orderdate) ORDER BY o_orderdate, o_orderkey) = 1)
 SELECT c_mktsegment, year, CASE WHEN round(v / 1e6, 2) = 0 AND v <> 0 THEN round(v / 1e6, 4) ELSE round(v / 1e6, 2) END AS millions FROM r""",
-    "concat_lookup": "SELECT o_orderpriority, max(o_totalprice) AS largest, count(*) AS n FROM orders GROUP BY 1",
     "ratio_by_nation": f"WITH {YEARLY} SELECT n_name, year, round(sum(net) / sum(gross) * 100, 4) AS margin FROM yearly JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL",
     "growth_by_nation": f"""WITH {YEARLY}, s AS (SELECT s_nationkey, year, sum(net) AS net FROM yearly JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
 SELECT s_nationkey, year, round((net - lag(net) OVER w) / abs(lag(net) OVER w) * 100, 4) AS growth, CASE WHEN year > first_value(year) OVER w THEN round((power(net / first_value(net) OVER w, 1.0 / (year - first_value(year) OVER w)) - 1) * 100, 4) END AS cagr FROM s WINDOW w AS (PARTITION BY s_nationkey ORDER BY year)""",
@@ -252,8 +248,131 @@ SELECT "check", CASE "check" WHEN 'repeated_keys' THEN CASE WHEN n = 0 THEN 'ok'
 WHEN 'documents_without_table' THEN CASE WHEN n = 0 THEN 'ok' ELSE 'warning' END ELSE CASE WHEN n < 0.9 * (SELECT count(*) FROM table_catalog) THEN 'error' ELSE 'ok' END END AS severity, n FROM x""",
     "index_checks": """WITH x AS (SELECT 'sparse' AS "check", count(DISTINCT table_ref) AS n FROM extracted_tables UNION ALL SELECT 'dense', count(DISTINCT table_ref) FROM candidates)
 SELECT "check", (SELECT count(DISTINCT table_ref) FROM table_catalog) AS expected, n, n = (SELECT count(DISTINCT table_ref) FROM table_catalog) AS ok FROM x""",
-    "submission_violations": f"""WITH {CANDIDATES}, f AS (SELECT qid AS id, list(doc_id) AS docs, list(table_ref) AS tabs FROM c WHERE rank <= 5 GROUP BY qid), a AS (SELECT question_id AS id, arg_min(value, answer_id) AS answer FROM normalized_answers GROUP BY 1), s AS (SELECT f.*, answer FROM f LEFT JOIN a USING (id)),
-v AS (SELECT 'answer_missing' AS rule, id FROM s WHERE answer IS NULL UNION ALL SELECT 'answer_not_finite', id FROM s WHERE isnan(answer) OR isinf(answer) UNION ALL SELECT 'repeated_documents', id FROM s WHERE len(list_distinct(docs)) < len(docs)
-UNION ALL SELECT 'malformed_table', id FROM s WHERE len(list_filter(tabs, lambda t: NOT regexp_full_match(t, '.+[|][0-9]+'))) > 0 UNION ALL SELECT 'table_of_other_document', id FROM s WHERE len(list_filter(tabs, lambda t: NOT list_contains(docs, split_part(t, '|', 1)))) > 0
-UNION ALL SELECT 'unknown_id', id FROM s ANTI JOIN questions USING (id) UNION ALL SELECT DISTINCT 'absent_id', id FROM questions ANTI JOIN s USING (id)) SELECT rule, id FROM v""",
+}
+
+
+# --- classes of tables, companies
+
+
+def _cascade(catalog: str = "catalog") -> str:
+    """CTEs ending in lv(id, level, table_ref) of the levels 1 to 6 and best(id, level)."""
+    typed = "(a.report_type IS NULL OR coalesce(a.report_type = c.report_type, FALSE))"
+    exact, wider = "list_contains(a.years, c.year)", "len(list_filter(a.years, lambda y: c.year BETWEEN y AND y + 2)) > 0"
+    none = "len(a.years) = 0"
+    return f"""
+qs AS (SELECT id, coalesce(tickers, []) AS tickers, coalesce(years, []) AS years, report_type FROM asked),
+cp AS (SELECT DISTINCT a.id, c.table_ref, CASE WHEN ({none} OR {exact}) AND {typed} THEN 1 WHEN {wider} AND {typed} THEN 2 WHEN {none} OR {exact} THEN 3 WHEN {wider} THEN 4 ELSE 5 END AS level
+  FROM (SELECT id, unnest(tickers) AS ticker, years, report_type FROM qs) a JOIN {catalog} c ON upper(a.ticker) = upper(c.ticker)),
+yp AS (SELECT DISTINCT a.id, c.table_ref, 6 AS level FROM (SELECT id, unnest(years) AS y FROM qs WHERE id NOT IN (SELECT id FROM cp)) a JOIN {catalog} c ON a.y = c.year),
+lv AS (SELECT id, table_ref, level FROM (SELECT * FROM cp UNION ALL SELECT * FROM yp) QUALIFY level = min(level) OVER (PARTITION BY id))"""
+
+
+def _counted(catalog: str) -> str:
+    return f"""SELECT id, min(level) AS level, count(*) AS n_tables FROM lv GROUP BY id
+UNION ALL SELECT id, 7, (SELECT count(*) FROM {catalog}) FROM qs WHERE id NOT IN (SELECT id FROM lv)"""
+
+
+_NAMED = r"(Công ty [^()?.,:;]{3,80}) \(([A-Z][A-Z0-9]{2,4})\)"
+
+
+def _key(x: str) -> str:
+    out = fold(x)
+    for form in LEGAL_FORMS:
+        out = f"replace({out}, '{form}', ' ')"
+    return f"trim(regexp_replace({out}, '[^0-9a-z]+', ' ', 'g'))"
+
+
+COMPANIES = f"names AS (SELECT DISTINCT regexp_extract(question, '{_NAMED}', 2) AS ticker, regexp_extract(question, '{_NAMED}', 1) AS name FROM questions WHERE regexp_matches(question, '{_NAMED}'))"
+_GENERIC = "[" + ", ".join(f"'{w}'" for w in GENERIC) + "]"
+JUDGED = EVALUATED + """,
+gt AS (SELECT a.id, list_sort(list(DISTINCT catalog.table_ref)) AS gold_tables FROM (SELECT id, ticker, unnest(years) AS year FROM (SELECT id, unnest(tickers) AS ticker, years FROM asked)) a JOIN catalog ON catalog.ticker = a.ticker AND catalog.year = a.year GROUP BY a.id),
+pt AS (SELECT qid AS id, list(table_ref ORDER BY rank, table_ref) AS tabs FROM c WHERE rank <= 10 GROUP BY 1),
+j0 AS (SELECT e2.id, e2.answer, e2.gold_answer, g AS gd, p AS pd, coalesce(gold_tables, []) AS gt, coalesce(tabs, []) AS pt, doc_precision, doc_recall FROM e2 LEFT JOIN gt USING (id) LEFT JOIN pt USING (id)),
+j1 AS (SELECT j0.*, e.doc_f2, e.doc_mrr, e.answer_correct, id % 7 <> 0 AS planned, len(list_intersect(list_distinct(pt), gt)) AS n FROM j0 JOIN e USING (id)),
+j2 AS (SELECT *, CASE WHEN len(gt) = 0 THEN CASE WHEN len(pt) = 0 THEN 1.0 ELSE 0.0 END WHEN len(pt) = 0 THEN 0.0 ELSE n / len(pt) END AS table_precision, CASE WHEN len(gt) = 0 THEN 1.0 WHEN len(pt) = 0 THEN 0.0 ELSE n / len(gt) END AS table_recall,
+  coalesce(1.0 / list_min(list_filter(list_transform(range(1, least(len(pt), 5) + 1), lambda i: CASE WHEN list_contains(gt, pt[i]) THEN i END), lambda i: i IS NOT NULL)), 0.0) AS table_mrr FROM j1),
+j3 AS (SELECT *, CASE WHEN 4 * table_precision + table_recall = 0 THEN 0.0 ELSE 5 * table_precision * table_recall / (4 * table_precision + table_recall) END AS table_f2, planned AND answer_correct AS execution_correct,
+  list_filter([CASE WHEN len(gt) > 0 AND NOT list_has_any(gt, pt) THEN 'TABLE_MISS' END, CASE WHEN len(gd) > 0 AND NOT list_has_any(gd, pd) THEN 'DOC_MISS' END], lambda x: x IS NOT NULL) AS miss,
+  list_filter([CASE WHEN len(gt) > 0 AND table_recall > 0 AND table_mrr < 1 THEN 'TABLE_BAD_RANK' END, CASE WHEN len(gd) > 0 AND doc_recall > 0 AND doc_mrr < 1 THEN 'DOC_BAD_RANK' END], lambda x: x IS NOT NULL) AS bad FROM j2),
+j4 AS (SELECT *, CASE WHEN len(miss) > 0 THEN miss ELSE bad END AS up FROM j3),
+j AS (SELECT *, list_concat(up, CASE WHEN answer_correct THEN CASE WHEN len(up) = 0 THEN ['SUCCESS'] ELSE [] END WHEN NOT planned THEN ['QUERY_NO_CODE'] WHEN answer IS NOT NULL THEN ['EXECUTION_ERROR'] WHEN len(up) = 0 THEN ['ANSWER_MISMATCH'] ELSE [] END) AS tags FROM j4)"""
+_SCORES = [f"{n}_{k}" for n in ("doc", "table") for k in ("precision", "recall", "f2", "mrr")]
+TYPED = """
+m AS (SELECT match_id, any_value(table_ref) AS table_ref, any_value(metric) AS metric FROM (SELECT DISTINCT match_id, table_ref, metric FROM term_matches WHERE metric IS NOT NULL) GROUP BY 1),
+typed AS (SELECT catalog.ticker, catalog.year, m.metric, m.table_ref, m.match_id, CAST(m.match_id AS DOUBLE) AS value FROM m JOIN catalog USING (table_ref) WHERE catalog.ticker IS NOT NULL AND catalog.year IS NOT NULL)"""
+_TERMS = sorted({t for f in DERIVED.values() for t in (*f.above, *f.below, *f.less)})
+
+
+_WIDE = ", ".join(f"min(value) FILTER (metric = '{t}') AS {t}" for t in _TERMS)
+
+
+def _formula(name: str) -> str:
+    f = DERIVED[name]
+    above = " + ".join(f.above) + "".join(f" - {t}" for t in f.less)
+    return f"SELECT ticker, year, '{name}' AS metric, round(({above}) / nullif({' + '.join(f.below)}, 0) * {f.factor}, 6) AS value FROM w"
+
+
+ITEMS = f"""{CANDIDATES},
+a AS (SELECT question_id AS id, arg_min(raw_value, answer_id) AS value FROM normalized_answers GROUP BY 1),
+r AS (SELECT qid AS id, rank, table_ref, c.doc_id, replace(csv_path, chr(92), '/') AS path FROM c LEFT JOIN catalog USING (table_ref) WHERE rank <= 5),
+r1 AS (SELECT id, list(table_ref ORDER BY rank, table_ref) AS tabs, list(doc_id ORDER BY rank, table_ref) AS docs, list(path ORDER BY rank, table_ref) AS paths FROM r GROUP BY id),
+u AS (SELECT id, question, value, coalesce({first_match(fold('question'), ASKED)}, 'none') AS unit, tabs, docs, paths FROM asked LEFT JOIN a USING (id) LEFT JOIN r1 USING (id)),
+u1 AS (SELECT *, CASE unit WHEN 'ty_dong' THEN 1e9 ELSE 1e6 END AS by_large FROM u),
+items AS (SELECT id, question, CASE WHEN value IS NULL OR isnan(value) OR isinf(value) THEN 0.0 WHEN value >= 1e11 AND unit IN ('trieu_dong', 'ty_dong') THEN round(value / by_large, 2) ELSE round(value, 2) END AS answer,
+  list_filter(coalesce(docs, []), lambda x, i: list_position(docs, x) = i) AS docs, list_filter(coalesce(tabs, []), lambda x, i: list_position(tabs, x) = i) AS tabs,
+  list_transform(list_filter(coalesce(paths, []), lambda x: x IS NOT NULL)[:4], lambda x: CASE WHEN starts_with(regexp_replace(x, '^[./]+', ''), 'data/') THEN regexp_replace(x, '^[./]+', '') ELSE 'data/' || split_part(x, '/', -1) END) AS paths FROM u1)"""
+_BETWEEN = r"regexp_replace(regexp_replace(substr(text, CAST(e AS BIGINT) + 1, greatest(char_start - e, 0)), '(?m)^=+ PAGE (\d+) =+$', '', 'g'), '<[^>]+>', '', 'g')"
+
+SQL |= {
+    "filter_cascade": f"WITH {LATEST}, {_cascade()} {_counted('catalog')}",
+    "cascade_without_unit": f"WITH {LATEST}, bare AS (SELECT * FROM catalog WHERE unit IS NULL), {_cascade('bare')} {_counted('bare')}",
+    "admitted_tables": f"WITH {LATEST}, {_cascade()} SELECT id, level, table_ref FROM lv",
+    "questions_without_filter": f"WITH {LATEST} SELECT DISTINCT id FROM asked WHERE id NOT IN (SELECT a.id FROM (SELECT id, unnest(tickers) AS ticker FROM asked) a JOIN catalog c ON upper(a.ticker) = upper(c.ticker) WHERE c.title IS NULL)",
+    "company_names": f"WITH {COMPANIES} SELECT ticker, name, {_key('name')} AS key FROM names",
+    "unique_aliases": f"""WITH {COMPANIES}, k AS (SELECT DISTINCT ticker, {_key('name')} AS key FROM names), w AS (SELECT ticker, string_split(key, ' ') AS w FROM k WHERE key <> ''), e AS (SELECT ticker, w, unnest([2, 3, 4]) AS n FROM w),
+a AS (SELECT ticker, array_to_string(w[len(w) - n + 1:], ' ') AS alias FROM e WHERE n <= len(w))
+SELECT alias, min(ticker) AS ticker FROM a WHERE length(alias) >= 6 AND NOT list_contains({_GENERIC}, alias) AND len(list_filter(string_split(alias, ' '), lambda x: NOT list_contains({_GENERIC}, x))) > 0 AND alias NOT IN (SELECT key FROM k)
+GROUP BY alias HAVING count(DISTINCT ticker) = 1""",
+    "unanswered": "SELECT DISTINCT id FROM questions WHERE id NOT IN (SELECT question_id FROM normalized_answers WHERE converted AND question_id IS NOT NULL)",
+    "linked_by_text": f"""WITH h AS (SELECT DISTINCT doc_id, position, char_start, char_end, n_cols FROM html_tables), d AS (SELECT DISTINCT doc_id, text FROM raw_documents),
+o AS (SELECT *, lag(char_end) OVER w AS e, n_cols = lag(n_cols) OVER w AS same FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY position)),
+j AS (SELECT o.*, coalesce(same AND length(regexp_replace({_BETWEEN}, '^\\s+|\\s+$', '', 'g')) < 30, FALSE) AS joins FROM o LEFT JOIN d USING (doc_id)),
+r AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY position) AS run FROM j)
+SELECT doc_id, position, first_value(position) OVER w AS head, joins AS is_continuation, lead(position) OVER w AS next_position FROM r WINDOW w AS (PARTITION BY doc_id, run ORDER BY position)""",
+    "header_lines": f"""WITH {TABULAR} SELECT doc_id, count(*) AS n FROM d3 WHERE len(filled) >= 2 AND regexp_matches({fold('line')}, '{"|".join(TITLE_HINTS)}') GROUP BY doc_id""",
+    "wide_tables": """WITH o AS (SELECT DISTINCT table_ref, header_rows[1] AS h, rows FROM extracted_tables),
+w AS (SELECT table_ref, CASE WHEN len(rows) > 0 THEN h ELSE list_transform(range(len(h)), lambda i: 'col_' || i) END AS cols, CASE WHEN len(rows) > 0 THEN rows ELSE [h] END AS rows FROM o WHERE h IS NOT NULL),
+r AS (SELECT table_ref, cols, unnest(rows) AS row, generate_subscripts(rows, 1) - 1 AS row_idx FROM w), c AS (SELECT table_ref, row_idx, cols, row, unnest(range(len(cols))) AS i FROM r)
+SELECT table_ref, CAST(row_idx AS INTEGER) AS row_idx, CAST(i AS INTEGER) AS col_idx, cols[i + 1] AS "column", coalesce(row[i + 1], '') AS cell FROM c""",
+    "loaded_types": """WITH d AS (SELECT DISTINCT doc_id, replace(replace(lower(doc_id), '_', ''), '-', '') AS f FROM raw_documents)
+SELECT doc_id, CASE WHEN regexp_matches(f, 'separate|rieng|congtyme|parent') THEN 'separate' WHEN regexp_matches(f, 'consolidated|hopnhat') THEN 'consolidated' ELSE 'unknown' END AS report_type FROM d""",
+    "rrf_bonus": f"""WITH {LATEST}, {CANDIDATES}, u AS (SELECT qid, table_ref, 1.0 / (60 + row_number() OVER (PARTITION BY qid ORDER BY bm25_score DESC, table_ref)) AS s, bm25_score AS a, NULL AS b FROM c WHERE bm25_score IS NOT NULL
+UNION ALL SELECT qid, table_ref, 1.0 / (60 + row_number() OVER (PARTITION BY qid ORDER BY dense DESC, table_ref)), NULL, dense FROM c WHERE dense IS NOT NULL),
+f AS (SELECT qid, table_ref, sum(s) AS s, coalesce(max(a), 0) AS sparse_score, coalesce(max(b), 0) AS dense_score FROM u GROUP BY ALL)
+SELECT qid, table_ref, round(s + CASE WHEN coalesce(len(metrics), 0) > 0 AND TRY_CAST(split_part(table_ref, '|', -1) AS INTEGER) BETWEEN 1 AND 12 THEN 0.003 ELSE 0 END, 9) AS score, sparse_score, dense_score FROM f LEFT JOIN asked ON id = qid""",
+    "dense_allowed": """WITH a AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id, round(list_dot_product(v, CAST(embedding AS DOUBLE[])), 6) AS score FROM a JOIN embeddings USING (label))
+SELECT query, vec_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""",
+    "order_lookup": "SELECT round(arg_min(o_totalprice, (o_orderdate, o_orderkey)) / 1000, 2) AS thousands FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND year(o_orderdate) = 1995",
+    "concat_lookup": "SELECT lower(o_orderpriority) AS o_orderpriority, arg_min(o_totalprice, (CASE WHEN year(o_orderdate) < 1998 THEN 1 ELSE 2 END, o_orderkey)) AS value FROM orders GROUP BY 1",
+    "derived_metrics": f"WITH {LATEST}, {TYPED}, w AS (SELECT ticker, year, {_WIDE} FROM typed GROUP BY ALL), x AS ({' UNION ALL '.join(map(_formula, DERIVED))}) SELECT * FROM x WHERE value IS NOT NULL",
+    "relaxed_answers": f"""WITH {LATEST}, {TYPED}, f AS (SELECT ticker, metric, year, arg_min(value, (table_ref, match_id)) AS value FROM typed GROUP BY ALL),
+q AS (SELECT DISTINCT id, ticker, metric, unnest(years) AS year FROM (SELECT id, ticker, unnest(metrics) AS metric, years FROM (SELECT id, unnest(tickers) AS ticker, metrics, years FROM asked)))
+SELECT q.id || '|' || q.ticker || '|' || q.metric || '|' || q.year AS id, CASE WHEN f.year = q.year THEN 1 ELSE 3 END AS level, f.value FROM q JOIN f ON f.ticker = q.ticker AND f.metric = q.metric
+QUALIFY row_number() OVER (PARTITION BY q.id, q.ticker, q.metric, q.year ORDER BY CASE WHEN f.year = q.year THEN 1 ELSE 3 END, f.year DESC, f.value) = 1""",
+    "bound_tables": f"""WITH {LATEST}, {CANDIDATES}, s AS (SELECT qid AS id, rank, c.table_ref, group_id, NOT needs_derived AND len(tickers) <= 1 AND len(years) <= 1 AS simple FROM c JOIN asked ON asked.id = qid LEFT JOIN catalog USING (table_ref) WHERE rank <= 5),
+f AS (SELECT *, first_value(table_ref) OVER w AS ft, first_value(group_id) OVER w AS fg FROM s WINDOW w AS (PARTITION BY id ORDER BY rank, table_ref))
+SELECT id, table_ref, 'df' || row_number() OVER (PARTITION BY id ORDER BY rank, table_ref) AS variable FROM f WHERE coalesce(NOT simple OR table_ref = ft OR group_id = fg, FALSE)""",
+    "coerced_answers": """WITH o AS (SELECT DISTINCT answer_id, question_id, value FROM normalized_answers), g AS (SELECT question_id AS id, count(*) AS n, any_value(value) AS v, count(value) AS k FROM o GROUP BY 1)
+SELECT id, CASE WHEN k = 1 AND NOT isnan(v) AND NOT isinf(v) THEN round(v, 4) END AS value, CASE WHEN k = 0 THEN 'no value' WHEN k > 1 THEN k || ' values' WHEN isnan(v) THEN 'NaN' WHEN isinf(v) THEN 'infinite' END AS error FROM g""",
+    "judged_questions": f"WITH {JUDGED} SELECT id, {', '.join(f'round({c}, 6) AS {c}' for c in _SCORES[4:])}, answer_correct, execution_correct, array_to_string(tags, ',') AS tags FROM j",
+    "judged_summary": f"""WITH {JUDGED}, s AS (SELECT count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _SCORES)}, round(avg(CAST(answer_correct AS DOUBLE)), 6) AS answer_accuracy, round(avg(CAST(execution_correct AS DOUBLE)), 6) AS execution_accuracy FROM j)
+SELECT *, round((table_f2 + answer_accuracy + execution_accuracy) / 3, 6) AS overall FROM s""",
+    "submission_items": f"WITH {LATEST}, {ITEMS} SELECT id, answer, array_to_string(docs, ',') AS relevant_docs, array_to_string(tabs, ',') AS relevant_tables, array_to_string(paths, ',') AS paths FROM items",
+    "submission_violations": f"""WITH {LATEST}, {ITEMS}, a2 AS (SELECT DISTINCT question_id AS id FROM normalized_answers WHERE converted)
+SELECT 'no_documents' AS rule, 'warning' AS severity, id FROM items WHERE len(docs) = 0 UNION ALL SELECT 'no_tables', 'warning', id FROM items WHERE len(tabs) = 0
+UNION ALL SELECT 'document_with_suffix', 'error', id FROM items WHERE len(list_filter(docs, lambda x: ends_with(x, '.txt'))) > 0
+UNION ALL SELECT 'malformed_table', 'error', id FROM items WHERE len(list_filter(tabs, lambda t: NOT regexp_full_match(t, '.+[|]-?[0-9]+'))) > 0
+UNION ALL SELECT 'table_of_other_document', 'warning', id FROM items WHERE len(docs) > 0 AND len(list_filter(tabs, lambda t: contains(t, '|') AND NOT list_contains(docs, regexp_extract(t, '^(.*)[|]', 1)))) > 0
+UNION ALL SELECT 'question_missing', 'error', id FROM items WHERE coalesce(question, '') = '' UNION ALL SELECT 'plan_empty', 'warning', id FROM items
+UNION ALL SELECT 'unknown_id', 'error', id FROM items ANTI JOIN a2 USING (id) UNION ALL SELECT 'absent_id', 'error', id FROM a2 ANTI JOIN items USING (id)""",
 }

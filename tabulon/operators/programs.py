@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,14 @@ def lookup(facts: DataFrame, item: str, year: int | None = None, order: tuple[st
     return rows.agg(F.min_by("value", F.struct(*order)).alias("value"))
 
 
+def concatenated(*parts: DataFrame) -> DataFrame:
+    """The rows of tables that a page break parts, as one table; columns that a part lacks are null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def ratio(a: Column, b: Column, factor: float = 100.0) -> Column:
     """a / b times a factor; null where b is 0 or either is null."""
     return F.try_divide(a, b) * factor
@@ -32,18 +40,72 @@ def cagr(first: Column, last: Column, years: Column) -> Column:
     return F.when((quotient > 0) & (years > 0), (F.pow(quotient, 1.0 / years) - 1) * 100)
 
 
-#: Derived metrics and the terms that they are made of.
+@dataclass(frozen=True)
+class Formula:
+    """A ratio of sums of metrics: those added, those taken off, those below the line, and the factor."""
+
+    above: tuple[str, ...]
+    below: tuple[str, ...]
+    less: tuple[str, ...] = ()
+    factor: float = 1.0
+
+
+#: Derived metrics and the terms that they are made of. A term that the facts lack leaves the metric null.
 DERIVED = {
-    "roe": ("profit_net", "equity_total", 100.0),
-    "roa": ("profit_net", "assets_total", 100.0),
-    "ros": ("profit_net", "rev_net", 100.0),
-    "debt_to_equity": ("liab_total", "equity_total", 1.0),
-    "current_ratio": ("assets_curr", "loan_st", 1.0),
-    "gross_margin": ("profit_gross", "rev_net", 100.0),
-    "net_margin": ("profit_net", "rev_net", 100.0),
+    "roe": Formula(("profit_net",), ("equity_total",), factor=100.0),
+    "roa": Formula(("profit_net",), ("assets_total",), factor=100.0),
+    "ros": Formula(("profit_net",), ("rev_net",), factor=100.0),
+    "debt_to_equity": Formula(("liab_total",), ("equity_total",)),
+    "current_ratio": Formula(("assets_curr",), ("liab_curr",)),
+    "quick_ratio": Formula(("assets_curr",), ("liab_curr",), less=("inventory_net",)),
+    "gross_margin": Formula(("profit_gross",), ("rev_net",), factor=100.0),
+    "net_margin": Formula(("profit_net",), ("rev_net",), factor=100.0),
 }
 
 
+def derived(facts: DataFrame, names: tuple[str, ...] = tuple(DERIVED)) -> DataFrame:
+    """(ticker, year, metric, value) of derived metrics over facts(ticker, year, metric, value), all of them in one pass.
+
+    Of several facts of one metric the least value counts, so that the result doesn't depend on the order of rows.
+    growth and cagr, which go over years, are plans of their own.
+    """
+    formulas = {n: DERIVED[n] for n in names}
+    terms = sorted({t for f in formulas.values() for t in (*f.above, *f.below, *f.less)})
+    wide = facts.where(F.col("metric").isin(*terms)).groupBy("ticker", "year").agg(*(F.min(F.when(F.col("metric") == t, F.col("value"))).alias(t) for t in terms))
+    total = lambda ts: sum((F.col(t) for t in ts[1:]), F.col(ts[0]))
+    value = lambda f: F.try_divide(total(f.above) - (total(f.less) if f.less else F.lit(0.0)), total(f.below)) * f.factor
+    every = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), value(f).alias("value")) for n, f in formulas.items())))
+    return wide.select("ticker", "year", every.alias("m")).select("ticker", "year", "m.metric", "m.value").where("value IS NOT NULL")
+
+
+def bound(selected: DataFrame, questions: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, rank, table_ref, variable): the tables that a question's plan works on, of selected(id, rank, table_ref).
+
+    A simple question (nothing derived, one code and one year at most) takes its first table, with those of the same
+    group; another all that are selected. Variables are numbered by rank.
+    """
+    shape = questions.select("id", (~F.col("needs_derived") & (F.size("tickers") <= 1) & (F.size("years") <= 1)).alias("_simple"))
+    rows = selected.join(shape, "id").join(links.select("table_ref", "group_id"), "table_ref", "left")
+    first = rows.groupBy("id").agg(F.min_by(F.struct("table_ref", "group_id"), F.struct("rank", "table_ref")).alias("_f"))
+    kept = ~F.col("_simple") | (F.col("table_ref") == F.col("_f.table_ref")) | (F.col("group_id") == F.col("_f.group_id"))
+    order = Window.partitionBy("id").orderBy("rank", "table_ref")
+    return rows.join(first, "id").where(F.coalesce(kept, F.lit(False))).select("id", "rank", "table_ref", F.concat(F.lit("df"), F.row_number().over(order).cast("string")).alias("variable"))
+
+
+def relaxed(asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, level, value): for each of asked(id, ticker, metric, year, period) the first fact of the strictest constraints that have one.
+
+    Levels: 1 code, metric, year and period; 2 without the period; 3 without the year, the latest; null constraints
+    hold always. The join is on code and metric; a fact is kept only as the best of its level.
+    """
+    own = facts.groupBy("ticker", "metric", "year", "period").agg(F.min_by("value", F.struct("table_ref", "row_idx")).alias("value"))
+    pairs = asked.alias("a").join(own.alias("f"), ["ticker", "metric"])
+    same = lambda c: F.col(f"a.{c}").isNull() | F.coalesce(F.col(f"a.{c}") == F.col(f"f.{c}"), F.lit(False))
+    level = F.when(same("year") & same("period"), 1).when(same("year"), 2).otherwise(3)
+    best = F.min(F.struct(level.alias("level"), (-F.coalesce("f.year", F.lit(0))).alias("y"), F.coalesce("f.period", F.lit("")).alias("p"), F.col("f.value").alias("value")))
+    return pairs.groupBy("id").agg(best.alias("b")).select("id", "b.level", "b.value")
+
+
 def extreme(rows: DataFrame, group: list[str], criterion: str, target: str, largest: bool = True) -> DataFrame:
     """For each group the target where the criterion is largest (smallest); of equals the least target."""
     sign = -1 if largest else 1
@@ -73,13 +135,13 @@ class Plan:
 
 
 def evaluate(facts: DataFrame, plan: Plan) -> DataFrame:
-    """(ticker, year, value) of a plan over facts(ticker, year, metric, value); absent terms give null values, not errors."""
+    """(ticker, year, value) of a plan over facts(ticker, year, metric, value); absent terms give null values, not errors; of several facts the least value counts."""
     rows = facts.where(F.col("metric").isin(*plan.metrics))
     if plan.tickers:
         rows = rows.where(F.col("ticker").isin(*plan.tickers))
     if plan.years:
         rows = rows.where(F.col("year").isin(*plan.years))
-    wide = rows.groupBy("ticker", "year").agg(*(F.first(F.when(F.col("metric") == m, F.col("value")), True).alias(f"m{i}") for i, m in enumerate(plan.metrics)))
+    wide = rows.groupBy("ticker", "year").agg(*(F.min(F.when(F.col("metric") == m, F.col("value"))).alias(f"m{i}") for i, m in enumerate(plan.metrics)))
     if plan.operation == "lookup":
         return wide.select("ticker", "year", F.col("m0").alias("value"))
     if plan.operation == "ratio":

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import numbers, text
-from tabulon.operators import analysis, evaluation, extraction, normalization, programs, retrieval, units
+from tabulon.operators import analysis, companies, evaluation, extraction, normalization, programs, retrieval, submission, units
 from tabulon.operators.oracle import SQL
 from tabulon.sources import documents as sources
 from tabulon.sources import sinks
-from tabulon.session import table
+from tabulon.session import checkpoint, spread, table
 from tabulon.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +33,7 @@ def p4_amounts(spark: SparkSession, d: str) -> DataFrame:
     """Every amount of the tables in dong."""
     tables = table(spark, d, "extracted_tables")
     factors = units.table_units(tables, table(spark, d, "units")).select("table_ref", "right_unit", "factor")
-    cells = normalization.cells(tables).where("col_idx >= 2").withColumn("amount", numbers.parse_number(F.col("cell"))).where("amount IS NOT NULL")
+    cells = normalization.cells(tables).withColumn("amount", numbers.parse_number(F.col("cell"))).where("amount IS NOT NULL")
     return cells.join(factors, "table_ref").select("table_ref", "row_idx", "col_idx", "right_unit", (F.col("amount") * F.col("factor")).alias("dong"))
 
 
@@ -185,26 +185,59 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def filter_cascade(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.admitted(_questions(spark, d), _catalog(spark, d))
-    return found.groupBy("id").agg(F.first("level").alias("level"), F.count("*").alias("n_tables"))
+    """The level at which each question's constraints are satisfied, and how many tables it admits: of classes, no table is looked at."""
+    found = retrieval.admitted_classes(_questions(spark, d), _catalog(spark, d))
+    return found.groupBy("id").agg(F.min("level").alias("level"), F.sum("n").alias("n_tables"))
+
+
+@query
+def cascade_without_unit(spark: SparkSession, d: str) -> DataFrame:
+    """The same against the tables that state no unit, of which many questions find none of their code."""
+    found = retrieval.admitted_classes(_questions(spark, d), _catalog(spark, d).where("unit IS NULL"))
+    return found.groupBy("id").agg(F.min("level").alias("level"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tables"))
+
+
+@query
+def admitted_tables(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.admitted(_questions(spark, d), _catalog(spark, d))
 
 
 @query
 def questions_without_filter(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.unfiltered(_questions(spark, d), _catalog(spark, d))
+    """Questions that find no table without a title by their code."""
+    return retrieval.unfiltered(_questions(spark, d), _catalog(spark, d).where("title IS NULL"))
+
+
+@query
+def company_names(spark: SparkSession, d: str) -> DataFrame:
+    return companies.names_in_questions(table(spark, d, "questions")).select("ticker", "name", companies.company_key(F.col("name")).alias("key"))
 
 
 @query
 def unique_aliases(spark: SparkSession, d: str) -> DataFrame:
-    """Ends of names of two to four words that belong to one brand only."""
-    words = table(spark, d, "part").select("p_brand", F.split(text.fold(F.col("p_name")), " ").alias("w"))
-    ends = F.transform(F.filter(F.sequence(F.lit(2), F.lit(4)), lambda k: k <= F.size("w")), lambda k: F.array_join(F.slice("w", F.size("w") - k + 1, k), " "))
-    return words.select("p_brand", F.explode(ends).alias("alias")).where(F.length("alias") >= 6).groupBy("alias").agg(F.count_distinct("p_brand").alias("n"), F.min("p_brand").alias("brand")).where("n = 1").select("alias", "brand")
+    """Ends of the names of companies of two to four words that belong to one only."""
+    return companies.aliases(companies.names_in_questions(table(spark, d, "questions")))
+
+
+@query
+def question_codes(spark: SparkSession, d: str) -> DataFrame:
+    """The codes of each question, by brackets, names of companies and codes that the list knows."""
+    found = companies.tickers(table(spark, d, "questions"), companies.names_in_questions(table(spark, d, "questions")))
+    return found.select("id", F.array_join("tickers", ",").alias("tickers"))
+
+
+@query
+def companies_of_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The companies that each report names, wherever in its text."""
+    known = companies.entries(companies.names_in_questions(table(spark, d, "questions")))
+    found = companies.resolved(_raw(spark, d), "doc_id", "text", known)
+    return found.select("doc_id", F.array_join("tickers", ",").alias("tickers"))
 
 
 @query
 def unanswered(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "normalized_answers").select(F.col("question_id").alias("id")).distinct()
+    """Questions that a run still has to answer: none of their answers is in the unit asked for."""
+    done = table(spark, d, "normalized_answers").where("converted").select(F.col("question_id").alias("id")).distinct()
     return table(spark, d, "questions").select("id").distinct().join(done, "id", "left_anti")
 
 
@@ -246,6 +279,48 @@ def html_grids(spark: SparkSession, d: str) -> DataFrame:
     return extraction.html_tables(_raw(spark, d))
 
 
+@query
+def linked_by_text(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "html_tables").select("doc_id", "position", "char_start", "char_end", "n_cols").distinct()
+    return extraction.linked_by_text(once, _raw(spark, d))
+
+
+@query
+def header_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = extraction.lines(_raw(spark, d)).where(extraction.is_header_line(F.col("line")))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query
+def text_tables(spark: SparkSession, d: str) -> DataFrame:
+    found = extraction.text_tables(_raw(spark, d))
+    return found.select("doc_id", "position", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"), "first_line", "n_cols", "page", "context_before")
+
+
+@query
+def detected_tables(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.detected(_raw(spark, d)).select("doc_id", "position", F.size("rows").alias("n_rows"), "n_cols", "page", "is_continuation", "source")
+
+
+@query
+def clean_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d).select("doc_id", extraction.clean_text(F.col("text")).alias("text"))
+
+
+@query
+def wide_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of each table in the width of its first head, under their columns."""
+    once = table(spark, d, "extracted_tables").select("table_ref", "header_rows", "rows").dropDuplicates(["table_ref"])
+    w = once.select("table_ref", extraction.wide(F.get("header_rows", F.lit(0)), F.col("rows")).alias("w"))
+    rows = w.select("table_ref", "w.columns", F.posexplode("w.rows").alias("row_idx", "row"))
+    return rows.select("table_ref", "row_idx", F.posexplode("row").alias("col_idx", "cell"), "columns").select("table_ref", "row_idx", "col_idx", F.get("columns", F.col("col_idx")).alias("column"), "cell")
+
+
+@query
+def loaded_types(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_documents").select("doc_id").distinct().select("doc_id", sources.loaded_report_type(F.col("doc_id")).alias("report_type"))
+
+
 @query
 def linked_tables(spark: SparkSession, d: str) -> DataFrame:
     once = table(spark, d, "html_tables").select("doc_id", "position", "char_start", "char_end", "n_cols").distinct()
@@ -290,6 +365,30 @@ def long_facts(spark: SparkSession, d: str) -> DataFrame:
     return normalization.facts(table(spark, d, "extracted_tables"), table(spark, d, "raw_documents"))
 
 
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    terms = table(spark, d, "metric_terms")
+    derived = tuple(sorted({r["metric"] for r in terms.where("is_derived").select("metric").distinct().collect()}))  # of a list that fits an automaton
+    return normalization.facts(table(spark, d, "extracted_tables"), table(spark, d, "raw_documents"), analysis.listed(terms, "surface", "metric"), derived)
+
+
+@query
+def fact_ambiguities(spark: SparkSession, d: str) -> DataFrame:
+    """The items of each report that have several values for one year and period, over all its tables together."""
+    rows = normalization.facts(table(spark, d, "extracted_tables"), table(spark, d, "raw_documents"))
+    found = normalization.ambiguity_report(rows.withColumn("table_ref", F.substring_index("table_ref", "|", 1)))
+    return found.select("table_ref", "item", F.array_join("codes", ",").alias("codes"), F.array_join("labels", ",").alias("labels"))
+
+
+@query
+def table_years(spark: SparkSession, d: str) -> DataFrame:
+    return normalization.periods_by_year(normalization.facts(table(spark, d, "extracted_tables"), table(spark, d, "raw_documents")))
+
+
+@query
+def full_cards(spark: SparkSession, d: str) -> DataFrame:
+    return normalization.full_cards(_catalog(spark, d), _facts(spark, d))
+
+
 @query
 def ambiguous_facts(spark: SparkSession, d: str) -> DataFrame:
     cells = normalization.cells(table(spark, d, "extracted_tables"))
@@ -367,16 +466,60 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     A question without a known code is held against the tables of its years; without these, against all.
     """
     questions, catalog = _questions(spark, d), _catalog(spark, d)
-    by_year = retrieval.admitted_by_year(questions, catalog)
-    allowed = retrieval.admitted(questions, catalog).select("id", "table_ref").unionByName(by_year)
-    free = retrieval.unfiltered(questions, catalog).join(by_year, "id", "left_anti")
-    sparse = retrieval.bm25(normalization.card_or_fields(catalog), "table_ref", "card", questions, "id", "question", 50, allowed, free).select(F.col("id").alias("qid"), "table_ref", "rank")
+    allowed = retrieval.admitted(questions, catalog).select("id", "table_ref")
+    free = questions.select("id").join(allowed.select("id").distinct(), "id", "left_anti")
+    sparse = retrieval.bm25(normalization.card_or_fields(catalog), "table_ref", "card", questions, "id", "question", 150, allowed, free).select(F.col("id").alias("qid"), "table_ref", "rank")
     dense = _candidates(spark, d).where("dense IS NOT NULL")
-    dense = dense.select("qid", "table_ref", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dense"), "table_ref")).alias("rank")).where("rank <= 50")
+    dense = dense.select("qid", "table_ref", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dense"), "table_ref")).alias("rank")).where("rank <= 150")
     fused = retrieval.top(retrieval.fused_ranks(sparse, dense, "qid", "table_ref"), "qid", "table_ref", "score", 20)
     return fused.join(catalog.select("table_ref", "section", "title"), "table_ref", "left").select("qid", "table_ref", "rank", "score", "section")
 
 
+@query
+def rrf_bonus(spark: SparkSession, d: str) -> DataFrame:
+    """The fused ranks with the raw scores, and the bonus of early tables for questions that name metrics."""
+    rows = _candidates(spark, d)
+    ranked = lambda c: rows.where(F.col(c).isNotNull()).select("qid", "table_ref", F.col(c).alias("score"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "table_ref")).alias("rank"))
+    asked = _questions(spark, d).select(F.col("id").alias("qid"), "metrics")
+    return retrieval.fused_scores(ranked("bm25_score"), ranked("dense"), asked, "qid", "table_ref")
+
+
+@query
+def dense_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of the query's own label, for every hundredth vector as query."""
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"), "label")
+    pairs = asked.select("query", "label").join(vectors.select("vec_id", "label"), "label").select("query", "vec_id")
+    return retrieval.nearest_of(pairs, vectors, "vec_id", "embedding", asked.select("query", "v"), 10).select("query", "vec_id", "score", "rank")
+
+
+@query
+def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of retrieval: filter, expanded question, BM25 and vectors under the filter, 150 of each, fused, the best 50."""
+    questions, catalog = _questions(spark, d), _catalog(spark, d)
+    allowed = checkpoint(retrieval.admitted(questions, catalog).select("id", "table_ref"))
+    cards = normalization.card_or_fields(catalog)
+    wide = questions.select("id", "metrics", analysis.expanded(F.col("question"), F.col("metrics"), F.col("tickers"), F.col("years")).alias("q"))
+    free = questions.select("id").join(allowed.select("id").distinct(), "id", "left_anti")
+    sparse = retrieval.bm25(cards, "table_ref", "card", wide, "id", "q", 150, allowed, free).select(F.col("id").alias("qid"), "table_ref", "rank", "score")
+    encoder = retrieval.hashing_encoder()
+    # Each card and question is encoded once, however many pairs it is in.
+    vectors = checkpoint(retrieval.encoded(spread(cards), "table_ref", "card", encoder))
+    asked = retrieval.encoded(spread(wide), "id", "q", encoder).select(F.col("id").alias("query"), "v")
+    dense = retrieval.nearest_of(allowed.select(F.col("id").alias("query"), "table_ref"), vectors, "table_ref", "v", asked, 150)
+    fused = retrieval.fused_scores(sparse, dense.select(F.col("query").alias("qid"), "table_ref", "rank", "score"), wide.select(F.col("id").alias("qid"), "metrics"), "qid", "table_ref")
+    best = retrieval.top(fused, "qid", "table_ref", "score", 50)
+    return best.join(catalog.select("table_ref", "doc_id", "section", "title"), "table_ref", "left").select("qid", "table_ref", "rank", "score", "sparse_score", "dense_score", "doc_id", "section")
+
+
+@query
+def selected_tables(spark: SparkSession, d: str) -> DataFrame:
+    """What is kept of each question's candidates: as many as it needs, codes, years and statements covered, linked tables behind."""
+    catalog = _catalog(spark, d).select("table_ref", "ticker", "year", "section", "group_id", "parent_table_ref", "next_table_ref")
+    pool = _candidates(spark, d).select("qid", "table_ref", "rank", "score").join(catalog, "table_ref")
+    return retrieval.selected(pool, _questions(spark, d), "qid", "table_ref")
+
+
 @query
 def content_rerank(spark: SparkSession, d: str) -> DataFrame:
     questions, catalog = _questions(spark, d), _catalog(spark, d)
@@ -431,6 +574,48 @@ def linked_expansion(spark: SparkSession, d: str) -> DataFrame:
 # --- programs
 
 
+@query
+def order_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One lookup over orders: the first urgent one of 1995, in thousands."""
+    facts = table(spark, d, "orders").select(F.col("o_orderpriority").alias("item"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("value"), F.col("o_orderdate").alias("table_ref"), F.col("o_orderkey").alias("row_idx"))
+    return programs.lookup(facts, "urgent", 1995).select(numbers.rounded(F.col("value") / 1e3).alias("thousands"))
+
+
+def _typed_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of the terms that were matched: the metric of a table's code and year, its value being the term's number."""
+    matched = table(spark, d, "term_matches").where("metric IS NOT NULL").select("match_id", "table_ref", "metric").dropDuplicates(["match_id"])
+    listed = _catalog(spark, d).select("table_ref", "ticker", "year").where("ticker IS NOT NULL AND year IS NOT NULL")
+    return matched.join(listed, "table_ref").select("ticker", "year", "metric", F.lit("annual").alias("period"), "table_ref", F.col("match_id").alias("row_idx"), F.col("match_id").cast("double").alias("value"))
+
+
+@query
+def derived_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return programs.derived(_typed_facts(spark, d)).select("ticker", "year", "metric", F.round("value", 6).alias("value"))
+
+
+@query
+def relaxed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """For each code, metric and year of each question the first fact, or one of another year where it has none."""
+    q = _questions(spark, d).select("id", F.explode("tickers").alias("ticker"), "metrics", "years").select("id", "ticker", F.explode("metrics").alias("metric"), "years")
+    asked = q.select("id", "ticker", "metric", F.explode("years").alias("year"))
+    asked = asked.select(F.concat_ws("|", F.col("id").cast("string"), "ticker", "metric", F.col("year").cast("string")).alias("id"), "ticker", "metric", "year", F.lit("annual").alias("period")).distinct()
+    return programs.relaxed(asked, _typed_facts(spark, d))
+
+
+@query
+def bound_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that each question's plan works on, of its first five candidates."""
+    selected = _candidates(spark, d).where("rank <= 5").select(F.col("qid").alias("id"), "rank", "table_ref")
+    return programs.bound(selected, _questions(spark, d), _catalog(spark, d)).select("id", "table_ref", "variable")
+
+
+@query
+def coerced_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The one value of each question's answers, or why there is none."""
+    values = table(spark, d, "normalized_answers").dropDuplicates(["answer_id"]).groupBy(F.col("question_id").alias("id")).agg(F.collect_list(F.col("value").cast("string")).alias("v"))
+    return values.select("id", submission.coerced(F.col("v")).alias("c")).select("id", F.round("c.value", 4).alias("value"), "c.error")
+
+
 @query
 def lookup_largest(spark: SparkSession, d: str) -> DataFrame:
     """For each customer segment the value of its first order of each year, in millions."""
@@ -441,9 +626,14 @@ def lookup_largest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def concat_lookup(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.year("o_orderdate").alias("year"))
-    parts = orders.where("year < 1998").unionByName(orders.where("year >= 1998"), allowMissingColumns=True)
-    return parts.groupBy("o_orderpriority").agg(F.max("o_totalprice").alias("largest"), F.count("*").alias("n"))
+    """The parts of a table that a page break parts, put together, then the lookup of each priority."""
+    orders = table(spark, d, "orders").select(F.col("o_orderpriority").alias("item"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("row_idx"))
+    parts = programs.concatenated(orders.where("year < 1998").withColumn("part", F.lit(1)), orders.where("year >= 1998").withColumn("part", F.lit(2)))
+    found = [programs.lookup(parts, p, order=("part", "row_idx")).select(F.lit(p).alias("o_orderpriority"), "value") for p in ("1-urgent", "2-high", "3-medium", "4-not specified", "5-low")]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def _yearly(spark: SparkSession, d: str) -> DataFrame:
@@ -497,8 +687,10 @@ def plan_ratio(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", F.year("o_orderdate").alias("year")).agg(
         F.sum("o_totalprice").alias("total"), F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0.0)).alias("done")
     )
-    long = facts.select(F.col("c_mktsegment").alias("ticker"), "year", F.explode(F.array(F.struct(F.lit("done").alias("metric"), F.col("done").alias("value")), F.struct(F.lit("total").alias("metric"), F.col("total").alias("value")))).alias("m")).select("ticker", "year", "m.metric", "m.value")
-    return programs.evaluate(long, programs.Plan("ratio", ("done", "total"))).select("ticker", "year", F.round("value", 4).alias("value"))
+    long = facts.select(F.col("c_mktsegment").alias("ticker"), "year", F.explode(F.array(F.struct(F.lit("profit_net").alias("metric"), F.col("done").alias("value")), F.struct(F.lit("rev_net").alias("metric"), F.col("total").alias("value")))).alias("m")).select("ticker", "year", "m.metric", "m.value")
+    planned = programs.evaluate(long, programs.Plan("ratio", ("profit_net", "rev_net")))
+    named = programs.derived(long, ("ros",)).select("ticker", "year", F.col("value").alias("same"))  # the same by its name
+    return planned.join(named, ["ticker", "year"]).where("value = same").select("ticker", "year", F.round("value", 4).alias("value"))
 
 
 # --- evaluation and checks
@@ -563,12 +755,50 @@ def index_checks(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.index_integrity(table(spark, d, "table_catalog"), table(spark, d, "extracted_tables"), table(spark, d, "candidates"))
 
 
+def _gold_tables(spark: SparkSession, d: str) -> DataFrame:
+    """For each question the tables of its codes and years."""
+    q = _questions(spark, d).select("id", F.explode("tickers").alias("ticker"), "years").select("id", "ticker", F.explode("years").alias("year")).distinct()
+    return q.join(_catalog(spark, d).select("ticker", "year", "table_ref"), ["ticker", "year"]).groupBy("id").agg(F.array_sort(F.collect_set("table_ref")).alias("gold_tables"))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    gold = _gold(spark, d).join(_gold_tables(spark, d), "id", "left")
+    ranked = _candidates(spark, d).where("rank <= 10").groupBy(F.col("qid").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "table_ref"))), lambda x: x["table_ref"]).alias("tables"))
+    # Every seventh question has no plan, so that its execution fails.
+    planned = _predictions(spark, d).join(ranked, "id", "left").withColumn("plan", F.when(F.col("id") % 7 == 0, "").otherwise("lookup"))
+    return evaluation.judged(gold, planned)
+
+
+@query
+def judged_questions(spark: SparkSession, d: str) -> DataFrame:
+    r = lambda c: F.round(c, 6).alias(c)
+    return _judged(spark, d).select("id", r("table_precision"), r("table_recall"), r("table_f2"), r("table_mrr"), "answer_correct", "execution_correct", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def judged_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.judged_summary(_judged(spark, d))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    ranked = _candidates(spark, d).where("rank <= 5").join(_catalog(spark, d).select("table_ref", "csv_path"), "table_ref", "left").select(F.col("qid").alias("id"), "rank", "table_ref", "doc_id", "csv_path")
+    answers = table(spark, d, "normalized_answers").groupBy(F.col("question_id").alias("id")).agg(F.min_by("raw_value", "answer_id").alias("value"))
+    return submission.items(_questions(spark, d), answers, ranked)
+
+
+@query
+def submission_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each question's item, from its first answer and five candidates, written as JSON and read again."""
+    rows = submission.from_json(submission.to_json(_items(spark, d)))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return rows.select("id", "answer", joined("relevant_docs"), joined("relevant_tables"), F.array_join("evidence.csv_path", ",").alias("paths"))
+
+
 @query
 def submission_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates' first five tables as a submission of the questions."""
-    first = _candidates(spark, d).where("rank <= 5").groupBy(F.col("qid").alias("id")).agg(F.collect_list("doc_id").alias("relevant_docs"), F.collect_list("table_ref").alias("relevant_tables"))
-    answers = table(spark, d, "normalized_answers").groupBy(F.col("question_id").alias("id")).agg(F.min_by("value", "answer_id").alias("answer"))
-    return evaluation.violations(first.join(answers, "id", "left"), table(spark, d, "questions"))
+    """The rules that the items break, held against the questions that have an answer."""
+    answered = table(spark, d, "normalized_answers").where("converted").select(F.col("question_id").alias("id"))
+    return submission.violations(_items(spark, d), answered)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

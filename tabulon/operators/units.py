@@ -55,21 +55,24 @@ ANNOUNCED = re.compile(
 )
 _DATE = re.compile(r"(?:\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|(?:19|20)\d\d)\s*[-–:(\[,]*\s*$")
 
-_automata: dict[tuple, object] = {}
+#: (aliases, automaton) of the tables of aliases in use, told apart by identity.
+_automata: list[tuple[dict, object]] = []
 
 
 def automaton(aliases: dict[str, list[str]]):
-    key = tuple((u, tuple(a)) for u, a in aliases.items())
-    if key not in _automata:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for unit, names in aliases.items():
-            for name in names:
-                machine.add_word(name, (unit, len(name)))
-        machine.make_automaton()
-        _automata[key] = machine
-    return _automata[key]
+    """The automaton of a table of aliases, built once per Python worker."""
+    for known, machine in _automata:
+        if known is aliases:
+            return machine
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for unit, names in aliases.items():
+        for name in names:
+            machine.add_word(name, (unit, len(name)))
+    machine.make_automaton()
+    _automata.append((aliases, machine))
+    return machine
 
 
 def _letter(c: str) -> bool:

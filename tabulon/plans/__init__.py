@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Plans that put operators together."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,17 +51,26 @@ def partitions(df: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint.
+def _shared(spark: SparkSession) -> str:
+    """The folder that all machines see, as the cluster names it in spark.checkpoint.dir. Only a session of one machine may lack it, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="tabulon-checkpoint-")
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of this machine is used only
-    where that setting is absent, as in tests.
-    """
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{_shared(spark)}/tabulon-{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="tabulon-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint(eager=True)
 
 

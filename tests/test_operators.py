@@ -97,7 +97,12 @@ def test_cascade(spark):
     asked = [(1, ["AAA"], [2020], "separate"), (2, ["AAA"], [2020], "consolidated"), (3, ["aaa"], [2010], None), (4, ["CCC"], [2020], None), (5, [], [], None), (6, None, None, None)]
     questions = spark.createDataFrame(asked, "id int, tickers array<string>, years array<int>, report_type string")
     got = sorted((r["id"], r["level"], r["table_ref"]) for r in retrieval.admitted(questions, catalog).collect())
-    assert got == [(1, 1, "a|1"), (2, 2, "a|2"), (3, 5, "a|1"), (3, 5, "a|2")]
+    assert got == [(1, 1, "a|1"), (2, 2, "a|2"), (3, 5, "a|1"), (3, 5, "a|2"), (4, 6, "a|1"), (4, 6, "b|1")]
+    classes = sorted((r["id"], r["level"], r["n"]) for r in retrieval.admitted_classes(questions, catalog).collect())
+    assert classes == [(1, 1, 1), (2, 2, 1), (3, 5, 1), (3, 5, 1), (4, 6, 1), (4, 6, 1), (5, 7, 3), (6, 7, 3)]
+    listed = catalog.withColumn("section", F.when(F.col("table_ref") == "a|1", "notes").otherwise("cash_flow"))
+    named = spark.createDataFrame([(3, "notes"), (4, "income_statement")], "id int, section string")
+    assert sorted((r["id"], r["table_ref"]) for r in retrieval.admitted(questions, listed, sections=named).collect()) == [(1, "a|1"), (2, "a|2"), (3, "a|1")]
     assert sorted(r["id"] for r in retrieval.unfiltered(questions, catalog).collect()) == [4, 5, 6]
 
 
