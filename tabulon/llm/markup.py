@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.llm.repeats import without_boilerplate
+
 #: Names of HTML elements and of wiki extensions written like them.
 TAGS = (
     "a abbr acronym address article aside b base big blockquote body br button caption center cite code col colgroup "
@@ -361,11 +363,11 @@ def found_cells(tables: DataFrame) -> DataFrame:
 
 
 def cleaned(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text) with the clean text of each document."""
+    """(id_col, text) with the clean text of each document, without the lines that only repeat an earlier page of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(t) for t in batch.column(1).to_pylist()], pa.string())], [id_col, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([without_boilerplate(clean(t)) for t in batch.column(1).to_pylist()], pa.string())], [id_col, "text"])
 
     return documents.select(id_col, text_col).mapInArrow(run, T.StructType([documents.schema[id_col], T.StructField("text", T.StringType())]))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import lookalikes
-from tabulon.llm import boosting, canonical, markup, matching, noise, packing, quality, queries, ranking, tokens
+from tabulon.llm import boosting, canonical, markup, matching, noise, packing, quality, queries, ranking, repeats, tokens
 
 LONG = "dài " * 50_000
 
@@ -209,6 +209,44 @@ def test_found_markup(spark):
     assert {r["doc_id"]: r["text"] for r in markup.cleaned(docs).collect()}["e"] is None
 
 
+# --- text that pages repeat
+
+
+def test_suffix_array_against_sorting():
+    rng = random.Random(8)
+    for _ in range(60):
+        t = np.array([rng.randrange(4) for _ in range(rng.randrange(1, 60))])
+        assert list(repeats.suffix_array(t)) == sorted(range(len(t)), key=lambda i: list(t[i:]))
+    assert not len(repeats.suffix_array(np.zeros(0, int)))
+
+
+def test_repeats_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        tokens, page = [], []
+        for p in range(rng.randrange(1, 5)):
+            own = [rng.randrange(3) for _ in range(rng.randrange(25))]
+            tokens += [*own, -len(tokens) - len(own) - 1]
+            page += [p] * (len(own) + 1)
+        t, w, n = np.array(tokens), np.array(page), len(tokens)
+        want = np.zeros(n, bool)
+        for i in range(n - 3):
+            if any(page[j] < page[i] and tokens[j : j + 4] == tokens[i : i + 4] and len(tokens[i : i + 4]) == 4 for j in range(i)):
+                want[i : i + 4] = True
+        assert (repeats.repeats(t, w, repeats.suffix_array(t), 4) == want).all()
+
+
+def test_boilerplate(spark):
+    head, legal = "Công ty Gạch Ngói - Báo cáo năm {}", "Số liệu này chỉ để tham khảo và không thay cho báo cáo đã được kiểm toán của công ty."
+    pages = [f"===== PAGE {p} =====\n{head.format(2020)}\n\nĐoạn riêng của trang với số {p} và vài chữ khác {'nữa ' * p}.\n\n{legal}\n\n- Tiền gửi ngân hàng trong kỳ này\n| a | b | c | d | e |\n\nCuối trang, xem phần {p}\n{p} của báo cáo thường niên này" for p in (1, 2, 3)]
+    kept = repeats.without_boilerplate("\n".join(pages))
+    assert kept.count(head.format(2020)) == 1 and kept.count(legal) == 1 and kept.count("- Tiền gửi") == 3 and kept.count("| a | b |") == 3 and kept.count("Đoạn riêng") == 3 and kept.count("===== PAGE") == 3
+    assert kept.count("báo cáo thường niên") == 1
+    assert repeats.without_boilerplate(None) is None and repeats.without_boilerplate("") == "" and repeats.without_boilerplate(legal + "\n" + legal) == legal + "\n" + legal
+    docs = spark.createDataFrame([("a", "\n".join(pages)), ("b", None)], "doc_id string, text string")
+    assert {r["doc_id"]: r["text"] for r in markup.cleaned(docs).collect()}["a"].count(legal) == 1
+
+
 # --- ranking
 
 
