@@ -1,15 +1,20 @@
 """Repair of text from scanned pages (problem 6).
 
-1. Words, word pairs and masked lines are counted over all documents and tables, pre-aggregated per partition. What has
-   a relative frequency of at least SHARE forms the lexicon; that share bounds its size (1 / SHARE entries), whatever
-   the length of the corpus, so it can be broadcast.
+1. Words, word pairs, forms with capitals inside and masked lines are counted over all documents and tables,
+   pre-aggregated per partition. What has a relative frequency of at least SHARE forms the lexicon; that share bounds
+   its size (1 / SHARE entries), whatever the length of the corpus, so it can be broadcast. Below 1.5 million words
+   LEAST, not SHARE, decides.
 2. For a word the candidates for its correction come from inverted lists of the lexicon: of visual shapes (letters
-   that are misread for each other share a shape) and of character q-grams. Gradient-boosted trees rank them by counts
-   of the word, the candidate and their neighbours; a candidate above even odds replaces the word. They are trained
-   on TRAINING contexts of the lexicon, distorted here.
-3. Boosted classifiers of lines and of pairs of lines: one tells running headers and footers by how often their masked
-   form opens or closes a page against how often it stands between other lines, and by its form; one tells for a line
-   that ends in a break sign and the line after it whether they share a word. Page numbers and specks are patterns.
+   that are misread for each other share a shape) and of character q-grams. Beside other words there are the word
+   without stray signs or odd capitals, two words it may have been run together from, and the word it may be half of.
+   One ranking of gradient-boosted trees chooses among all of them by counts of the word, the candidate and their
+   neighbours; what it puts above even odds replaces the word, and nothing else calls a word noise, but for accents
+   that no letter takes. It is trained on TRAINING contexts of the lexicon, distorted here, and on the corpus's own misreadings.
+3. Cells that may hold numbers go through boosted trees of their own, trained on numbers and codes in both styles.
+4. Boosted classifiers of lines and of pairs of lines. One tells a running header by the words and form of its line; it
+   learns from where all lines stand, and what it says is weighed against where the line itself was met. In a table a
+   shorter form of a header is one too. One tells for a line that ends in a break sign and the line after it whether
+   they share a word. Page numbers and specks are patterns.
 
 Defined cases: null and empty texts give nothing; tables, page markers, code and formulas are no prose and stay; a
 line without words may only be specks or a page number; repeated documents are read once; an empty corpus has an
@@ -40,10 +45,14 @@ from tabulon.llm.markup import Lexer
 SHARE = 2e-6
 #: Nor are those met less often than this.
 LEAST = 3
-#: The most characters of a running header.
+#: Longer lines are counted where they open or close a page only: the inside of a page holds few of them twice.
 HEADER = 100
+#: Kinds of what the ranking chooses from: another word, the word without signs or odd capitals, two words run together, one word taken apart.
+LETTERS, SIGNS, JOINED, SPLIT = range(4)
 #: Contexts of the lexicon on which the ranking is trained.
 TRAINING = 2500
+#: Labelled rows, drawn from those of these contexts, that its trees are fitted to.
+TRAINED_ROWS = 30_000
 
 _MARKER = re.compile(r"^=+\s*PAGE\s+(\S+)\s*=+\s*$")
 _TABULAR = re.compile(r"^\s*\|.*\|\s*$|\t.*\t|\S {3,}\S.* {3,}\S|<table\b")
@@ -81,6 +90,11 @@ def shape(word: str, pairs: tuple[tuple[str, str], ...] = _SHAPES) -> str:
 _OTHERWISE = tuple(sorted(_SHAPES, key=lambda p: (len(p[0]) < 2, p[0] == "cl")))
 
 
+def odd_case(chunk: str) -> bool:
+    """Whether a chunk has capitals in places where a word has none."""
+    return not (chunk.islower() or chunk.isupper() or chunk[1:].islower()) and bool(_ODD_CASE.search(chunk)) and not any(c.isdigit() for c in chunk)
+
+
 def core(chunk: str) -> str:
     """The word of a run of signs between spaces: lower case, no punctuation around it, numbers as #."""
     word = chunk.strip(_PUNCTUATION).lower()
@@ -200,7 +214,7 @@ def _cores(raw: Counter, raw_pairs: Counter) -> tuple[Counter, Counter]:
 
 
 def statistics(documents: DataFrame, tables: DataFrame) -> DataFrame:
-    """(kind, key, n, first, last): counts of words, pairs and masked lines over all documents(text) and tables(rows).
+    """(kind, key, n, first, last): counts of words, of forms with capitals inside, of pairs and of masked lines over all documents(text) and tables(rows).
 
     first and last count the lines that open or close a page (the last two lines count as closing it).
     """
@@ -209,6 +223,11 @@ def statistics(documents: DataFrame, tables: DataFrame) -> DataFrame:
     def batch_of(raw, raw_pairs, lines, first, last):
         words, pairs = _cores(raw, raw_pairs)
         rows = [("w", w, n, 0, 0) for w, n in words.items()] + [("p", f"{a} {b}", n, 0, 0) for (a, b), n in pairs.items()]
+        forms: Counter = Counter()
+        for c, n in raw.items():
+            if odd_case(c):
+                forms[c.strip(_PUNCTUATION)] += n
+        rows += [("c", c, n, 0, 0) for c, n in forms.items() if c]
         rows += [("l", k, n, first[k], last[k]) for k, n in lines.items() if k]
         columns = list(zip(*rows, strict=True)) or [()] * 5
         for c in (raw, raw_pairs, lines, first, last):
@@ -248,20 +267,34 @@ def statistics(documents: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 _DIGITS = re.compile(r"\d+")
-_COMPANY = re.compile(r"^(Công ty (?:Cổ phần|TNHH(?: MTV)?)) .*?(?= - | {3,}|$)")
-_CODE = re.compile(r"\b[A-Z]{3,5}\b(?=\s*$|\s*\|)")
+#: A part of a line between signs that stand alone or wide gaps.
+_PART = re.compile(r"\s+[-–—|/]\s+|\s{3,}")
+_CODE = re.compile(r"^[A-Za-z#~^|¦]{3,7}$")
 
 
 def masked(line: str) -> str:
-    """The form of a line in which running headers agree: numbers and codes masked."""
+    """The form of a line in which running headers agree: numbers, codes and names masked."""
     return _mask(_DIGITS.sub("#", line))
 
 
 def _mask(line: str) -> str:
+    """Of each part of a line what stands from its second capital word to its last becomes one sign, a code another: names differ from report to report."""
     line = line.strip()
-    if "|" in line or line[-1:].isupper():
-        line = _CODE.sub("@", line)
-    return _COMPANY.sub(r"\1 @", line) if line.startswith("Công ty") else line
+    if not line or line.isupper() or line.islower():
+        return line
+    out, at = [], 0
+    for m in [*_PART.finditer(line), None]:
+        part = line[at : m.start() if m else len(line)]
+        words = part.split(" ")
+        if len(words) == 1 and sum(map(str.isupper, part)) >= 2 and _CODE.match(part):
+            out.append("@")
+        else:
+            capital = [i for i, w in enumerate(words) if i and w[:1].isupper()]
+            out.append(" ".join([*words[: capital[0]], "@", *words[capital[-1] + 1 :]]) if capital else part)
+        if m:
+            out.append(m.group())
+            at = m.end()
+    return "".join(out)
 
 
 def _count_lines(text: str, lines: Counter, first: Counter, last: Counter) -> None:
@@ -273,18 +306,20 @@ def _count_lines(text: str, lines: Counter, first: Counter, last: Counter) -> No
     pages[1:] = ["\n" + p.partition("\n")[2] for p in pages[1:]]
     pages[0] = "\n" + pages[0].partition("\n")[2] if text.startswith("===== PAGE ") else ""
     for page in pages:
-        keys = [_mask(s) if len(s) <= HEADER else "" for s in page.split("\n") if s and not s.isspace()]
+        filled = [s for s in page.split("\n") if s and not s.isspace()]
+        n = len(filled)
+        keys = [_mask(s) if len(s) <= HEADER or i == 0 or i >= n - 2 else "" for i, s in enumerate(filled)]
         lines.update(keys)
         if keys:
             first[keys[0]] += 1
-            last.update(keys[-2:] if len(keys) > 2 else keys[1:])
+            last.update(keys[-2:] if n > 2 else keys[1:])
 
 
 class Lexicon:
     """What the corpus says about words, pairs of words and lines; the ranking of corrections."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int], lines: dict[str, tuple[int, int, int]]):
-        self.words, self.pairs, self.lines = words, pairs, lines
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], lines: dict[str, tuple[int, int, int]], forms: dict[str, int] | None = None):
+        self.words, self.pairs, self.lines, self.forms = words, pairs, lines, forms or {}
         self.shape_of: dict[str, str] = {}
         self.shapes: dict[str, list[str]] = defaultdict(list)
         self.grams: dict[str, list[str]] = defaultdict(list)
@@ -295,9 +330,10 @@ class Lexicon:
                 for g in _grams(s):
                     self.grams[g].append(w)
         self.found: dict[str, list[tuple[str, tuple]]] = {}
-        self.judged: dict[tuple, bool] = {}
+        self.judged: dict[tuple, tuple[str, int] | None] = {}
         self.doubtful: dict[str, bool] = {}
-        self.apart: dict[tuple, bool] = {}
+        self.apart: dict[tuple, str | None] = {}
+        self.halved: dict[str, list[tuple[str, str, int]]] = {}
         self.headers: set[str] = set()
         #: What a word that was taken apart may leave: beginnings and ends of words far more frequent than they are.
         halves: dict[str, int] = defaultdict(int)
@@ -309,6 +345,10 @@ class Lexicon:
         self.halves = {h for h, n in halves.items() if words.get(h, 0) * 20 <= n}
         self.model: Boosted | None = None
         self.joins: Boosted | None = None
+        self.numbers: Boosted | None = None
+        self.furniture_model: Boosted | None = None
+        #: In how many masked lines each word is met.
+        self.common: Counter = Counter()
 
     def candidates(self, word: str) -> list[tuple[str, tuple]]:
         """(candidate, features of the two words alone) from the inverted lists; the word itself is none."""
@@ -350,36 +390,81 @@ class Lexicon:
         return self.pairs.get(f"{a} {b}", 0)
 
     def features(self, left: str, word: str, right: str, candidate: str, alone: tuple) -> tuple:
-        lw, wr = self.pair(left, word), self.pair(word, right)
-        lc, cr = self.pair(left, candidate), self.pair(candidate, right)
+        """Of a word for a word: counts of both with their neighbours, and how far their letters are apart."""
+        return self._row(alone, (self.pair(left, word), self.pair(word, right), self.pair(left, candidate), self.pair(candidate, right)), LETTERS, bool(_STRAY.search(word)))
+
+    @staticmethod
+    def _row(alone: tuple, near: tuple[int, int, int, int], kind: int, stray: bool, odd: bool = False) -> tuple:
+        lw, wr, lc, cr = near
         low = min(lc, cr)
-        return (*alone, math.log1p(lw), math.log1p(wr), math.log1p(lc), math.log1p(cr), math.log1p(low) - math.log1p(min(lw, wr)), math.log1p(lc + cr) - math.log1p(lw + wr))
-
-    def replacement(self, left: str, word: str, right: str) -> str | None:
-        """The word meant by a misread one between its neighbours; None where it stands as it is."""
-        best, top = None, 0.0
-        for candidate, alone in self.candidates(word):
-            row = self.features(left, word, right, candidate, alone)
-            if row[-1] <= 0 and row[-2] <= 0 and row[0] > 0:
-                continue
-            odds = self.model.score(row) if self.model else row[-1]
+        log = math.log1p
+        return (*alone, log(lw), log(wr), log(lc), log(cr), log(low) - log(min(lw, wr)), log(lc + cr) - log(lw + wr), float(kind), float(stray), float(odd))
+
+    def proposals(self, left: str, chunk: str, word: str, right: str, beyond: str) -> list[tuple[str, int, tuple]]:
+        """(text, kind, features) of all that could be meant: other words, the word without signs or with plain case, two words, or one word with the next."""
+        out = []
+        stray = bool(_STRAY.search(chunk)) and any(c.isalnum() for c in chunk) and not chunk.startswith("~/")
+        odd = odd_case(chunk)
+        if len(word) >= 2 and _plain(word):
+            for candidate, alone in self.candidates(word):
+                out.append((candidate, LETTERS, self._row(alone, (self.pair(left, word), self.pair(word, right), self.pair(left, candidate), self.pair(candidate, right)), LETTERS, stray, odd)))
+        if stray or odd:
+            bare = _STRAY.sub("", word)
+            own = self.forms.get(chunk.strip(_PUNCTUATION), 0) if odd else self.words.get(word, 0)
+            n = self.words.get(bare, 0)
+            alone = (math.log1p(own), math.log1p(n), 0, len(word) - len(bare), 1.0, 1.0, float(any(c.isdigit() for c in word)), len(bare))
+            out.append((bare, SIGNS, self._row(alone, (0, 0, self.pair(left, bare), self.pair(bare, right)), SIGNS, stray, odd)))
+        if len(word) >= 3 and _plain(word):
+            n = self.words.get(word, 0)
+            for a, b, c in self.parted(word):
+                alone = (math.log1p(n), math.log1p(c), 0, 1, 1.0, 0.0, 0.0, len(word))
+                out.append((f"{a} {b}", JOINED, self._row(alone, (self.pair(left, word), self.pair(word, right), self.pair(left, a), self.pair(b, right)), JOINED, stray, odd)))
+        whole = self.whole(word, right)
+        if whole:
+            alone = (math.log1p(self.pair(word, right)), math.log1p(self.words[whole]), 0, 1, 1.0, 0.0, 0.0, len(whole))
+            out.append((whole, SPLIT, self._row(alone, (self.pair(left, word), self.pair(right, beyond), self.pair(left, whole), self.pair(whole, beyond)), SPLIT, stray, odd)))
+        return out
+
+    def best(self, left: str, chunk: str, word: str, right: str, beyond: str) -> tuple[str, int] | None:
+        """(text, kind) of the proposal that the ranking puts first, if it is above even odds."""
+        top, found = 0.0, None
+        for text, kind, row in self.proposals(left, chunk, word, right, beyond):
+            odds = self.model.score(row) if self.model else 1.0 if kind == SIGNS and row[-2] else row[-4] - 1
             if odds > top:
-                best, top = candidate, odds
-        return best
-
-    def joined(self, left: str, word: str, right: str) -> str | None:
-        """Two words that were run together."""
-        n = self.words.get(word, 0)
-        best, top = None, 0
-        for i in range(1, len(word)):
-            a, b = word[:i], word[i:]
-            if not n:  # either half may be misread besides
-                a, b = self._alike(a), self._alike(b)
-            if a in self.words and b in self.words:
-                c = self.pair(a, b)
-                if c >= max(LEAST, 20 * n) and c > top and (self.pair(left, a) or self.pair(b, right)):
-                    best, top = f"{a} {b}", c
-        return best
+                top, found = odds, (text, kind)
+        return found
+
+    def parted(self, word: str) -> list[tuple[str, str, int]]:
+        """(a, b, count) of the pairs of words that a word may have been run together from; where it is unknown, either half may be misread besides."""
+        known = self.halved.get(word)
+        if known is None:
+            known = []
+            unknown = not self.words.get(word, 0)
+            for i in range(1, len(word)):
+                a, b = word[:i], word[i:]
+                if unknown:
+                    a, b = self._alike(a), self._alike(b)
+                if a in self.words and b in self.words and (c := self.pair(a, b)) >= LEAST:
+                    known.append((a, b, c))
+            if len(self.halved) < 300_000:
+                self.halved[word] = known
+        return known
+
+    def whole(self, word: str, right: str) -> str | None:
+        """The word that word and right may be halves of, or a word that looks like theirs where one of them is unknown."""
+        key = (word, right)
+        if key in self.apart:
+            return self.apart[key]
+        out = None
+        if right not in ("#", "</s>") and _plain(word) and _plain(right):
+            out = word + right
+            if self.words.get(out, 0) < LEAST:
+                out = self._alike(out) if word not in self.words or right not in self.words else None
+            if out is not None and self.words.get(out, 0) < LEAST:
+                out = None
+        if len(self.apart) < 500_000:
+            self.apart[key] = out
+        return out
 
     def _alike(self, word: str) -> str:
         """word if it is in the lexicon, else the most frequent word of its shape, else itself."""
@@ -387,56 +472,27 @@ class Lexicon:
             return word
         return max(self.shapes.get(shape(word), ()), key=self.words.get, default=word)
 
-    def split(self, left: str, word: str, after: str, right: str) -> str | None:
-        """A word that was taken apart: word and after are its halves."""
-        whole = word + after
-        n = self.words.get(whole, 0)
-        if not n and (word not in self.words or after not in self.words):
-            whole = self._alike(whole)
-            n = self.words.get(whole, 0)
-        if n < LEAST or self.pair(word, after) * 20 > n:
-            return None
-        if self.pair(left, whole) + self.pair(whole, right) < LEAST:
-            return None
-        if (self.pair(left, word) or self.pair(after, right)) and min(self.words.get(word, 0), self.words.get(after, 0)) * 20 > n:
-            return None
-        return whole
-
-    def wrong(self, left: str, word: str, right: str, beyond: str) -> bool:
-        """Whether word is misread, run together with its neighbour or taken apart."""
-        apart = self.apart.get((word, right))
-        if apart is None:
-            apart = len(word) + len(right) >= 2 and right not in ("#", "</s>") and _plain(word) and _plain(right)
-            if apart and self.words.get(word + right, 0) < LEAST:
-                apart = (word not in self.words or right not in self.words) and self.words.get(self._alike(word + right), 0) >= LEAST
-            if len(self.apart) < 500_000:
-                self.apart[word, right] = apart
-        if apart and self.split(left, word, right, beyond):
-            return True
-        doubtful = self.doubtful.get(word)
-        if doubtful is None:
-            doubtful = len(word) >= 2 and _plain(word) and (bool(self.candidates(word)) or len(word) >= 3 and self._halves(word))
-            if len(self.doubtful) < 500_000:
-                self.doubtful[word] = doubtful
-        if not doubtful:
-            return False
-        key = (left, word, right)
-        known = self.judged.get(key)
+    def settled(self, word: str, right: str) -> bool:
+        """Whether nothing at all is proposed for a word in lower case before right, whatever else stands around it."""
+        known = self.doubtful.get(word)
         if known is None:
-            known = self.replacement(*key) is not None or self.joined(*key) is not None
-            if len(self.judged) < 500_000:
-                self.judged[key] = known
-        return known
-
-    def calm(self, word: str, right: str) -> bool:
-        """Whether word, judged before, is wrong in no context in which right stands behind it."""
-        return self.apart.get((word, right)) is False and self.doubtful.get(word) is False
+            known = len(word) >= 2 and _plain(word) and bool(self.candidates(word) or len(word) >= 3 and self.parted(word))
+            if len(self.doubtful) < 500_000:
+                self.doubtful[word] = known
+        return not known and not self.whole(word, right)
 
-    def _halves(self, word: str) -> bool:
-        n = self.words.get(word, 0)
-        if not n:
-            return any(self.pair(self._alike(word[:i]), self._alike(word[i:])) >= LEAST for i in range(1, len(word)))
-        return any(word[:i] in self.words and word[i:] in self.words and self.pair(word[:i], word[i:]) >= max(LEAST, 20 * n) for i in range(1, len(word)))
+    def verdict(self, left: str, chunk: str, word: str, right: str, beyond: str) -> tuple[str, int] | None:
+        """best(), kept for contexts that recur."""
+        plain = chunk.islower() or chunk[1:].islower()
+        if plain and not _STRAY.search(chunk) and self.settled(word, right):
+            return None
+        key = (left, word if plain else chunk, right, beyond)
+        if key in self.judged:
+            return self.judged[key]
+        found = self.best(left, chunk, word, right, beyond)
+        if len(self.judged) < 500_000:
+            self.judged[key] = found
+        return found
 
     def train(self, seed: int = 7) -> None:
         """Fit the ranking on distorted and on clean contexts of the lexicon."""
@@ -486,8 +542,53 @@ class Lexicon:
                     elif lc < lw or cr < wr:
                         rows.append(self.features(left, w, right, candidate, alone))
                         labels.append(0)
+        for texts, meant, kinds in self._other_lessons(rng, words, before, after):
+            for text, kind, row in self.proposals(*texts):
+                rows.append(row)
+                labels.append(int(kind in kinds and (text == meant or meant is None)))
         if rows:
-            self.model = Boosted().fit(np.array(rows, float), np.array(labels, float))
+            kept = rng.sample(range(len(rows)), min(TRAINED_ROWS, len(rows)))
+            self.model = Boosted(trees=50).fit(np.array([rows[k] for k in kept], float), np.array([labels[k] for k in kept], float))
+
+    def _other_lessons(self, rng: random.Random, words: list[str], before: dict, after: dict) -> Iterator[tuple[tuple[str, str, str, str, str], str | None, tuple[int, ...]]]:
+        """(left, chunk, word, right, beyond), the text that is meant (null: any), and the kinds of proposals that are right: words run together and taken apart here, with signs and capitals, and those that stand so in the corpus."""
+        pick = lambda of: rng.choices(*zip(*of, strict=True))[0] if of else "</s>"
+
+        def struck(w: str) -> str:
+            k = rng.randrange(len(w) + 1)
+            return w[:k] + rng.choice("~^|¦") + w[k:]
+
+        def capital(w: str) -> str:
+            k = rng.randrange(1, len(w))
+            return w[:k] + w[k].upper() + w[k + 1 :]
+
+        pairs = [k.split(" ", 1) for k, n in sorted(self.pairs.items()) if n >= 3 * LEAST and "<" not in k and "#" not in k]
+        pairs = [(a, b) for a, b in pairs if a.isalpha() and b.isalpha()]
+        weights = [self.words[w] ** 0.5 for w in words]
+        for a, b in rng.choices(pairs, [self.pair(a, b) ** 0.5 for a, b in pairs], k=TRAINING // 2) if pairs else ():
+            left, right, joined = pick(before.get(a)) if before.get(a) else "<s>", pick(after.get(b)), a + b
+            if not self.words.get(joined):
+                chunk = rng.choice((joined, joined, struck(joined), capital(joined), a + b.capitalize()))
+                if odd_case(chunk) or not chunk[1:].isupper():
+                    yield (left, chunk, core(chunk), right, pick(after.get(right))), (f"{a} {b}" if chunk.lower() == joined else None), (JOINED, SIGNS) if chunk != joined else (JOINED,)
+            yield (left, a, a, b, right), "", ()  # two words that are two
+        for w in rng.choices(words, weights, k=TRAINING):
+            left, right = pick(before[w]), pick(after[w])
+            beyond = pick(after.get(right))
+            if len(w) >= 3:
+                k = rng.randrange(1, len(w))
+                a, b = w[:k], w[k:]
+                if self.pair(a, b) * 20 <= self.words[w]:
+                    yield (left, a, a, b, right), w, (SPLIT,)
+                shown = capital(w)
+                if odd_case(shown):
+                    yield (left, shown, w, right, beyond), w, (SIGNS,)
+            sign = struck(rng.choice((w, w, w.upper(), "".join(rng.choices("ABCDEGHIKLMNOPQRSTUVXY", k=4)))))
+            yield (left, sign, core(sign), right, beyond), None, (SIGNS, LETTERS)
+            yield (left, w, w, right, beyond), "", ()
+        named = [(c, n) for c, n in sorted(self.forms.items()) if n >= 0.2 * self.words.get(core(c), 0)]
+        for c, _ in rng.choices(named, [n for _, n in named], k=TRAINING // 4) if named else ():
+            yield ("", c, core(c), "", ""), "", ()
 
     def pair_features(self, line: str, following: str) -> tuple:
         """What tells whether a line that ends in a break sign is joined to the next: the sign, and counts of the halves, of the whole and of the compound."""
@@ -531,8 +632,6 @@ class Lexicon:
             return False
         if not any(c.isalnum() for c in line):
             return bool(_SPECKS.match(line)) and line not in ("---", "***", "-", "*", "+")
-        if len(line) > HEADER:
-            return False
         edge = page.paged and (page.before[i] == 0 or page.behind[i] <= 1)
         if _NUMBERED.match(line):
             digits = re.findall(r"\d+|[ivxlc]+$", line.lower())
@@ -543,29 +642,56 @@ class Lexicon:
             return False
         return masked(line) in self.headers
 
+    def shortened(self, key: str) -> bool:
+        """Whether a masked line has most words of a running header, in their order, and no others."""
+        words = key.split()
+        for header in self.headers:
+            of = header.split()
+            if len(words) >= 3 and SHORTER * len(of) <= len(words) < len(of):
+                rest = iter(of)
+                if all(w in rest for w in words):
+                    return True
+        return False
+
     def settle(self) -> None:
-        """Which masked lines are running headers or footers, by a classifier of how they stand to the lines around them.
+        """Which masked lines are running headers or footers.
 
-        It is fitted on the lines that are met often, of which nearly all or hardly any stand at the edge of a page,
-        and then asked about every line of the lexicon.
+        A classifier tells from the words and the form of a line alone how likely it stands at the edge of a page; it
+        learns that from the places of all lines, which are no features of it. What it says of a line is then weighed
+        against where that line was met: each place at an edge speaks for a header, each other one against.
         """
         keys = [k for k, (n, _, _) in sorted(self.lines.items()) if n >= LEAST and any(c.isalpha() for c in k)]
-        rows, labels = [], []
-        for k in keys:
-            n, first, last = self.lines[k]
-            share = (first + last) / n
-            if n >= 3 * LEAST and (share >= 0.9 or share <= 0.6):
-                rows.append(_line_features(k, n, first, last))
-                labels.append(int(share >= 0.9))
-        if len(set(labels)) == 2:
-            model = Boosted(trees=20, depth=3, least=1).fit(np.array(rows, float), np.array(labels, float))
-            self.headers = {k for k in keys if k[-1] not in ".,;:" and model.score(_line_features(k, *self.lines[k])) > 0}
-        else:
-            self.headers = {k for k in keys if sum(self.lines[k][1:]) >= 0.75 * self.lines[k][0]}
-
-
-def _line_features(key: str, n: int, first: int, last: int) -> tuple:
-    return ((first + last) / n, first / n, last / n, math.log1p(n), float(len(key)), float(key[-1:] in ".,;:"), float(key.isupper()), float("#" in key), float("@" in key))
+        if not keys:
+            return
+        counts = np.array([self.lines[k] for k in keys], float)
+        share = np.minimum(1.0, counts[:, 1:].sum(1) / counts[:, 0])
+        self.common = common = Counter(w for k in keys for w in set(k.lower().split()))
+        rows = np.array([_line_features(k, common) for k in keys], float)
+        self.furniture_model = model = Boosted(trees=30, depth=4, least=3).fit(rows, share)
+        body = counts[share < 0.5]
+        usual = min(max(body[:, 1:].sum() / max(body[:, 0].sum(), 1.0), 0.01), 0.5)  # how often other lines stand at an edge
+        edge, inside = math.log(AT_EDGE / usual), math.log((1 - AT_EDGE) / (1 - usual))
+        for k, row, (n, first, last) in zip(keys, rows, counts, strict=True):
+            met = min(n, first + last)
+            if k[-1] not in ".,;:" and model.score(row) + met * edge + (n - met) * inside > 0:
+                self.headers.add(k)
+
+
+#: How often a running header stands at the edge of its page; the rest is headers behind specks and other furniture.
+AT_EDGE = 0.95
+#: The share of the words of a header that a shorter form of it has.
+SHORTER = 0.7
+
+
+def _line_features(key: str, common: Counter) -> tuple:
+    """The form of a masked line and how common its words are among lines; nothing of where it was met."""
+    words = key.split()
+    of = [common[w.lower()] for w in words]
+    letters = sum(c.isalpha() for c in key)
+    return (
+        float(len(key)), float(len(words)), float(key[-1:] in ".,;:"), float(key.isupper()), float(key[:1].islower()), float("#" in key), float("@" in key), float(" - " in key or "|" in key),
+        sum(w[:1].isupper() for w in words) / len(words), letters / len(key), math.log1p(min(of)), math.log1p(max(of)), sum(map(math.log1p, of)) / len(of),
+    )
 
 
 _FOOT = re.compile(r"^\S.*\S {3,}\d{1,4}$")
@@ -622,22 +748,14 @@ def distort(word: str, rng: random.Random) -> str:
     return word[:i] + word[i + 1 :] if len(word) > 3 else word
 
 
-#: A number as it is printed, or a code; anything like one but with a letter or a speck in it is misread.
-_CLEAN = re.compile(r"^(?:[-+]?\(?[-+]?\d{1,3}(?:[.,]\d{3})*(?:[.,]\d+)?\)?%?|[-+]?\(?\d+(?:[.,]\d+)?\)?%?|\d{1,2}/\d{1,2}/\d{4}|\d{1,3}[a-z]|[IVX]+\.\d{1,3}|B\d{2}|[-–—]|n/a|)$")
+#: A number as it is printed, or a code.
+_CLEAN = re.compile(r"^(?:[-+]?\(?[-+]?\d{1,3}(?:[.,]\d{3})*(?:[.,]\d+)?\)?%?|[-+]?\(?\d+(?:[.,]\d+)?\)?%?|\d{1,2}/\d{1,2}/\d{4}|[-–—]|n/a|)$")
+_CODES = re.compile(r"^(?:\d{1,3}[a-z]|[A-Z]{1,4}\.?\d{1,3})$")
 #: The plainest printed numbers, of which most cells consist.
 _PRINTED = re.compile(r"^\(?\d{1,3}(?:[.,]\d{3})*\)?$|^[-–]$")
 _NUMERIC = re.compile(r"^[(\[|'*~^¦-]*[\dOoQDlIiSsBZzg|.,~*^'¦%-]*[\d.,][\dOoQDlIiSsBZzg|.,~*^'¦%-]*[)\]|'*~^¦]*$")
 
 
-def wrong_number(cell: str, code_column: bool) -> bool:
-    cell = cell.strip()
-    if _CLEAN.match(cell):
-        return not code_column and bool(re.match(r"^[B]\d+$|^\d+[gl]$|^[IVX]+\.\d", cell))
-    if not _NUMERIC.match(cell):
-        return code_column and bool(_STRAY.search(cell))
-    return sum(c.isdigit() or c in "OoQDlIiSsBZzg|" for c in cell) > 0
-
-
 #: The digits for which scanners read letters. An upright stroke is a 1 or a speck.
 _DIGIT_OF = str.maketrans("OoQDlIiSsBZzgq", "00001115582299", "~*^'¦")
 #: A number whose digits, if there are separators, stand in threes behind them.
@@ -661,9 +779,52 @@ def printed_number(cell: str) -> str:
     return best
 
 
-def furniture_cell(text: str) -> bool:
-    """Whether the only filled cell of a row, its first, is a page number, a running header or specks."""
-    return bool(_NUMBERED.match(text) and not text.isdigit() or _REPORT_LINE.search(text) or not any(c.isalnum() for c in text) and _SPECKS.match(text) and text != "-")
+def number_features(cell: str, code_column: bool) -> tuple:
+    """Of a cell that may hold a number: how it and its plain form look, and where it stands."""
+    plain = printed_number(cell)
+    letters = sum(c.isalpha() for c in cell)
+    return (
+        float(bool(_CLEAN.match(cell))), float(bool(_CLEAN.match(plain))), float(bool(_CODES.match(cell))), float(bool(_NUMERIC.match(cell))), float(bool(_GROUPED.match(plain))), float(code_column),
+        float(letters), float(sum(c in "~^¦*'" for c in cell)), float(cell.count("|")), float(sum(c.isdigit() for c in cell)), float(len(cell)), float(cell[:1].isalpha()), float(cell[-1:].isalpha()),
+        float(sum(c.isalpha() and c not in "OoQDlIiSsBZzgq" for c in cell)),
+    )
+
+
+def number_model(seed: int = 5) -> Boosted:
+    """Which cells hold a misread number, learned from numbers and codes in both styles, printed and distorted here."""
+    rng = random.Random(seed)
+    swap = {"0": "OoQD", "1": "lIi|", "5": "Ss", "8": "B", "2": "Zz", "9": "g"}
+
+    def number() -> str:
+        n, dot = rng.choice((rng.randrange(10), rng.randrange(1000), rng.randrange(10**6), rng.randrange(10**9), rng.randrange(10**12))), rng.choice(".,")
+        text = f"{n:,}".replace(",", dot)
+        if rng.random() < 0.15:
+            text += ("," if dot == "." else ".") + str(rng.randrange(100)).zfill(rng.choice((1, 2)))
+        return rng.choice((text, text, text, f"({text})", f"-{text}", f"{text}%"))
+
+    def code() -> str:
+        return rng.choice((str(rng.randrange(1, 500)), str(rng.randrange(1, 500)), f"{rng.randrange(1, 400)}{rng.choice('abc')}", f"{rng.choice(('I', 'V', 'VI', 'X', 'III'))}.{rng.randrange(1, 40)}", f"{rng.choice('ABCDEV')}{rng.randrange(1, 99):02d}"))
+
+    def spoilt(text: str) -> str:
+        places = [k for k, c in enumerate(text) if c in swap]
+        if places and rng.random() < 0.6:
+            for k in rng.sample(places, rng.randrange(1, min(3, len(places)) + 1)):
+                text = text[:k] + rng.choice(swap[text[k]]) + text[k + 1 :]
+            return text
+        k = rng.randrange(len(text) + 1)
+        return text[:k] + rng.choice("~^|¦'*") + text[k:]
+
+    rows, labels = [], []
+    for _ in range(TRAINING):
+        clean, in_codes = number(), code()
+        for text, column, label in ((clean, False, 0), (spoilt(clean), False, 1), (in_codes, True, 0), (rng.choice("-–"), False, 0), (spoilt(str(rng.randrange(1, 500))), True, 1)):
+            bad = label and not (_CLEAN.match(text) or column and _CODES.match(text))
+            rows.append(number_features(text, column))
+            labels.append(int(bad))
+        code_like = rng.choice("BSZ") + str(rng.randrange(1, 99)).zfill(2)  # a digit in a column of amounts, where no code stands
+        rows.append(number_features(code_like, False))
+        labels.append(1)
+    return Boosted(trees=30, depth=4).fit(np.array(rows, float), np.array(labels, float))
 
 
 class Reader:
@@ -674,6 +835,8 @@ class Reader:
         self.sure: set[str] = set()
         self.unsure: set[str] = set()
         self.core_of: dict[str, str] = {}
+        self.misread: dict[tuple[str, bool], bool] = {}
+        self.headed: dict[str, bool] = {}
         #: (chunk, word behind it) that hold no noise whatever stands around them.
         self.calm: set[tuple[str, str]] = set()
 
@@ -692,6 +855,37 @@ class Reader:
                     out.append((i, chunk, word))
         return out
 
+    def wrong_number(self, cell: str, code_column: bool) -> bool:
+        """Whether a cell is a number or code with letters or specks for digits."""
+        key = (cell.strip(), code_column)
+        known = self.misread.get(key)
+        if known is None:
+            known = (bool(_NUMERIC.match(key[0]) or _CODES.match(key[0])) or code_column and len(key[0]) <= 8) and self._numbers().score(number_features(*key)) > 0
+            if len(self.misread) < 300_000:
+                self.misread[key] = known
+        return known
+
+    def _numbers(self) -> Boosted:
+        if self.lexicon.numbers is None:
+            self.lexicon.numbers = number_model()
+        return self.lexicon.numbers
+
+    def furniture_cell(self, text: str) -> bool:
+        """Whether the only filled cell of a row, its first, is a page number, a running header or specks."""
+        if not any(c.isalnum() for c in text):
+            return bool(_SPECKS.match(text)) and text != "-"
+        if _NUMBERED.match(text):
+            return not text.isdigit()
+        key = masked(text)
+        if key in self.lexicon.headers:
+            return True
+        known = self.headed.get(key)
+        if known is None:  # a table has no edge of a page, but a shorter form of a header is one
+            known = self.lexicon.shortened(key)
+            if len(self.headed) < 300_000:
+                self.headed[key] = known
+        return known
+
     def fine(self, text: str) -> bool:
         """Whether text has only words that stand beyond doubt in any context."""
         chunks = _AMOUNT.sub("#", text).split()
@@ -719,7 +913,7 @@ class Reader:
             return False
         if not (chunk.islower() or chunk.isupper() or chunk[1:].islower()) and _ODD_CASE.search(chunk):
             return False
-        return not _plain(word) or not (lexicon.candidates(word) or lexicon._halves(word))
+        return not _plain(word) or not (lexicon.candidates(word) or len(word) >= 3 and lexicon.parted(word))
 
     def broken(self, line: str, following: str | None) -> bool:
         """Whether line ends in a word that the following line goes on with."""
@@ -728,9 +922,6 @@ class Reader:
             return False
         row = self.lexicon.pair_features(line, following or "")
         model = self.lexicon.joins
-        _, _, compound, a, b, goes_on, near, *_ = row
-        if near and goes_on and not compound and not (a and b):
-            return True  # the whole is a word but for a misread letter
         return model.score(row) > 0 if model else row[0] > 0
 
     def lines(self, text: str) -> set[int]:
@@ -777,26 +968,21 @@ class Reader:
 
     def noisy(self, chunk: str, left: str, word: str, right: str, beyond: str, loud: bool = True) -> bool:
         """Whether a chunk holds noise. loud: it stands in a line of capitals, where its own are no sign of an abbreviation."""
-        if _STRAY.search(chunk) and any(c.isalnum() for c in chunk) and not chunk.startswith("~/"):
-            return True
         if _MARK.search(chunk) and _MARK.search(unicodedata.normalize("NFC", chunk)):
             return True  # accents that no letter takes together
-        if not (chunk.islower() or chunk.isupper() or chunk[1:].islower()) and _ODD_CASE.search(chunk) and not any(c.isdigit() for c in chunk):
-            if word in self.lexicon.words or self.lexicon.candidates(word):
-                return chunk.strip(_PUNCTUATION) not in _NAMES
         if not loud and chunk.isupper() and len(word) <= 5 and word.isalpha():
             return False
-        return self.lexicon.wrong(left, word, right, beyond)
+        return self.lexicon.verdict(left, chunk, word, right, beyond) is not None
 
     def cell(self, cell: str, column: int, filled: int) -> bool:
         """Whether a cell of a table, in a column from 0 and a row with so many filled cells, holds noise."""
         text = cell.strip()
         if not text:
             return False
-        if column == 0 and filled == 1 and furniture_cell(text):
+        if column == 0 and filled == 1 and self.furniture_cell(text):
             return True
         if column or _NUMERIC.match(text) and any(c.isdigit() for c in text):
-            return bool(_BROKEN.search(text)) or wrong_number(text, column == 1) or (any(c.isalpha() for c in text) and len(text) > 4 and self._text(text))
+            return bool(_BROKEN.search(text)) or self.wrong_number(text, column == 1) or (any(c.isalpha() for c in text) and len(text) > 4 and self._text(text))
         return self._text(text)
 
     def _text(self, text: str) -> bool:
@@ -828,7 +1014,7 @@ class Reader:
 
     def _cell(self, text: str, column: int) -> str:
         if column or _NUMERIC.match(text) and any(c.isdigit() for c in text):
-            if wrong_number(text, column == 1):
+            if self.wrong_number(text, column == 1):
                 return printed_number(text) if _NUMERIC.match(text) or _CLEAN.match(text) else _STRAY.sub("", text)
             if not any(c.isalpha() for c in text):
                 return text
@@ -883,7 +1069,7 @@ class Reader:
             if word == "#" or pair in self.calm:
                 continue
             if not self.noisy(chunk, cores[n - 1], word, cores[n + 1], cores[n + 2], loud):
-                if loud and self.lexicon.calm(word, cores[n + 1]) and len(self.calm) < 500_000:
+                if loud and chunk.islower() and not _STRAY.search(chunk) and self.lexicon.settled(word, cores[n + 1]) and len(self.calm) < 500_000:
                     self.calm.add(pair)
                 continue
             beside = n == len(said) or said[n] == k + 1
@@ -907,20 +1093,17 @@ class Reader:
 
     def _word(self, chunk: str, left: str, word: str, right: str, beyond: str, beside: bool) -> tuple[str, bool]:
         """(a noisy chunk repaired, whether it took in the next). beside: nothing stands before the next word."""
-        lexicon = self.lexicon
-        whole = lexicon.split(left, word, right, beyond) if beside and right not in ("#", "</s>") else None
-        new = whole or lexicon.replacement(left, word, right) or lexicon.joined(left, word, right) or (_STRAY.sub("", word) if _STRAY.search(word) else word)
+        found = self.lexicon.verdict(left, chunk, word, right, beyond)
+        if found is not None and found[1] == SPLIT and not beside:
+            found = None
+        whole = found if found is not None and found[1] == SPLIT else None
+        new = found[0] if found is not None else _STRAY.sub("", word)
         bare = chunk.strip(_PUNCTUATION)
         at = chunk.find(bare) if bare else 0
         new = new.upper() if sum(c.isupper() for c in bare) > 0.6 * len(bare) > 1 else new.capitalize() if bare[:1].isupper() else new
         return chunk[:at] + new + chunk[at + len(bare) :], whole is not None
 
 
-#: Names with capitals inside.
-_NAMES = {"VNĐ", "PhD", "TpHCM", "TPHCM"}
-_REPORT_LINE = re.compile(r"^Công ty .{3,80} - .{0,20}báo cáo.{0,30}\d{4}$|^báo cáo thường niên \d{4}$|^annual report \d{4}\b.{0,12}$", re.I)
-
-
 def lexicon(documents: DataFrame, tables: DataFrame) -> Lexicon:
     """The trained lexicon of the corpus, on the driver. Its size is bounded by 1 / SHARE for words, pairs and lines each."""
     counted = statistics(documents, tables).persist()
@@ -928,19 +1111,22 @@ def lexicon(documents: DataFrame, tables: DataFrame) -> Lexicon:
     least = F.lit(None).cast("double")
     for kind, n in totals.items():
         least = F.when(F.col("kind") == kind, F.lit(max(float(LEAST), SHARE * n))).otherwise(least)
-    words, pairs, lines = {}, {}, {}
+    words, pairs, lines, forms = {}, {}, {}, {}
     for r in counted.where(F.col("n") >= least).collect():
         if r["kind"] == "w":
             words[r["key"]] = r["n"]
         elif r["kind"] == "p":
             pairs[r["key"]] = r["n"]
+        elif r["kind"] == "c":
+            forms[r["key"]] = r["n"]
         else:
             lines[r["key"]] = (r["n"], r["first"], r["last"])
     counted.unpersist()
-    out = Lexicon(words, pairs, lines)
+    out = Lexicon(words, pairs, lines, forms)
     out.settle()
     out.train()
     out.train_joins()
+    out.numbers = number_model()
     return out
 
 
@@ -1030,7 +1216,7 @@ def repaired_cells(tables: DataFrame, shared) -> DataFrame:
                 for r, row in enumerate(table or (), 1):
                     if not row:
                         continue
-                    if row[0] and row[0].strip() and not any(c and not c.isspace() for c in row[1:]) and furniture_cell(row[0].strip()):
+                    if row[0] and row[0].strip() and not any(c and not c.isspace() for c in row[1:]) and reader.furniture_cell(row[0].strip()):
                         continue
                     for c, cell in enumerate(row):
                         new = cell
