@@ -5,7 +5,8 @@ from __future__ import annotations
 from tabulon.functions.spellings import ASKED, REMARKS, STATED, WORD_PERIODS
 from tabulon.functions.text import STOPWORDS
 from tabulon.operators.companies import GENERIC, LEGAL_FORMS
-from tabulon.operators.extraction import SECTIONS, TITLE_HINTS
+from tabulon.operators.extraction import PAGE_NOISE, SECTIONS, TITLE_HINTS
+from tabulon.operators.normalization import ITEM_HINTS, SKIP_HINTS
 from tabulon.operators.programs import DERIVED
 
 
@@ -117,6 +118,32 @@ _W = r"([0-9]{1,2}) thang ([0-9]{1,2}) nam ((19|20)[0-9]{2})"
 _RANGE = r"((?:19|20)[0-9]{2})(\s*)(den|-|–|toi)\s*(?:nam)?\s*((?:19|20)[0-9]{2})"
 _UNIT_OF = "replace(" + fold("concat_ws(' ', title, context_before)") + ", 'cong ty', 'cong_ty')"
 
+#: From h(table_ref, y, header, col_idx) to p4(table_ref, col_idx, year, period, source_date).
+PERIOD_STEPS = f"""p1 AS (SELECT *, trim(header) AS t, {fold('header')} AS f, {YEARS.format(x='trim(header)')} AS ys FROM h),
+p2 AS (SELECT *, regexp_matches(t, '{_D}') AS dated, regexp_matches(f, '{_W}') AS worded FROM p1 WHERE t <> '' AND length(t) <= 60 AND NOT regexp_matches(f, '{"|".join(REMARKS)}') AND len(ys) <= 1),
+p3 AS (SELECT *, TRY_CAST(CASE WHEN dated THEN regexp_extract(t, '{_D}', 2) ELSE regexp_extract(f, '{_W}', 1) END AS INTEGER) AS dd, TRY_CAST(CASE WHEN dated THEN regexp_extract(t, '{_D}', 3) ELSE regexp_extract(f, '{_W}', 2) END AS INTEGER) AS mm,
+  TRY_CAST(CASE WHEN dated THEN regexp_extract(t, '{_D}', 4) ELSE regexp_extract(f, '{_W}', 3) END AS INTEGER) AS yy,
+  CASE WHEN dated THEN regexp_replace(regexp_extract(t, '{_D}', 0), '^[^0-9]+|[^0-9]+$', '', 'g') ELSE regexp_extract(f, '{_W}', 0) END AS src FROM p2),
+p4 AS (SELECT table_ref, col_idx, CASE WHEN (dated OR worded) AND dd = 1 AND mm = 1 THEN yy - 1 WHEN dated OR worded THEN yy WHEN len(ys) = 1 THEN ys[1]
+    {" ".join(f"WHEN regexp_matches(f, '{q(p)}') THEN y + {s}" for p, s, _ in WORD_PERIODS)} END AS year,
+  CASE WHEN (dated OR worded) AND NOT (dd BETWEEN 1 AND 31 AND mm BETWEEN 1 AND 12) THEN 'unknown' WHEN (dated OR worded) AND dd = 31 AND mm = 12 THEN 'closing' WHEN (dated OR worded) AND dd = 1 AND mm = 1 THEN 'opening'
+    WHEN dated OR worded THEN 'point_in_time' WHEN len(ys) = 1 THEN 'annual' {" ".join(f"WHEN regexp_matches(f, '{q(p)}') THEN '{x}'" for p, _, x in WORD_PERIODS)} END AS period,
+  CASE WHEN dated OR worded THEN src END AS source_date FROM p3)"""
+ROLES = f"""
+{cells('extracted_tables')}, st0 AS (SELECT table_ref, row_idx, col_idx, trim(coalesce(cell, '')) AS cell FROM cells), {number_steps('st0', 'table_ref, row_idx, col_idx, cell')},
+st AS (SELECT table_ref, col_idx, count(*) FILTER (cell <> '') AS n, count(*) FILTER (cell <> '' AND value IS NOT NULL) AS numeric, count(*) FILTER (regexp_full_match(cell, '[0-9]{{2,3}}[a-z]?')) AS coded,
+  count(*) FILTER (cell <> '' AND value IS NULL) AS texts, round(avg(length(cell)) FILTER (cell <> ''), 4) AS mean_length FROM n4 GROUP BY table_ref, col_idx),
+o1 AS (SELECT DISTINCT ON (table_ref) table_ref, doc_id, header_rows[1] AS heads FROM extracted_tables), ry AS (SELECT DISTINCT ON (doc_id) doc_id, year AS y FROM raw_documents),
+h AS (SELECT table_ref, y, unnest(heads) AS header, CAST(generate_subscripts(heads, 1) - 1 AS INTEGER) AS col_idx FROM o1 LEFT JOIN ry USING (doc_id)),
+{PERIOD_STEPS},
+ro1 AS (SELECT h.table_ref, h.col_idx, h.header, {fold('h.header')} AS flat, p4.year, p4.period, p4.source_date, p4.period IS NOT NULL AS dated, st.* EXCLUDE (table_ref, col_idx) FROM h JOIN st USING (table_ref, col_idx) LEFT JOIN p4 USING (table_ref, col_idx)),
+ro2 AS (SELECT *, texts / greatest(n, 1) * least(coalesce(mean_length, 0) / 10, 1.0) AS texty FROM ro1),
+ro3 AS (SELECT *, CASE WHEN dated THEN -1.0 WHEN regexp_matches(flat, '{"|".join(ITEM_HINTS)}') THEN 10.0 WHEN texty > 0.3 THEN texty ELSE -1.0 END AS score, row_number() OVER (PARTITION BY table_ref, year, period ORDER BY col_idx) AS nth FROM ro2),
+ro4 AS (SELECT *, score > 0 AND row_number() OVER (PARTITION BY table_ref ORDER BY score DESC, col_idx) = 1 AS is_item FROM ro3),
+roles AS (SELECT table_ref, col_idx, header, CASE WHEN is_item THEN 'item' WHEN dated THEN CASE WHEN nth = 1 THEN 'period' ELSE 'skip' END WHEN regexp_matches(flat, '\\b(ma|code)\\b') OR (n >= 3 AND coded / n > 0.7) THEN 'code'
+  WHEN regexp_matches(flat, '{SKIP_HINTS}') THEN 'skip' WHEN n > 0 AND numeric / n >= 0.6 THEN 'category' ELSE 'skip' END AS role, year, period, source_date FROM ro4)"""
+
+
 SQL: dict[str, str] = {
     "fold_text": f"SELECT doc_id, {fold('text')} AS folded FROM documents",
     "token_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS term FROM documents) GROUP BY term",
@@ -130,16 +157,7 @@ b AS (SELECT table_ref, {first_match('f', STATED)} AS unit FROM a)
 SELECT table_ref, unit, CASE unit WHEN 'nghin_dong' THEN 1e3 WHEN 'trieu_dong' THEN 1e6 WHEN 'ty_dong' THEN 1e9 ELSE 1.0 END AS scale FROM b""",
     "column_periods": f"""WITH once AS (SELECT DISTINCT ON (table_ref) table_ref, doc_id, header_rows[1] AS heads FROM extracted_tables),
 h AS (SELECT table_ref, TRY_CAST(list_last(regexp_extract_all(doc_id, '(19|20)[0-9]{{2}}')) AS INTEGER) AS y, unnest(heads) AS header, CAST(generate_subscripts(heads, 1) - 1 AS INTEGER) AS col_idx FROM once),
-p1 AS (SELECT *, trim(header) AS t, {fold('header')} AS f, {YEARS.format(x='trim(header)')} AS ys FROM h),
-p2 AS (SELECT *, regexp_matches(t, '{_D}') AS dated, regexp_matches(f, '{_W}') AS worded FROM p1 WHERE t <> '' AND length(t) <= 60 AND NOT regexp_matches(f, '{"|".join(REMARKS)}') AND len(ys) <= 1),
-p3 AS (SELECT *, TRY_CAST(CASE WHEN dated THEN regexp_extract(t, '{_D}', 2) ELSE regexp_extract(f, '{_W}', 1) END AS INTEGER) AS dd, TRY_CAST(CASE WHEN dated THEN regexp_extract(t, '{_D}', 3) ELSE regexp_extract(f, '{_W}', 2) END AS INTEGER) AS mm,
-  TRY_CAST(CASE WHEN dated THEN regexp_extract(t, '{_D}', 4) ELSE regexp_extract(f, '{_W}', 3) END AS INTEGER) AS yy,
-  CASE WHEN dated THEN regexp_replace(regexp_extract(t, '{_D}', 0), '^[^0-9]+|[^0-9]+$', '', 'g') ELSE regexp_extract(f, '{_W}', 0) END AS src FROM p2),
-p4 AS (SELECT table_ref, col_idx, CASE WHEN (dated OR worded) AND dd = 1 AND mm = 1 THEN yy - 1 WHEN dated OR worded THEN yy WHEN len(ys) = 1 THEN ys[1]
-    {" ".join(f"WHEN regexp_matches(f, '{q(p)}') THEN y + {s}" for p, s, _ in WORD_PERIODS)} END AS year,
-  CASE WHEN (dated OR worded) AND NOT (dd BETWEEN 1 AND 31 AND mm BETWEEN 1 AND 12) THEN 'unknown' WHEN (dated OR worded) AND dd = 31 AND mm = 12 THEN 'closing' WHEN (dated OR worded) AND dd = 1 AND mm = 1 THEN 'opening'
-    WHEN dated OR worded THEN 'point_in_time' WHEN len(ys) = 1 THEN 'annual' {" ".join(f"WHEN regexp_matches(f, '{q(p)}') THEN '{x}'" for p, _, x in WORD_PERIODS)} END AS period,
-  CASE WHEN dated OR worded THEN src END AS source_date FROM p3)
+{PERIOD_STEPS}
 SELECT * FROM p4 WHERE period IS NOT NULL AND year IS NOT NULL QUALIFY row_number() OVER (PARTITION BY table_ref, year, period ORDER BY col_idx) = 1""",
     "question_constraints": f"""WITH a AS (SELECT DISTINCT id, question, {FLAT} AS f FROM questions),
 b AS (SELECT *, TRY_CAST(regexp_extract(f, '{_RANGE}', 1) AS INTEGER) AS lo, TRY_CAST(regexp_extract(f, '{_RANGE}', 4) AS INTEGER) AS hi FROM a)
@@ -191,9 +209,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY table_ref, base ORDER BY col_idx
     "column_statistics": f"""WITH {cells('extracted_tables')}, t AS (SELECT table_ref, row_idx, col_idx, trim(coalesce(cell, '')) AS cell FROM cells), {number_steps('t', 'table_ref, row_idx, col_idx, cell')}
 SELECT table_ref, col_idx, CAST(count(*) FILTER (cell <> '') AS BIGINT) AS n, CAST(count(*) FILTER (cell <> '' AND value IS NOT NULL) AS BIGINT) AS numeric, CAST(count(*) FILTER (regexp_full_match(cell, '[0-9]{{2,3}}[a-z]?')) AS BIGINT) AS coded,
   CAST(count(*) FILTER (cell <> '' AND value IS NULL) AS BIGINT) AS texts, round(avg(length(cell)) FILTER (cell <> ''), 4) AS mean_length FROM n4 GROUP BY table_ref, col_idx""",
-    "ambiguous_facts": f"""WITH {cells('extracted_tables')}, v AS (SELECT * FROM cells WHERE col_idx >= 2), {number_steps('v', 'table_ref, row_idx, col_idx')},
+    "ambiguous_facts": f"""WITH {cells('extracted_tables')}, v AS (SELECT * FROM cells WHERE col_idx >= 1), {number_steps('v', 'table_ref, row_idx, col_idx')},
 i AS (SELECT table_ref, row_idx, trim(cell) AS item FROM cells WHERE col_idx = 0)
-SELECT item, col_idx - 2 AS year, 'annual' AS period, count(DISTINCT value) AS n_values FROM n4 JOIN i USING (table_ref, row_idx) WHERE value IS NOT NULL GROUP BY item, col_idx HAVING count(DISTINCT value) > 1""",
+SELECT item, col_idx AS year, 'annual' AS period, count(DISTINCT value) AS n_values FROM n4 JOIN i USING (table_ref, row_idx) WHERE value IS NOT NULL GROUP BY item, col_idx HAVING count(DISTINCT value) > 1""",
     "table_cards": f"""WITH {LATEST}, {cells('extracted_tables')}, i AS (SELECT table_ref, trim(cell) AS item, min(row_idx) AS o FROM cells WHERE col_idx = 0 AND trim(cell) <> '' GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY table_ref ORDER BY o, item) AS k FROM i), l AS (SELECT table_ref, string_agg(item, '; ' ORDER BY k) AS items FROM k WHERE k <= 30 GROUP BY table_ref)
 SELECT table_ref, concat_ws(chr(10), 'ticker: ' || nullif(ticker, ''), 'year: ' || year, 'type: ' || nullif(report_type, ''), 'section: ' || nullif(section, ''), CASE WHEN trim(title) <> '' THEN 'title: ' || title END, CASE WHEN trim(unit) <> '' THEN 'unit: ' || unit END, 'items: ' || items) AS card FROM catalog LEFT JOIN l USING (table_ref)""",
@@ -215,8 +233,8 @@ sp AS (SELECT query AS qid, table_ref, row_number() OVER (PARTITION BY query ORD
 fu AS (SELECT qid, table_ref, round(sum(1.0 / (60 + k)), 9) AS score FROM (SELECT * FROM sp UNION ALL SELECT * FROM de) GROUP BY ALL), t AS (SELECT qid, table_ref, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, table_ref) AS INTEGER) AS rank, score FROM fu QUALIFY rank <= 20)
 SELECT qid, t.table_ref, rank, score, section FROM t LEFT JOIN catalog USING (table_ref)""",
     "content_rerank": f"""WITH {LATEST}, {CANDIDATES}, k AS (SELECT id AS qid, {tokens('question')} AS t FROM asked), qq AS (SELECT qid, list_distinct({PHRASES}) AS p, list_distinct(list_filter(t, lambda w: length(w) >= 2)) AS w FROM k),
-d AS (SELECT table_ref, {fold(FALLBACK)} AS f FROM catalog), s AS (SELECT qid, table_ref, 6 * len(list_filter(p, lambda x: contains(f, x))) + 2 * len(list_filter(w, lambda x: contains(f, x))) AS content, score FROM c JOIN qq USING (qid) JOIN d USING (table_ref) WHERE rank <= 35)
-SELECT qid, table_ref, CAST(content AS INTEGER) AS content, CAST(row_number() OVER (PARTITION BY qid ORDER BY content * 10 + score DESC, score DESC, table_ref) AS INTEGER) AS rank FROM s""",
+d AS (SELECT table_ref, {fold(FALLBACK)} AS f FROM catalog), s AS (SELECT qid, table_ref, 6 * len(list_filter(p, lambda x: contains(f, x))) + 2 * len(list_filter(w, lambda x: contains(f, x))) AS content, score, rank AS was FROM c JOIN qq USING (qid) JOIN d USING (table_ref))
+SELECT qid, table_ref, CASE WHEN was <= 35 THEN CAST(content AS INTEGER) END AS content, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN was <= 35 THEN 0 ELSE 1 END, CASE WHEN was <= 35 THEN content * 10 + score END DESC, CASE WHEN was <= 35 THEN score END DESC, CASE WHEN was > 35 THEN was END, table_ref) AS INTEGER) AS rank FROM s""",
     "adaptive_cut": f"WITH {LATEST}, {CUT} SELECT qid, table_ref, rank FROM cut",
     "coverage_repair": f"""WITH {LATEST}, {CUT}, pool AS (SELECT c.qid, c.table_ref, c.rank, catalog.ticker FROM c JOIN catalog USING (table_ref)), need AS (SELECT DISTINCT qid, unnest(tickers) AS ticker FROM sh),
 miss AS (SELECT * FROM need EXCEPT SELECT pool.qid, ticker FROM pool JOIN cut USING (qid, table_ref)), best AS (SELECT qid, ticker, arg_min(table_ref, rank) AS table_ref FROM pool JOIN miss USING (qid, ticker) GROUP BY ALL)
@@ -323,6 +341,14 @@ items AS (SELECT id, question, CASE WHEN value IS NULL OR isnan(value) OR isinf(
   list_transform(list_filter(coalesce(paths, []), lambda x: x IS NOT NULL)[:4], lambda x: CASE WHEN starts_with(regexp_replace(x, '^[./]+', ''), 'data/') THEN regexp_replace(x, '^[./]+', '') ELSE 'data/' || split_part(x, '/', -1) END) AS paths FROM u1)"""
 _BETWEEN = r"regexp_replace(regexp_replace(substr(text, CAST(e AS BIGINT) + 1, greatest(char_start - e, 0)), '(?m)^=+ PAGE (\d+) =+$', '', 'g'), '<[^>]+>', '', 'g')"
 
+def _squeezed(x: str) -> str:
+    """Runs of three or more of a sign as two, one sign after the other, for want of back-references."""
+    for sign in "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~–—…•·«»“”‘’°±×÷€£¥©®":
+        literal = sign.replace("'", "''")
+        x = f"regexp_replace({x}, '{chr(92) + literal if sign.isascii() else literal}{{3,}}', '{literal * 2 if sign != chr(92) else chr(92) * 4}', 'g')"
+    return x
+
+
 SQL |= {
     "filter_cascade": f"WITH {LATEST}, {_cascade()} {_counted('catalog')}",
     "cascade_without_unit": f"WITH {LATEST}, bare AS (SELECT * FROM catalog WHERE unit IS NULL), {_cascade('bare')} {_counted('bare')}",
@@ -375,4 +401,19 @@ UNION ALL SELECT 'malformed_table', 'error', id FROM items WHERE len(list_filter
 UNION ALL SELECT 'table_of_other_document', 'warning', id FROM items WHERE len(docs) > 0 AND len(list_filter(tabs, lambda t: contains(t, '|') AND NOT list_contains(docs, regexp_extract(t, '^(.*)[|]', 1)))) > 0
 UNION ALL SELECT 'question_missing', 'error', id FROM items WHERE coalesce(question, '') = '' UNION ALL SELECT 'plan_empty', 'warning', id FROM items
 UNION ALL SELECT 'unknown_id', 'error', id FROM items ANTI JOIN a2 USING (id) UNION ALL SELECT 'absent_id', 'error', id FROM a2 ANTI JOIN items USING (id)""",
+    "column_roles": f"WITH {ROLES} SELECT table_ref, col_idx, header, role, year, period, source_date FROM roles",
+    "long_facts": f"""WITH {ROLES},
+pl AS (SELECT table_ref, count(*) FILTER (role IN ('period', 'category')) = 0 AS plain FROM roles GROUP BY 1),
+tc AS (SELECT n4.table_ref, row_idx, n4.col_idx, n4.cell, n4.value, coalesce(role, 'skip') AS role, header, year, period, source_date, coalesce(plain, TRUE) AS plain FROM n4 LEFT JOIN roles USING (table_ref, col_idx) LEFT JOIN pl USING (table_ref)),
+rw AS (SELECT table_ref, row_idx, max(cell) FILTER (role = 'item') AS item, nullif(arg_min(cell, col_idx) FILTER (role = 'code'), '') AS item_code FROM tc GROUP BY ALL),
+vv AS (SELECT * FROM tc WHERE value IS NOT NULL AND (role IN ('period', 'category') OR (plain AND role NOT IN ('item', 'code'))) QUALIFY NOT plain OR row_number() OVER (PARTITION BY table_ref, row_idx ORDER BY col_idx) = 1),
+r1 AS (SELECT *, (table_ref, row_idx) NOT IN (SELECT (table_ref, row_idx) FROM vv) AS bare FROM rw WHERE item <> ''),
+r2 AS (SELECT *, bare AND (regexp_matches(item, '^[IVX]+[.)]?\\s') OR (item = upper(item) AND length(item) > 3)) AS sec FROM r1),
+r3 AS (SELECT *, sum(CASE WHEN sec THEN 1 ELSE 0 END) OVER (PARTITION BY table_ref ORDER BY row_idx) AS g, last_value(CASE WHEN sec THEN item END IGNORE NULLS) OVER (PARTITION BY table_ref ORDER BY row_idx) AS s FROM r2),
+r4 AS (SELECT *, last_value(CASE WHEN bare AND NOT sec THEN item END IGNORE NULLS) OVER (PARTITION BY table_ref, g ORDER BY row_idx) AS c FROM r3),
+r5 AS (SELECT table_ref, row_idx, item_code, concat_ws(' - ', CASE WHEN NOT contains(lower(item), lower(s)) THEN s END, CASE WHEN NOT contains(lower(item), lower(c)) THEN c END, item) AS item FROM r4),
+un AS (SELECT DISTINCT ON (table_ref) table_ref, coalesce(nullif(trim(unit), ''), 'dong') AS unit, coalesce(unit_scale, 1.0) AS unit_scale FROM extracted_tables)
+SELECT vv.table_ref, vv.row_idx, r5.item, r5.item_code, CAST(NULL AS VARCHAR) AS metric, FALSE AS is_derived, vv.year, coalesce(vv.period, 'unknown') AS period, vv.source_date, CASE WHEN vv.role <> 'skip' THEN vv.header END AS column_label, vv.value, un.unit, un.unit_scale
+FROM vv JOIN r5 USING (table_ref, row_idx) JOIN un USING (table_ref)""",
+    "noise_lines": f"""WITH {LINES} SELECT doc_id, count(*) FILTER (regexp_matches(line, '{PAGE_NOISE}')) AS page_lines, CAST(sum(length(regexp_replace({_squeezed("regexp_replace(line, '[\\x00-\\x08\\x0B-\\x1F]', '', 'g')")}, '[\\s\\p{{Z}}]+$', '', 'g'))) AS BIGINT) AS clean_chars FROM lines GROUP BY doc_id""",
 }

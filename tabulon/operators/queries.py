@@ -30,11 +30,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """Every amount of the tables in dong."""
+    """Every amount of the tables in dong: the numbers of all columns but those of items, codes and notes."""
     tables = table(spark, d, "extracted_tables")
     factors = units.table_units(tables, table(spark, d, "units")).select("table_ref", "right_unit", "factor")
-    cells = normalization.cells(tables).withColumn("amount", numbers.parse_number(F.col("cell"))).where("amount IS NOT NULL")
-    return cells.join(factors, "table_ref").select("table_ref", "row_idx", "col_idx", "right_unit", (F.col("amount") * F.col("factor")).alias("dong"))
+    once = tables.select("table_ref", F.get("header_rows", F.lit(0)).alias("h")).dropDuplicates(["table_ref"])
+    # The columns left out are told by their heads, in the row of the table itself: no join of cells with columns.
+    other = F.filter(F.transform("h", lambda x, i: F.when(text.fold(x).rlike(units.NO_AMOUNTS), i)), lambda i: i.isNotNull())
+    kept = factors.join(once.select("table_ref", other.alias("_other")), "table_ref")
+    cells = normalization.cells(tables).where("col_idx >= 1").withColumn("amount", numbers.parse_number(F.col("cell"))).where("amount IS NOT NULL")
+    joined = cells.join(kept, "table_ref").where(~F.coalesce(F.array_contains("_other", F.col("col_idx")), F.lit(False)))
+    return joined.select("table_ref", "row_idx", "col_idx", "right_unit", (F.col("amount") * F.col("factor")).alias("dong"))
 
 
 @query
@@ -393,7 +398,7 @@ def full_cards(spark: SparkSession, d: str) -> DataFrame:
 def ambiguous_facts(spark: SparkSession, d: str) -> DataFrame:
     cells = normalization.cells(table(spark, d, "extracted_tables"))
     item = cells.where("col_idx = 0").select("table_ref", "row_idx", F.trim("cell").alias("item"))
-    value = cells.where("col_idx >= 2").select("table_ref", "row_idx", (F.col("col_idx") - 2).alias("year"), numbers.parse_number(F.col("cell")).alias("value")).where("value IS NOT NULL")
+    value = cells.where("col_idx >= 1").select("table_ref", "row_idx", F.col("col_idx").alias("year"), numbers.parse_number(F.col("cell")).alias("value")).where("value IS NOT NULL")
     return normalization.ambiguous(item.join(value, ["table_ref", "row_idx"]).withColumn("period", F.lit("annual")))
 
 
@@ -522,13 +527,13 @@ def selected_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def content_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates of each question, the first 35 by what their cards say, the tail behind them."""
     questions, catalog = _questions(spark, d), _catalog(spark, d)
     q = questions.select(F.col("id").alias("qid"), text.phrases(F.col("question")).alias("p"), F.filter(text.tokens(F.col("question")), lambda w: F.length(w) >= 2).alias("w"))
     cards = normalization.card_or_fields(catalog).select("table_ref", text.fold(F.col("card")).alias("t"))
-    pool = _candidates(spark, d).where("rank <= 35").join(q, "qid").join(cards, "table_ref")
-    scored = pool.select("qid", "table_ref", retrieval.phrase_score(F.col("p"), F.col("w"), F.col("t")).alias("content"), "score")
-    order = Window.partitionBy("qid").orderBy(F.desc(F.col("content") * 10 + F.col("score")), F.desc("score"), "table_ref")
-    return scored.select("qid", "table_ref", "content", F.row_number().over(order).alias("rank"))
+    pool = _candidates(spark, d).join(q, "qid").join(cards, "table_ref")
+    scored = pool.select("qid", "table_ref", "rank", "score", retrieval.phrase_score(F.col("p"), F.col("w"), F.col("t")).alias("content"))
+    return retrieval.content_ordered(scored, "qid", "table_ref")
 
 
 @query

@@ -53,6 +53,8 @@ ANNOUNCED = re.compile(
     r"(?:don vi tinh|don vi tien|don vi|dvt|units?|currency|trinh bay theo|tinh theo|tinh bang|bao nhieu|bang may|la may|dat may|\bmay|expressed in|stated in|amounts in|figures in|measured in|[,(]\s*in|\bin)"
     r"\s*[:=(\[–-]*\s*(?:la\s+|theo\s+)?$"
 )
+#: Heads, folded, of columns that hold no amounts.
+NO_AMOUNTS = r"\b(ma|ma so|code|stt|thuyet minh|note|notes|chi tieu|khoan muc)\b"
 _DATE = re.compile(r"(?:\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|(?:19|20)\d\d)\s*[-–:(\[,]*\s*$")
 
 #: (aliases, automaton) of the tables of aliases in use, told apart by identity.
