@@ -52,7 +52,7 @@ LETTERS, SIGNS, JOINED, SPLIT = range(4)
 #: Contexts of the lexicon on which the ranking is trained.
 TRAINING = 2500
 #: Labelled rows, drawn from those of these contexts, that its trees are fitted to.
-TRAINED_ROWS = 30_000
+TRAINED_ROWS = 20_000
 
 _MARKER = re.compile(r"^=+\s*PAGE\s+(\S+)\s*=+\s*$")
 _TABULAR = re.compile(r"^\s*\|.*\|\s*$|\t.*\t|\S {3,}\S.* {3,}\S|<table\b")
@@ -297,6 +297,10 @@ def _mask(line: str) -> str:
     return "".join(out)
 
 
+#: Signs that no header ends with; lines with them, and those that begin with a small letter, are not counted.
+_OPEN_ENDS = ".,;:"
+
+
 def _count_lines(text: str, lines: Counter, first: Counter, last: Counter) -> None:
     """Count the short lines of paged texts, and those that open or close a page."""
     text = _DIGITS.sub("#", text)
@@ -308,7 +312,7 @@ def _count_lines(text: str, lines: Counter, first: Counter, last: Counter) -> No
     for page in pages:
         filled = [s for s in page.split("\n") if s and not s.isspace()]
         n = len(filled)
-        keys = [_mask(s) if len(s) <= HEADER or i == 0 or i >= n - 2 else "" for i, s in enumerate(filled)]
+        keys = [_mask(s) if s[-1] not in _OPEN_ENDS and not s[0].islower() and (len(s) <= HEADER or i == 0 or i >= n - 2) else "" for i, s in enumerate(filled)]
         lines.update(keys)
         if keys:
             first[keys[0]] += 1
@@ -406,8 +410,14 @@ class Lexicon:
         stray = bool(_STRAY.search(chunk)) and any(c.isalnum() for c in chunk) and not chunk.startswith("~/")
         odd = odd_case(chunk)
         if len(word) >= 2 and _plain(word):
-            for candidate, alone in self.candidates(word):
-                out.append((candidate, LETTERS, self._row(alone, (self.pair(left, word), self.pair(word, right), self.pair(left, candidate), self.pair(candidate, right)), LETTERS, stray, odd)))
+            candidates = self.candidates(word)
+            lw, wr = (self.pair(left, word), self.pair(word, right)) if candidates else (0, 0)
+            for candidate, alone in candidates:
+                lc, cr = self.pair(left, candidate), self.pair(candidate, right)
+                # A known word stands where the neighbours are no more used to the other one.
+                if alone[0] > 0 and lc + cr <= lw + wr and min(lc, cr) <= min(lw, wr) and not stray:
+                    continue
+                out.append((candidate, LETTERS, self._row(alone, (lw, wr, lc, cr), LETTERS, stray, odd)))
         if stray or odd:
             bare = _STRAY.sub("", word)
             own = self.forms.get(chunk.strip(_PUNCTUATION), 0) if odd else self.words.get(word, 0)
@@ -417,10 +427,12 @@ class Lexicon:
         if len(word) >= 3 and _plain(word):
             n = self.words.get(word, 0)
             for a, b, c in self.parted(word):
+                if c < n or not (self.pair(left, a) or self.pair(b, right)):
+                    continue  # neither neighbour is used to the halves
                 alone = (math.log1p(n), math.log1p(c), 0, 1, 1.0, 0.0, 0.0, len(word))
                 out.append((f"{a} {b}", JOINED, self._row(alone, (self.pair(left, word), self.pair(word, right), self.pair(left, a), self.pair(b, right)), JOINED, stray, odd)))
         whole = self.whole(word, right)
-        if whole:
+        if whole and self.pair(left, whole) + self.pair(whole, beyond) and self.pair(word, right) <= self.words[whole]:
             alone = (math.log1p(self.pair(word, right)), math.log1p(self.words[whole]), 0, 1, 1.0, 0.0, 0.0, len(whole))
             out.append((whole, SPLIT, self._row(alone, (self.pair(left, word), self.pair(right, beyond), self.pair(left, whole), self.pair(whole, beyond)), SPLIT, stray, odd)))
         return out
@@ -486,7 +498,7 @@ class Lexicon:
         plain = chunk.islower() or chunk[1:].islower()
         if plain and not _STRAY.search(chunk) and self.settled(word, right):
             return None
-        key = (left, word if plain else chunk, right, beyond)
+        key = (left, word if plain else chunk, right, beyond if self.whole(word, right) else "")
         if key in self.judged:
             return self.judged[key]
         found = self.best(left, chunk, word, right, beyond)
@@ -548,7 +560,7 @@ class Lexicon:
                 labels.append(int(kind in kinds and (text == meant or meant is None)))
         if rows:
             kept = rng.sample(range(len(rows)), min(TRAINED_ROWS, len(rows)))
-            self.model = Boosted(trees=50).fit(np.array([rows[k] for k in kept], float), np.array([labels[k] for k in kept], float))
+            self.model = Boosted(trees=40).fit(np.array([rows[k] for k in kept], float), np.array([labels[k] for k in kept], float))
 
     def _other_lessons(self, rng: random.Random, words: list[str], before: dict, after: dict) -> Iterator[tuple[tuple[str, str, str, str, str], str | None, tuple[int, ...]]]:
         """(left, chunk, word, right, beyond), the text that is meant (null: any), and the kinds of proposals that are right: words run together and taken apart here, with signs and capitals, and those that stand so in the corpus."""
@@ -638,7 +650,7 @@ class Lexicon:
             if line.isdigit():
                 return edge and len(line) <= 3 or line == page.number[i] and edge
             return bool(digits)
-        if not edge:
+        if not edge or line[-1] in _OPEN_ENDS or line[0].islower():
             return False
         return masked(line) in self.headers
 
@@ -673,7 +685,7 @@ class Lexicon:
         edge, inside = math.log(AT_EDGE / usual), math.log((1 - AT_EDGE) / (1 - usual))
         for k, row, (n, first, last) in zip(keys, rows, counts, strict=True):
             met = min(n, first + last)
-            if k[-1] not in ".,;:" and model.score(row) + met * edge + (n - met) * inside > 0:
+            if model.score(row) + met * edge + (n - met) * inside > 0:
                 self.headers.add(k)
 
 
@@ -815,7 +827,7 @@ def number_model(seed: int = 5) -> Boosted:
         return text[:k] + rng.choice("~^|¦'*") + text[k:]
 
     rows, labels = [], []
-    for _ in range(TRAINING):
+    for _ in range(TRAINING // 2):
         clean, in_codes = number(), code()
         for text, column, label in ((clean, False, 0), (spoilt(clean), False, 1), (in_codes, True, 0), (rng.choice("-–"), False, 0), (spoilt(str(rng.randrange(1, 500))), True, 1)):
             bad = label and not (_CLEAN.match(text) or column and _CODES.match(text))
@@ -857,6 +869,8 @@ class Reader:
 
     def wrong_number(self, cell: str, code_column: bool) -> bool:
         """Whether a cell is a number or code with letters or specks for digits."""
+        if _CLEAN.match(cell) or code_column and _CODES.match(cell):
+            return False  # as it would be printed
         key = (cell.strip(), code_column)
         known = self.misread.get(key)
         if known is None:
