@@ -417,3 +417,18 @@ SELECT vv.table_ref, vv.row_idx, r5.item, r5.item_code, CAST(NULL AS VARCHAR) AS
 FROM vv JOIN r5 USING (table_ref, row_idx) JOIN un USING (table_ref)""",
     "noise_lines": f"""WITH {LINES} SELECT doc_id, count(*) FILTER (regexp_matches(line, '{PAGE_NOISE}')) AS page_lines, CAST(sum(length(regexp_replace({_squeezed("regexp_replace(line, '[\\x00-\\x08\\x0B-\\x1F]', '', 'g')")}, '[\\s\\p{{Z}}]+$', '', 'g'))) AS BIGINT) AS clean_chars FROM lines GROUP BY doc_id""",
 }
+
+SQL |= {
+    "table_schema": f"""WITH f AS ({SQL['long_facts']}) SELECT table_ref, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(year AS VARCHAR)) FILTER (year IS NOT NULL)), ',') AS years,
+array_to_string(list_sort(list(DISTINCT period)), ',') AS periods, array_to_string(list_sort(list(DISTINCT column_label) FILTER (column_label IS NOT NULL)), ',') AS labels FROM f GROUP BY table_ref""",
+    "linked_groups": f"WITH {LATEST}, {CANDIDATES}, g AS (SELECT DISTINCT qid AS id, c.table_ref, group_id FROM c JOIN catalog USING (table_ref) WHERE group_id IS NOT NULL) SELECT id, group_id, string_agg(table_ref, ',' ORDER BY table_ref) AS tables FROM g GROUP BY id, group_id HAVING count(*) >= 2",
+    "diagnosed_lookups": f"""WITH {LATEST}, {TYPED}, q AS (SELECT DISTINCT id || '|' || ticker || '|' || metric || '|' || year AS id, ticker, metric, year FROM (SELECT id, ticker, metric, unnest(years) AS year FROM (SELECT id, ticker, unnest(metrics) AS metric, years FROM (SELECT id, unnest(tickers) AS ticker, metrics, years FROM asked)))),
+k AS (SELECT ticker, metric, list_sort(list(DISTINCT year)) AS years FROM typed GROUP BY ALL)
+SELECT q.id, CASE WHEN q.ticker NOT IN (SELECT ticker FROM typed) THEN 'no_code' WHEN k.years IS NULL THEN 'no_metric' WHEN NOT list_contains(k.years, q.year) THEN 'no_year' ELSE 'found' END AS reason, coalesce(array_to_string(k.years, ','), '') AS years
+FROM q LEFT JOIN k ON k.ticker = q.ticker AND k.metric = q.metric""",
+    "item_anchors": f"""WITH {LATEST}, {CANDIDATES}, {cells('extracted_tables')}, k AS (SELECT id, {tokens('question')} AS t FROM asked), a AS (SELECT id, list_distinct(list_filter(t, lambda w: length(w) >= 2)) AS w, list_distinct({PHRASES}) AS p FROM k),
+i AS (SELECT DISTINCT table_ref, trim(cell) AS item FROM cells WHERE col_idx = 0 AND trim(cell) <> ''), f AS (SELECT *, {fold('item')} AS f, {tokens('item')} AS t FROM i),
+s AS (SELECT DISTINCT a.id, f.table_ref, f.item, round(len(list_intersect(w, t)) + 4 * len(list_filter(p, lambda x: contains(f.f, x))) - 0.02 * length(f.item), 4)::DOUBLE AS score FROM c JOIN a ON a.id = c.qid JOIN f USING (table_ref) WHERE c.rank <= 5),
+k2 AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id, table_ref ORDER BY score DESC, item) <= 2)
+SELECT id, table_ref, item, score, score = max(score) OVER (PARTITION BY id) AS first FROM k2""",
+}

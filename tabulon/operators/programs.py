@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.text import fold, phrases, tokens
+
 
 def lookup(facts: DataFrame, item: str, year: int | None = None, order: tuple[str, ...] = ("table_ref", "row_idx")) -> DataFrame:
     """(value): of the first fact whose item holds the text, letters of any case; one row, null if there is none."""
@@ -106,6 +108,50 @@ def relaxed(asked: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg(best.alias("b")).select("id", "b.level", "b.value")
 
 
+def diagnosed(asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, reason, years): why asked(id, ticker, metric, year, period) finds no fact, and the years that its code and metric have.
+
+    Reasons: no_code, no_metric (of that code), no_year, no_period, found; null constraints hold always.
+    """
+    known = facts.select("ticker").distinct().withColumn("_code", F.lit(True))
+    same = facts.groupBy("ticker", "metric").agg(F.array_sort(F.collect_set("year")).alias("years"), F.collect_set(F.struct("year", "period")).alias("_p"))
+    joined = asked.join(known, "ticker", "left").join(same, ["ticker", "metric"], "left")
+    of_year = F.filter("_p", lambda p: F.col("year").isNull() | (p["year"] == F.col("year")))
+    reason = (
+        F.when(F.col("_code").isNull(), "no_code").when(F.col("_p").isNull(), "no_metric").when(F.size(of_year) == 0, "no_year")
+        .when(F.col("period").isNotNull() & ~F.exists(of_year, lambda p: F.coalesce(p["period"] == F.col("period"), F.lit(False))), "no_period").otherwise("found")
+    )
+    return joined.select("id", reason.alias("reason"), F.coalesce("years", F.array().cast("array<int>")).alias("years"))
+
+
+def anchors(pairs: DataFrame, questions: DataFrame, items: DataFrame, most: int = 2) -> DataFrame:
+    """(id, table_ref, item, score, first): of each table of pairs(id, table_ref) the items(table_ref, item) that a question means most likely; first where no table has a better one.
+
+    A point for each word they share, four for each phrase of the question that the item holds, less a little for its length.
+    """
+    asked = questions.select("id", F.array_distinct(F.filter(tokens(F.col("question")), lambda w: F.length(w) >= 2)).alias("_w"), F.array_distinct(phrases(F.col("question"))).alias("_p"))
+    named = items.select("table_ref", "item").distinct().select("table_ref", "item", fold(F.col("item")).alias("_f"), tokens(F.col("item")).alias("_t"))
+    rows = pairs.select("id", "table_ref").distinct().join(asked, "id").join(named, "table_ref")
+    held = F.size(F.filter("_p", lambda p: F.contains(F.col("_f"), p)))
+    score = F.round(F.size(F.array_intersect("_w", "_t")) + 4 * held - 0.02 * F.length("item"), 4)
+    best = Window.partitionBy("id", "table_ref").orderBy(F.desc("score"), "item")
+    kept = rows.select("id", "table_ref", "item", score.alias("score")).withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= most)
+    top = kept.groupBy("id").agg(F.max("score").alias("_top"))
+    return kept.join(top, "id").select("id", "table_ref", "item", "score", (F.col("score") == F.col("_top")).alias("first"))
+
+
+def linked_groups(selected: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, group_id, tables): the tables of one group, two or more, that a question has been given: they are read as one."""
+    rows = selected.select("id", "table_ref").distinct().join(links.select("table_ref", "group_id").where("group_id IS NOT NULL"), "table_ref")
+    return rows.groupBy("id", "group_id").agg(F.array_sort(F.collect_set("table_ref")).alias("tables")).where(F.size("tables") >= 2)
+
+
+def table_schema(facts: DataFrame) -> DataFrame:
+    """(table_ref, n_items, years, periods, labels): what the facts of a table hold, for a planner."""
+    years = F.array_sort(F.collect_set(F.col("year").cast("string")))
+    return facts.groupBy("table_ref").agg(F.count_distinct("item").alias("n_items"), years.alias("years"), F.array_sort(F.collect_set("period")).alias("periods"), F.array_sort(F.collect_set("column_label")).alias("labels"))
+
+
 def extreme(rows: DataFrame, group: list[str], criterion: str, target: str, largest: bool = True) -> DataFrame:
     """For each group the target where the criterion is largest (smallest); of equals the least target."""
     sign = -1 if largest else 1

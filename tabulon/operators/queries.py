@@ -598,13 +598,42 @@ def derived_metrics(spark: SparkSession, d: str) -> DataFrame:
     return programs.derived(_typed_facts(spark, d)).select("ticker", "year", "metric", F.round("value", 6).alias("value"))
 
 
+def _asked_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What each question asks for, one row for each of its codes, metrics and years."""
+    q = _questions(spark, d).select("id", F.explode("tickers").alias("ticker"), "metrics", "years").select("id", "ticker", F.explode("metrics").alias("metric"), "years")
+    asked = q.select("id", "ticker", "metric", F.explode("years").alias("year"))
+    return asked.select(F.concat_ws("|", F.col("id").cast("string"), "ticker", "metric", F.col("year").cast("string")).alias("id"), "ticker", "metric", "year", F.lit("annual").alias("period")).distinct()
+
+
+@query
+def diagnosed_lookups(spark: SparkSession, d: str) -> DataFrame:
+    found = programs.diagnosed(_asked_facts(spark, d), _typed_facts(spark, d))
+    return found.select("id", "reason", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
+
+
+@query
+def item_anchors(spark: SparkSession, d: str) -> DataFrame:
+    items = normalization.cells(table(spark, d, "extracted_tables")).where("col_idx = 0 AND trim(cell) <> ''").select("table_ref", F.trim("cell").alias("item"))
+    pairs = _candidates(spark, d).where("rank <= 5").select(F.col("qid").alias("id"), "table_ref")
+    return programs.anchors(pairs, _questions(spark, d), items)
+
+
+@query
+def linked_groups(spark: SparkSession, d: str) -> DataFrame:
+    selected = _candidates(spark, d).select(F.col("qid").alias("id"), "table_ref")
+    return programs.linked_groups(selected, _catalog(spark, d)).select("id", "group_id", F.array_join("tables", ",").alias("tables"))
+
+
+@query
+def table_schema(spark: SparkSession, d: str) -> DataFrame:
+    rows = programs.table_schema(normalization.facts(table(spark, d, "extracted_tables"), table(spark, d, "raw_documents")))
+    return rows.select("table_ref", "n_items", *(F.array_join(c, ",").alias(c) for c in ("years", "periods", "labels")))
+
+
 @query
 def relaxed_answers(spark: SparkSession, d: str) -> DataFrame:
     """For each code, metric and year of each question the first fact, or one of another year where it has none."""
-    q = _questions(spark, d).select("id", F.explode("tickers").alias("ticker"), "metrics", "years").select("id", "ticker", F.explode("metrics").alias("metric"), "years")
-    asked = q.select("id", "ticker", "metric", F.explode("years").alias("year"))
-    asked = asked.select(F.concat_ws("|", F.col("id").cast("string"), "ticker", "metric", F.col("year").cast("string")).alias("id"), "ticker", "metric", "year", F.lit("annual").alias("period")).distinct()
-    return programs.relaxed(asked, _typed_facts(spark, d))
+    return programs.relaxed(_asked_facts(spark, d), _typed_facts(spark, d))
 
 
 @query
