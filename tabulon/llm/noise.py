@@ -50,7 +50,7 @@ HEADER = 100
 #: Kinds of what the ranking chooses from: another word, the word without signs or odd capitals, two words run together, one word taken apart.
 LETTERS, SIGNS, JOINED, SPLIT = range(4)
 #: Contexts of the lexicon on which the ranking is trained.
-TRAINING = 2500
+TRAINING = 1500
 #: Labelled rows, drawn from those of these contexts, that its trees are fitted to.
 TRAINED_ROWS = 20_000
 
@@ -849,6 +849,8 @@ class Reader:
         self.core_of: dict[str, str] = {}
         self.misread: dict[tuple[str, bool], bool] = {}
         self.headed: dict[str, bool] = {}
+        #: Chunks in contexts that were judged before.
+        self.heard: dict[tuple, bool] = {}
         #: (chunk, word behind it) that hold no noise whatever stands around them.
         self.calm: set[tuple[str, str]] = set()
 
@@ -959,14 +961,20 @@ class Reader:
             words = self._words(segment)
             if joins:
                 words = self._mend(words, joins)
-            n, sure, loud = len(words), self.sure, segment[0][1].isupper()
+            n, sure, loud, heard = len(words), self.sure, segment[0][1].isupper(), self.heard
             for k, (i, chunk, word) in enumerate(words):
                 if word == "#" or chunk in sure or i not in doubtful or i in found:
                     continue
                 left = words[k - 1][2] if k else "<s>"
                 right = words[k + 1][2] if k + 1 < n else "</s>"
                 beyond = words[k + 2][2] if k + 2 < n else "</s>"
-                if self.noisy(chunk, left, word, right, beyond, loud):
+                key = (left, chunk, right, beyond, loud)
+                noisy = heard.get(key)
+                if noisy is None:
+                    noisy = self.noisy(chunk, left, word, right, beyond, loud)
+                    if len(heard) < 500_000:
+                        heard[key] = noisy
+                if noisy:
                     found.add(i)
         return {i + 1 for i in found}
 
