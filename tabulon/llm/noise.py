@@ -1062,6 +1062,8 @@ class Reader:
         joins = {a: True for a, b in zip(prose, prose[1:], strict=False) if page.held(a).rstrip()[-1:] in _BREAKS and self.broken(page.held(a), page.held(b))}
         mended: dict[int, str] = {}
         for segment in page.segments(furniture, hold=True):
+            for _, t in segment:
+                self.fine(t)  # tells which chunks are beyond doubt in any context
             words = self._mend(self._words_all(segment), joins)
             lead = _ITEM.match(page.held(segment[0][0]))
             mended[segment[0][0]] = page.released((lead.group() if lead else "") + " ".join(x for x in self._repaired(words) if x))
@@ -1088,9 +1090,15 @@ class Reader:
                 skip = False
                 continue
             chunk, word, pair = words[k][1], cores[n], (words[k][1], cores[n + 1])
-            if word == "#" or pair in self.calm:
+            if word == "#" or chunk in self.sure or pair in self.calm:
                 continue
-            if not self.noisy(chunk, cores[n - 1], word, cores[n + 1], cores[n + 2], loud):
+            key = (cores[n - 1], chunk, cores[n + 1], cores[n + 2], loud)
+            noisy = self.heard.get(key)
+            if noisy is None:
+                noisy = self.noisy(chunk, cores[n - 1], word, cores[n + 1], cores[n + 2], loud)
+                if len(self.heard) < 500_000:
+                    self.heard[key] = noisy
+            if not noisy:
                 if loud and chunk.islower() and not _STRAY.search(chunk) and self.lexicon.settled(word, cores[n + 1]) and len(self.calm) < 500_000:
                     self.calm.add(pair)
                 continue
