@@ -642,10 +642,10 @@ class Lexicon:
         line = page.lines[i].strip()
         if not line or page.prose[i] is None and not _FOOT.match(line):
             return False
-        if not any(c.isalnum() for c in line):
+        if not line[0].isalnum() and not any(c.isalnum() for c in line):
             return bool(_SPECKS.match(line)) and line not in ("---", "***", "-", "*", "+")
         edge = page.paged and (page.before[i] == 0 or page.behind[i] <= 1)
-        if _NUMBERED.match(line):
+        if line[0] in _NUMBERING and _NUMBERED.match(line):
             digits = re.findall(r"\d+|[ivxlc]+$", line.lower())
             if line.isdigit():
                 return edge and len(line) <= 3 or line == page.number[i] and edge
@@ -707,6 +707,8 @@ def _line_features(key: str, common: Counter) -> tuple:
 
 
 _FOOT = re.compile(r"^\S.*\S {3,}\d{1,4}$")
+#: What a page number begins with.
+_NUMBERING = frozenset("-–—[(0123456789tTpPiIvVxXlL")
 _SPECKS = re.compile(r"^[\s~`'·¸|.,:^¦;\"°•_-]+$")
 #: Ways of writing a page number.
 _NUMBERED = re.compile(r"^(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|\d{1,4}|\d{1,4}\s*/\s*\d{1,4}|(?:trang|page|tr\.|p\.)\s*\d{1,4}(?:\s*(?:/|of|trên)\s*\d{1,4})?(?:\s*\|\s*\S+)?|[ivxl]{1,8})$", re.I)
