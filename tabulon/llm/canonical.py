@@ -43,10 +43,9 @@ def fold(text: Column) -> Column:
 
 
 def with_canonical(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """df with out_col; only texts that fail the quick check reach Python."""
-    suspect = unstable(F.col(text_col))
-    settled = df.where(~suspect).withColumn(out_col, F.col(text_col))
-    return settled.unionByName(df.where(suspect).withColumn(out_col, _canonical(F.col(text_col))))
+    """df with out_col; only texts that fail the quick check are looked at in Python, the others reach it as nulls."""
+    form = _canonical(F.when(unstable(F.col(text_col)), F.col(text_col)))
+    return df.withColumn(out_col, F.coalesce(form, F.col(text_col)))
 
 
 def changed(df: DataFrame, text_col: str) -> DataFrame:
