@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1191,6 +1192,17 @@ def found_lines(spark: SparkSession, documents: DataFrame, shared) -> DataFrame:
     return documents.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, FOUND).distinct()
 
 
+def _flat(tables: pa.Array) -> tuple[pa.Array, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(cells, rows, places) of an array of tables: each cell that is no null, the table and line from 0 of each row, and the row and column from 0 of each cell."""
+    rows = pc.list_flatten(tables)
+    table = pc.list_parent_indices(tables).to_numpy(zero_copy_only=False).astype(np.int64)
+    cells = pc.list_flatten(rows)
+    of = pc.list_parent_indices(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+    within = lambda owner: np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
+    col, there = within(of), pc.is_valid(cells).to_numpy(zero_copy_only=False)
+    return cells.filter(pa.array(there)), {"table": table, "line": within(table)}, {"row": of[there], "col": col[there]}
+
+
 def found_cells(spark: SparkSession, tables: DataFrame, shared) -> DataFrame:
     """(record_key, line_no, col_no) of the noisy cells of tables(table_ref, rows)."""
 
@@ -1198,26 +1210,29 @@ def found_cells(spark: SparkSession, tables: DataFrame, shared) -> DataFrame:
         reader = _reader(shared)
         seen: dict[tuple, bool] = {}
         for batch in batches:
-            keys, rows, columns = [], [], []
-            for key, table in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for r, row in enumerate(table or (), 1):
-                    if not row:
-                        continue
-                    alone = not any(c and not c.isspace() for c in row[1:])
-                    for c, cell in enumerate(row):
-                        if not cell or c > 1 and _PRINTED.match(cell):
-                            continue
-                        what = (cell, min(c, 2), alone)
-                        noisy = seen.get(what)
-                        if noisy is None:
-                            noisy = reader.cell(cell, c, 1 if alone else 2)
-                            if len(seen) < 500_000:
-                                seen[what] = noisy
-                        if noisy:
-                            keys.append(key)
-                            rows.append(r)
-                            columns.append(c + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(rows, pa.int64()), pa.array(columns, pa.int64())], FOUND.names)
+            cells, row, place = _flat(batch.column(1))
+            text, table, line = cells, row["table"], row["line"]
+            of = place["row"]
+            filled = pc.not_equal(pc.utf8_trim_whitespace(text), "").to_numpy(zero_copy_only=False)
+            later = np.bincount(of[filled & (place["col"] > 0)], minlength=len(table)) > 0
+            # Equal cells in like places are judged once.
+            printed = pc.match_substring_regex(text, _PRINTED.pattern).to_numpy(zero_copy_only=False) & (place["col"] > 1)
+            kept = np.flatnonzero(pc.not_equal(text, "").to_numpy(zero_copy_only=False) & ~printed)
+            coded = text.dictionary_encode()
+            kind = coded.indices.to_numpy(zero_copy_only=False)[kept].astype(np.int64) * 6 + np.minimum(place["col"][kept], 2) * 2 + ~later[of[kept]]
+            distinct, back = np.unique(kind, return_inverse=True)
+            words = coded.dictionary.take(pa.array(distinct // 6)).to_pylist()
+            noisy = np.zeros(len(distinct), bool)
+            for k, (cell, how) in enumerate(zip(words, (distinct % 6).tolist(), strict=True)):
+                known = seen.get((cell, how))
+                if known is None:
+                    known = reader.cell(cell, how // 2, 1 if how % 2 else 2)
+                    if len(seen) < 500_000:
+                        seen[cell, how] = known
+                noisy[k] = known
+            hit = kept[noisy[back]] if len(kept) else kept
+            keys = batch.column(0).take(pa.array(table[of[hit]]))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(line[of[hit]] + 1, pa.int64()), pa.array(place["col"][hit] + 1, pa.int64())], FOUND.names)
 
     return tables.select(F.col("table_ref").cast("string"), "rows").mapInArrow(run, FOUND).distinct()
 
