@@ -371,7 +371,9 @@ class Lexicon:
                 s, near = other, dict.fromkeys(self.shapes[other])
         if len(s) >= 3:
             grams = _grams(s)
-            votes = Counter(w for g in grams for w in self.grams.get(g, ()))
+            votes: Counter = Counter()
+            for g in grams:
+                votes.update(self.grams.get(g, ()))
             enough = max(1, len(grams) - 2)  # one edit touches two grams at most
             for w, v in votes.items():
                 if v >= enough and w not in near and self.words[w] >= 5 * own:
@@ -381,8 +383,8 @@ class Lexicon:
             if w == word or n < 5 * own:
                 continue
             t = self.shape_of[w]
-            edits = 0 if s == t else _distance(s, t, 2)
-            if edits > 1 or edits and len(s) < 4:
+            edits = int(s != t)
+            if edits and (len(s) < 4 or not _one_edit(s, t)):
                 continue
             letters = _distance(plain, w, 3)
             accents = fold(plain) == fold(w)
@@ -725,6 +727,16 @@ def _grams(s: str) -> list[str]:
     return [s[i : i + 2] for i in range(len(s) - 1)]
 
 
+def _one_edit(a: str, b: str) -> bool:
+    """Whether two different words are one edit apart."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k, n = 0, min(len(a), len(b))
+    while k < n and a[k] == b[k]:
+        k += 1
+    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
+
+
 def _distance(a: str, b: str, most: int) -> int:
     """Edits between a and b, or most if there are as many or more."""
     if abs(len(a) - len(b)) >= most:
@@ -961,7 +973,9 @@ class Reader:
             doubtful = {i for i, t in segment if i not in found and not self.fine(t)}
             if not doubtful:
                 continue
-            words = self._words(segment)
+            # A word is judged by the two behind it and the one before, so two lines on either side are enough.
+            near = {q for k, (i, _) in enumerate(segment) if i in doubtful for q in range(max(0, k - 2), min(len(segment), k + 3))}
+            words = self._words([segment[q] for q in sorted(near)])
             if joins:
                 words = self._mend(words, joins)
             n, sure, loud, heard = len(words), self.sure, segment[0][1].isupper(), self.heard

@@ -472,6 +472,14 @@ def test_cells(reader, cell, column, want):
     assert reader.cell(cell, column, 4) is want
 
 
+def test_one_edit():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(7))) for _ in range(2))
+        if a != b:
+            assert noise._one_edit(a, b) == (_levenshtein(a, b) == 1), (a, b)
+
+
 def test_found_noise(spark):
     docs = spark.createDataFrame([("d", "chữ s~ai ở đây", 1), ("d", "chữ s~ai ở đây", 1), ("e", None, 1), ("f", "", 1), ("g", LONG, 1)], "doc_id string, text string, col_no int")
     tables = spark.createDataFrame([("t", [["Trang 3", ""], ["x", "1.2S4"], None, [None, "1"]]), ("u", None), ("v", [])], "table_ref string, rows array<array<string>>")
